@@ -3,6 +3,7 @@
 from weft.llm.editembed import op8_edit_fingerprints
 from weft.llm.idstore import op5_token_store
 from weft.llm.linededup import op3_line_dedup
+from weft.llm.lmscore import op1_lm_scores
 from weft.llm.mixing import OP10_SQL, op10_mix_sources
 from weft.llm.packing import op7_packing
 from weft.llm.repetition import op9_quality_rules
@@ -12,7 +13,7 @@ from weft.llm.viterbi import op4_token_counts
 QUERIES = {
     f.__name__: f
     for f in (
-        op2_simhash_near_dedup, op3_line_dedup, op4_token_counts, op5_token_store,
+        op1_lm_scores, op2_simhash_near_dedup, op3_line_dedup, op4_token_counts, op5_token_store,
         op7_packing, op8_edit_fingerprints, op9_quality_rules, op10_mix_sources,
     )
 }
