@@ -8,16 +8,18 @@ library and keeps its ids; texts are then put together from words with numpy.
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 800_000
 #: Words that are one run of letters without marks, and perhaps one run of stops: one or two pre-tokens.
-_PLAIN = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+([.,;:!?]*)")
+_PLAIN = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+[.,;:!?]*$"
+_STOPS = "[.,;:!?]$"
+_SENTENCE = r"""[.!?]["')\]]*$"""
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -36,7 +38,7 @@ class _Numbers(dict):
 
 
 class WordIds:
-    """Ids of words, kept for up to ``CACHED_WORDS`` words (then all are forgotten: a bound on memory, not on work)."""
+    """Ids of words, kept for about ``CACHED_WORDS`` words (then those met least are forgotten: a bound on memory, not on work)."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -52,10 +54,32 @@ class WordIds:
         self.number.new = []
         self.start = np.zeros(1 << 16, np.int64)
         self.length = np.zeros(1 << 16, np.int64)
+        self.met = np.zeros(1 << 16, np.int32)
         self.ends_sentence = np.zeros(1 << 16, bool)
         self.pool = np.zeros(1 << 18, np.int32)
         self.known = self.filled = 0
 
+    def forget(self) -> None:
+        """Keep the words met most, at most half of ``CACHED_WORDS``."""
+        met = self.met[: self.known]
+        least = max(2, int(np.partition(met, -CACHED_WORDS // 2)[-CACHED_WORDS // 2]) + 1)
+        stay = np.flatnonzero(met >= least)
+        words = np.array(list(self.number), object)[stay]
+        flat, lengths, ends = self.ids(stay), self.length[stay], self.ends_sentence[stay]
+        self.clear()
+        self._room(len(stay))
+        self.number.update(zip(words.tolist(), range(len(stay)), strict=True))
+        self.known = len(stay)
+        self.ends_sentence[: len(stay)] = ends
+        self._add(np.arange(len(stay)), lengths, flat)
+
+    def _room(self, total: int) -> None:
+        if total > len(self.start):
+            more = max(total, 2 * len(self.start)) - len(self.start)
+            for name in ("start", "length", "met", "ends_sentence"):
+                x = getattr(self, name)
+                setattr(self, name, np.concatenate([x, np.zeros(more, x.dtype)]))
+
     def _add(self, numbers: np.ndarray, lengths: np.ndarray, flat: np.ndarray) -> None:
         def grown(x: np.ndarray, need: int) -> np.ndarray:
             return x if need <= len(x) else np.concatenate([x, np.zeros(max(need, 2 * len(x)) - len(x), x.dtype)])
@@ -70,36 +94,38 @@ class WordIds:
     def _learn(self, texts: list[str]) -> None:
         """Encode new words: plain ones many at a time, told apart by their word ends, and the others one by one."""
         first, total = self.known, self.known + len(texts)
-        if total > len(self.start):
-            more = max(total, 2 * len(self.start)) - len(self.start)
-            self.start, self.length, self.ends_sentence = (np.concatenate([x, np.zeros(more, x.dtype)]) for x in (self.start, self.length, self.ends_sentence))
-        self.ends_sentence[first:total] = [t.rstrip("\"')]").endswith((".", "!", "?")) for t in texts]
-        match = [m for m in map(_PLAIN.fullmatch, texts)]
-        plain = [i for i, m in enumerate(match) if m]
-        for at in range(0, len(plain), 20_000):
-            part = plain[at : at + 20_000]
-            lines = [" ".join([texts[i] for i in part[k : k + 500]]) for k in range(0, len(part), 500)]
+        self._room(total)
+        column = pa.array(texts, pa.large_string())
+        match = lambda pattern: pc.match_substring_regex(column, pattern).to_numpy(zero_copy_only=False)
+        self.ends_sentence[first:total] = match(_SENTENCE)
+        is_plain, stops = match(_PLAIN), match(_STOPS)
+        plain = np.flatnonzero(is_plain)
+        for at in range(0, len(plain), 50_000):
+            part = plain[at : at + 50_000]
+            names = column.take(pa.array(part)).to_pylist()
+            lines = [" ".join(names[k : k + 500]) for k in range(0, len(names), 500)]
             flat = np.concatenate([np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)])
-            pieces = np.array([1 + (match[i].end(1) > match[i].start(1)) for i in part])
-            ends = np.flatnonzero(self.ends_word[flat])[np.cumsum(pieces) - 1] + 1
-            self._add(first + np.array(part), np.diff(ends, prepend=0), flat)
-        other = [i for i, m in enumerate(match) if not m]
-        for at in range(0, len(other), 20_000):
-            part = other[at : at + 20_000]
-            found = [e.ids for e in self.tokenizer.encode_batch_fast([texts[i] for i in part], add_special_tokens=False)]
+            ends = np.flatnonzero(self.ends_word[flat])[np.cumsum(1 + stops[part]) - 1] + 1
+            self._add(first + part, np.diff(ends, prepend=0), flat)
+        other = np.flatnonzero(~is_plain)
+        for at in range(0, len(other), 50_000):
+            part = other[at : at + 50_000]
+            names = column.take(pa.array(part)).to_pylist()
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(names, add_special_tokens=False)]
             lengths = np.fromiter(map(len, found), np.int64, len(found))
             flat = np.fromiter((i for ids in found for i in ids), np.int32, int(lengths.sum()))
-            self._add(first + np.array(part), lengths, flat)
+            self._add(first + part, lengths, flat)
         self.known = total
 
     def numbers(self, words: list[str]) -> np.ndarray:
-        """The number of each word, new words encoded first."""
+        """The number of each of these different words, new ones encoded first."""
         if self.known > CACHED_WORDS:
-            self.clear()
+            self.forget()
         out = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
         if self.number.new:
             self._learn(self.number.new)
             self.number.new = []
+        self.met[out] += 1
         return out
 
     def ids(self, numbers: np.ndarray) -> np.ndarray:
@@ -110,6 +136,12 @@ class WordIds:
         return self.pool[np.repeat(self.start[numbers] - (ends - lengths), lengths) + np.arange(total)]
 
 
+@lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    """One for each Python worker: its tasks follow on one another."""
+    return WordIds(path)
+
+
 class Encoded:
     """Some texts as one run of ids: text i has flat[upto[edges[i]]:upto[edges[i + 1]]], word by word."""
 
@@ -125,7 +157,7 @@ class Encoded:
         self.edges = np.concatenate([[0], self.line_ends])[lines.offsets.to_numpy() - lines.offsets[0].as_py()]
 
 
-def batches(texts: list[str | None], budget: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def batches(texts: list[str | None], budget: int = 6 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of texts of up to ``budget`` characters together, one text at least."""
     at = 0
     while at < len(texts):

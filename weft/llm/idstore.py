@@ -27,24 +27,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.llm._order import bucket_splits, running_start
-from weft.llm._tokens import WordIds, crc_combine, encoded, tokenizer_path
+from weft.llm._tokens import Encoded, batches, crc_combine, tokenizer_path, word_ids
 from weft.session import materialize, shared_path, table
 
 WINDOW, MEAN_IDS, MIN_IDS, MAX_IDS = 8, 512, 64, 4096
 
 
-def cuts(ids: np.ndarray, mean: int = MEAN_IDS, least: int = MIN_IDS, most: int = MAX_IDS) -> list[int]:
-    """Ends of the chunks of an id stream; ``mean`` is a power of two."""
-    n = len(ids)
-    x = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+def cut_marks(flat: np.ndarray, mean: int = MEAN_IDS) -> np.ndarray:
+    """Where the rolling hash over the last ``WINDOW`` ids of a run of streams meets the mask, as counts of ids before.
+
+    Windows that reach into the stream before lie below ``MIN_IDS`` and are never used. ``mean`` is a power of two.
+    """
+    x = (flat.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     x ^= x >> np.uint64(32)
-    h = np.zeros(n, np.uint64)
-    with np.errstate(over="ignore"):
-        for k in range(min(WINDOW, n)):
-            h[k:] += x[: n - k] * np.uint64(pow(0xD6E8FEB86659FD93, k + 1, 1 << 64))
-    marks = np.flatnonzero((h >> np.uint64(40)) & np.uint64(mean - 1) == 0) + 1
+    h = np.zeros(len(flat), np.uint64)
+    for k in range(min(WINDOW, len(flat))):
+        h[k:] += x[: len(flat) - k] * np.uint64(pow(0xD6E8FEB86659FD93, k + 1, 1 << 64))
+    return np.flatnonzero((h >> np.uint64(40)) & np.uint64(mean - 1) == 0) + 1
+
+
+def cuts(n: int, marks: list[int], least: int = MIN_IDS, most: int = MAX_IDS) -> list[int]:
+    """Ends of the chunks of a stream of ``n`` ids with these marks."""
     ends, last = [], 0
-    for m in marks.tolist():
+    for m in marks:
         while m - last > most:
             last += most
             ends.append(last)
@@ -60,7 +65,7 @@ def cuts(ids: np.ndarray, mean: int = MEAN_IDS, least: int = MIN_IDS, most: int
 
 
 def leaf(ids: np.ndarray) -> bytes:
-    return hashlib.blake2b(b"\0" + ids.astype("<u4").tobytes(), digest_size=16).digest()
+    return hashlib.blake2b(b"\0" + ids.astype("<u4", copy=False).tobytes(), digest_size=16).digest()
 
 
 def merkle_root(digests: list[bytes]) -> bytes:
@@ -72,19 +77,28 @@ def merkle_root(digests: list[bytes]) -> bytes:
 
 
 def _encode(path: str, text: str, end_id: int, width: int):
-    schema_width = f"<u{width}"
+    stored = f"<u{width}"
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = WordIds(path)
+        words = word_ids(path)
         for pdf in parts:
-            rows = []
-            for ids in encoded(words, pdf[text].tolist(), end_id):
-                ends = cuts(ids)
-                chunks = np.split(ids, ends[:-1])
-                digests = [leaf(c) for c in chunks]
-                rows.append((len(ids), digests, [c.astype(schema_width).tobytes() for c in chunks], merkle_root(digests)))
-            got = pd.DataFrame(rows, columns=["n_tokens", "digests", "chunks", "root"], index=pdf.index)
-            yield pd.concat([pdf[["doc_id", "_key"]], got], axis=1)
+            texts = pdf[text].tolist()
+            for at, to in batches(texts):
+                rows = []
+                e = Encoded(words, texts[at:to])
+                bounds = e.upto[e.edges]
+                marks = cut_marks(e.flat)
+                own = np.searchsorted(marks, bounds, "right")
+                for i in range(to - at):
+                    a, b = bounds[i], bounds[i + 1]
+                    ids = np.append(e.flat[a:b], np.int32(end_id)).astype("<u4")
+                    ends = cuts(len(ids), (marks[own[i] : own[i + 1]] - a).tolist())
+                    chunks = [ids[p:q] for p, q in zip([0, *ends[:-1]], ends, strict=True)]
+                    digests = [leaf(c) for c in chunks]
+                    rows.append((len(ids), digests, [c.astype(stored).tobytes() for c in chunks], merkle_root(digests)))
+                part = pdf.iloc[at:to]
+                got = pd.DataFrame(rows, columns=["n_tokens", "digests", "chunks", "root"], index=part.index)
+                yield pd.concat([part[["doc_id", "_key"]], got], axis=1)
 
     return run
 

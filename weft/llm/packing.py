@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm._order import bucket_splits, running_start
-from weft.llm._tokens import Encoded, WordIds, _shift, _times, batches, tokenizer_path
+from weft.llm._tokens import Encoded, _shift, _times, batches, tokenizer_path, word_ids
 from weft.session import materialize, table
 
 WINDOW, FORCED_EVERY = 4096, 1024
@@ -40,11 +40,12 @@ def _measure(path: str, text: str, end_id: int, every: int):
     """Per text: its number of ids, the ends of its sentences in ids, which are forced, and the checksum up to each."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = WordIds(path)
+        words = word_ids(path)
         end = np.uint32(end_id).astype("<u4").tobytes()
         for pdf in parts:
-            rows, texts = [], pdf[text].tolist()
+            texts = pdf[text].tolist()
             for at, to in batches(texts):
+                rows = []
                 e = Encoded(words, texts[at:to])
                 stop = words.ends_sentence[e.numbers]
                 stop[e.line_ends[e.line_ends > 0] - 1] = True
@@ -69,8 +70,9 @@ def _measure(path: str, text: str, end_id: int, every: int):
                         crcs.append(crc)
                         last = x
                     rows.append((n, ends.astype(np.int32), forced, crcs))
-            got = pd.DataFrame(rows, columns=["n_tokens", "ends", "forced", "crcs"], index=pdf.index)
-            yield pd.concat([pdf[["doc_id", "_key"]], got], axis=1)
+                part = pdf.iloc[at:to]
+                got = pd.DataFrame(rows, columns=["n_tokens", "ends", "forced", "crcs"], index=part.index)
+                yield pd.concat([part[["doc_id", "_key"]], got], axis=1)
 
     return run
 
