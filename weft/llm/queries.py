@@ -1,6 +1,7 @@
 """The operators' queries and the SQL that says the same, by name."""
 
 from weft.llm.editembed import op8_edit_fingerprints
+from weft.llm.htmlmain import op6_main_text
 from weft.llm.idstore import op5_token_store
 from weft.llm.linededup import op3_line_dedup
 from weft.llm.lmscore import op1_lm_scores
@@ -14,7 +15,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_lm_scores, op2_simhash_near_dedup, op3_line_dedup, op4_token_counts, op5_token_store,
-        op7_packing, op8_edit_fingerprints, op9_quality_rules, op10_mix_sources,
+        op6_main_text, op7_packing, op8_edit_fingerprints, op9_quality_rules, op10_mix_sources,
     )
 }
 
