@@ -43,7 +43,8 @@ def repeated_runs(keyed: DataFrame, text: str) -> DataFrame:
     words = F.size(F.filter(F.split(F.translate("x.line", "\t\n\x0b\x0c\r", "     "), " "), lambda w: w != ""))
     lines = lines.select("doc_id", "_key", "k", F.col("x.pos").alias("pos"), F.xxhash64("x.line").alias("h"), (words >= LONG_WORDS).alias("long"))
     lines = materialize(lines, "lines")
-    again = lines.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    # written, so that the join deals the lines anew and may split a hot one
+    again = materialize(lines.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "again")
     found = lines.join(again, "h", "left_semi").repartition("doc_id", "_key").distinct()
     at = W.partitionBy("doc_id", "_key").orderBy("k")
     runs = found.withColumn("run", F.col("k") - F.row_number().over(at))
