@@ -2,8 +2,8 @@
 
 1. Each non-blank line has a hash; lines whose hash occurs twice or more are repeated. A document's runs of
    consecutive repeated lines (blank lines between them don't count) are the only places where repeated passages can be.
-2. A run is cut into chunks where a rolling hash over the last two line hashes meets a mask, with two lines
-   at least to a chunk. A run starts where unique text ends, so the same passage is cut in the same way
+2. A run is cut into chunks where a rolling hash over the last two line hashes meets a mask, and where lines of different
+   numbers of occurrences meet (one passage next to another), with two lines at least to a chunk. A run starts where unique text ends, so the same passage is cut in the same way
    wherever it stands, and an insertion moves only the cuts next to it. A line of ``LONG_WORDS`` words or more always makes its own chunk.
 3. Chunks of two lines or more, and long single lines, are candidates. Their texts are fetched and compared byte by
    byte (grouped by the text itself, with a partial aggregation): all but the first occurrence, by doc_id and line, are removed.
@@ -34,7 +34,7 @@ def _lines(text: str) -> Column:
 
 
 def repeated_runs(keyed: DataFrame, text: str) -> DataFrame:
-    """(doc_id, _key, run, lines array<struct<k, pos, h, long>>) of consecutive repeated lines, in order."""
+    """(doc_id, _key, run, lines array<struct<k, pos, h, long, n>>) of consecutive repeated lines, in order."""
     kept = F.filter(
         F.transform(_lines(text), lambda line, i: F.struct(i.alias("pos"), line.alias("line"))),
         lambda x: F.length(F.trim(F.translate(x["line"], "\t\n\x0b\x0c\r", "     "))) > 0,
@@ -44,15 +44,15 @@ def repeated_runs(keyed: DataFrame, text: str) -> DataFrame:
     lines = lines.select("doc_id", "_key", "k", F.col("x.pos").alias("pos"), F.xxhash64("x.line").alias("h"), (words >= LONG_WORDS).alias("long"))
     lines = materialize(lines, "lines")
     # written, so that the join deals the lines anew and may split a hot one
-    again = materialize(lines.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "again")
-    found = lines.join(again, "h", "left_semi").repartition("doc_id", "_key").distinct()
+    again = materialize(lines.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "again")
+    found = lines.join(again, "h").repartition("doc_id", "_key").distinct()
     at = W.partitionBy("doc_id", "_key").orderBy("k")
     runs = found.withColumn("run", F.col("k") - F.row_number().over(at))
-    return runs.groupBy("doc_id", "_key", "run").agg(F.array_sort(F.collect_list(F.struct("k", "pos", "h", "long"))).alias("lines"))
+    return runs.groupBy("doc_id", "_key", "run").agg(F.array_sort(F.collect_list(F.struct("k", "pos", "h", "long", "n"))).alias("lines"))
 
 
 def chunk_ends(lines: Column, mean: int = MEAN_LINES) -> Column:
-    """Ends (counts of lines before them) of a run's chunks. ``lines``: structs with h and long."""
+    """Ends (counts of lines before them) of a run's chunks. ``lines``: structs with h, long and n."""
     size = F.size(lines)
 
     def step(acc: Column, i: Column) -> Column:
@@ -60,7 +60,8 @@ def chunk_ends(lines: Column, mean: int = MEAN_LINES) -> Column:
         here, after = F.get(lines, i - 1), F.get(lines, i)
         last = F.coalesce(F.element_at(acc, -1), F.lit(0))
         roll = F.xxhash64(here["h"], F.when(i >= 2, F.get(lines, i - 2)["h"]))
-        cut = here["long"] | after["long"] | ((F.pmod(roll, F.lit(mean)) == 0) & (i - last >= 2) & (size - i >= 2))
+        edge = (F.pmod(roll, F.lit(mean)) == 0) | (here["n"] != after["n"])
+        cut = here["long"] | after["long"] | (edge & (i - last >= 2) & (size - i >= 2))
         return F.when(cut, F.concat(acc, F.array(i))).otherwise(acc)
 
     inner = F.when(size > 1, F.sequence(F.lit(1), size - 1)).otherwise(F.array().cast("array<int>"))
