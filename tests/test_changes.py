@@ -1,4 +1,5 @@
 import random
+from dataclasses import replace
 
 import pandas as pd
 import pytest
@@ -83,8 +84,7 @@ def test_order_kernels():
     assert of == {"a": "a", "b": "a", "c": "a", "d": "d"}
 
 
-class Small(planner.Limits):
-    target_lines, target_files, hard_lines, hard_files, max_groups = 20, 4, 100, 20, 5
+Small = planner.Limits(20, 4, 100, 20, 5)
 
 
 def frame(units, edges):
@@ -96,23 +96,14 @@ def frame(units, edges):
 def test_plans():
     us, es = frame([("a", {"added": 4}), ("b", {"added": 0})], [("a", "b", "must_with", 100)])
 
-    class Two(Small):
-        target_lines = 2
-
-    (_, cost, gs), *rest = planner.plan(us, es, Two)
+    (_, cost, gs), *rest = planner.plan(us, es, replace(Small, target_lines=2))
     assert (cost, gs, rest) == (43.0, [["a", "b"]], [])
     us, es = frame([("a", {"added": 10, "file": "x"}), ("b", {"added": 10, "file": "x"})], [("a", "b", "before", 95)])
 
-    class Tight(Small):
-        target_lines, hard_lines = 10, 15
-
-    assert planner.plan(us, es, Tight)[0][2] == [["a"], ["b"]]
+    assert planner.plan(us, es, replace(Small, target_lines=10, hard_lines=15))[0][2] == [["a"], ["b"]]
     us, es = frame([("a", {}), ("b", {})], [("a", "b", "must_with", 100)])
 
-    class Over(Small):
-        hard_lines = 25
-
-    assert planner.plan(us, es, Over) == []
+    assert planner.plan(us, es, replace(Small, hard_lines=25)) == []
 
 
 @pytest.mark.parametrize("seed", range(1, 13))
