@@ -2,8 +2,8 @@
 
 1. Each non-blank line has a hash; lines whose hash occurs twice or more are repeated. A document's runs of
    consecutive repeated lines (blank lines between them don't count) are the only places where repeated passages can be.
-2. A run is cut into chunks where a rolling hash over the last two line hashes meets a mask, and where lines of different
-   numbers of occurrences meet (one passage next to another), with two lines at least to a chunk. A run starts where unique text ends, so the same passage is cut in the same way
+2. A run is cut into chunks where a rolling hash over the last two line hashes meets a mask, with two lines at least to a chunk, and
+   where the lines' number of occurrences changes from or to a steady one (one passage next to another). A run starts where unique text ends, so the same passage is cut in the same way
    wherever it stands, and an insertion moves only the cuts next to it. A line of ``LONG_WORDS`` words or more always makes its own chunk.
 3. Chunks of two lines or more, and long single lines, are candidates. Their texts are fetched and compared byte by
    byte (grouped by the text itself, with a partial aggregation): all but the first occurrence, by doc_id and line, are removed.
@@ -60,8 +60,9 @@ def chunk_ends(lines: Column, mean: int = MEAN_LINES) -> Column:
         here, after = F.get(lines, i - 1), F.get(lines, i)
         last = F.coalesce(F.element_at(acc, -1), F.lit(0))
         roll = F.xxhash64(here["h"], F.when(i >= 2, F.get(lines, i - 2)["h"]))
-        edge = (F.pmod(roll, F.lit(mean)) == 0) | (here["n"] != after["n"])
-        cut = here["long"] | after["long"] | (edge & (i - last >= 2) & (size - i >= 2))
+        steady = (after["n"] == F.get(lines, i + 1)["n"]) | (here["n"] == F.get(lines, F.greatest(i - 2, F.lit(0)))["n"]) & (i >= 2)
+        change = (here["n"] != after["n"]) & F.coalesce(steady, F.lit(False))
+        cut = here["long"] | after["long"] | change | ((F.pmod(roll, F.lit(mean)) == 0) & (i - last >= 2) & (size - i >= 2))
         return F.when(cut, F.concat(acc, F.array(i))).otherwise(acc)
 
     inner = F.when(size > 1, F.sequence(F.lit(1), size - 1)).otherwise(F.array().cast("array<int>"))
@@ -92,7 +93,9 @@ def dedup_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     spans = texts.join(listed, ["doc_id", "_key"]).select("doc_id", "_key", _lines("_text").alias("lines"), F.explode("spans").alias("s"))
     body = F.concat_ws("\n", F.filter(F.slice("lines", F.col("s.first") + 1, F.col("s.last") - F.col("s.first") + 1), lambda x: F.length(F.trim(F.translate(x, "\t\n\x0b\x0c\r", "     "))) > 0))
     chunks = materialize(spans.select("doc_id", "_key", "s.first", "s.last", body.alias("chunk")), "chunks")
+    # written, so that the join deals the chunks anew and may split a hot one
     seen = chunks.groupBy("chunk").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "_key", "first")).alias("kept")).where("n > 1")
+    seen = materialize(seen, "seen")
     gone = chunks.join(seen.select("chunk", "kept"), "chunk").where(F.struct("doc_id", "_key", "first") != F.col("kept"))
     removed = gone.groupBy("doc_id", "_key").agg(F.array_distinct(F.flatten(F.collect_list(F.sequence("first", "last")))).alias("_gone"))
     joined = keyed.join(removed, ["doc_id", "_key"], "left")
