@@ -13,13 +13,14 @@ def _rows(df):
 
 
 def test_base_queries_agree_with_their_sql(spark):
-    from weft.plans import queries as base
+    from weft.plans import contract, queries as base
 
+    assert contract.plan_violations is base.QUERIES["plan_violations"]
     c = duckdb.connect()
     c.sql("SET TimeZone = 'UTC'")
     for t in os.listdir(SF):
         c.sql(f"CREATE VIEW {t[:-8]} AS SELECT * FROM '{SF}/{t}'")
-    for name in ("group_report", "plan_metrics", "hard_components", "line_delta", "nearest_owner", "repaired_groups"):
+    for name in ("group_report", "plan_metrics", "hard_components", "line_delta", "nearest_owner", "repaired_groups", "plan_violations", "implementation_tests", "tree_after", "field_changes"):
         assert _rows(base.QUERIES[name](spark, SF).toPandas()) == _rows(c.sql(base.ORACLES[name]).df()), name
 
 

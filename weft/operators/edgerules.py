@@ -6,11 +6,14 @@ Every rule gives (cs_id, src, dst, kind, weight, evidence).
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weft.functions.paths import ancestors, matches_any
+
 
 def _rule(rows: DataFrame, src: str, dst: str, kind: str, weight: int, evidence: str) -> DataFrame:
     return rows.where(F.col(src) != F.col(dst)).select(
@@ -18,18 +21,22 @@ def _rule(rows: DataFrame, src: str, dst: str, kind: str, weight: int, evidence:
     )
 
 
-def symbol_rules(declared: DataFrame, referenced: DataFrame) -> DataFrame:
-    """Introduced, removed and changed symbols against the units that refer to them."""
-    old = declared.where("side = 'old'").select("cs_id", "symbol", F.col("unit_id").alias("p"), F.col("signature").alias("old_sig"))
-    new = declared.where("side = 'new'").select("cs_id", "symbol", F.col("unit_id").alias("p"), F.col("signature").alias("new_sig"))
+def symbol_rules(declared: DataFrame, referenced: DataFrame, compatible: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """Introduced, removed and changed symbols against the units that refer to them.
+
+    ``compatible`` judges the declarations' ``shape`` columns before and after; without it a signature that only grows at its end is compatible.
+    """
+    shape = F.col("shape" if compatible else "signature")
+    old = declared.where("side = 'old'").select("cs_id", "symbol", F.col("unit_id").alias("p"), F.col("signature").alias("old_sig"), shape.alias("old_shape"))
+    new = declared.where("side = 'new'").select("cs_id", "symbol", F.col("unit_id").alias("p"), F.col("signature").alias("new_sig"), shape.alias("new_shape"))
     both = old.join(new, ["cs_id", "symbol", "p"], "full")
     used = lambda side: referenced.where(F.col("side") == side).select("cs_id", "symbol", F.col("unit_id").alias("c"))
     introduced = both.where("old_sig IS NULL").join(used("new"), ["cs_id", "symbol"])
     still = used("new").withColumn("still", F.lit(True))
     removed = both.where("new_sig IS NULL").join(used("old"), ["cs_id", "symbol"]).join(still, ["cs_id", "symbol", "c"], "left")
-    common = both.where("old_sig IS NOT NULL AND new_sig IS NOT NULL").join(used("new"), ["cs_id", "symbol"])
+    common = both.where("old_sig IS NOT NULL AND new_sig IS NOT NULL").join(used("new").unionByName(used("old")).distinct(), ["cs_id", "symbol"])
     changed = common.where("old_sig <> new_sig")
-    grown = F.col("new_sig").startswith(F.col("old_sig"))
+    grown = F.coalesce((compatible or Column.startswith)(*((F.col("old_shape"), F.col("new_shape")) if compatible else (F.col("new_shape"), F.col("old_shape")))), F.lit(False))
     return reduce(
         DataFrame.unionByName,
         [
@@ -62,8 +69,144 @@ def shared_symbols(symbols: DataFrame) -> DataFrame:
 
 def path_transitions(files: DataFrame) -> DataFrame:
     """Files of which one lies at or below another's path: (cs_id, src, dst) by an equi-join on ancestor paths."""
-    from weft.functions.paths import ancestors
-
     own = files.select("cs_id", F.col("file_id").alias("src"), "path")
     below = files.select("cs_id", F.col("file_id").alias("dst"), F.explode(F.concat(ancestors(F.col("path")), F.array("path"))).alias("path")).where("path <> ''")
     return _rule(own.join(below, ["cs_id", "path"]), "src", "dst", "must_with", 100, "atomic-path-transition")
+
+
+def compatible_functions(old: Column, new: Column) -> Column:
+    """Functions (modifiers, result, generics, parameters: array of type, optional, rest): the same but for optional parameters added at the end."""
+    n = F.size(old["parameters"])
+    added = F.slice(new["parameters"], n + 1, F.greatest(F.size(new["parameters"]) - n, F.lit(0)))
+    frame = [old[f].eqNullSafe(new[f]) for f in ("modifiers", "result", "generics")]
+    kept = F.slice(new["parameters"], 1, F.greatest(n, F.lit(1))) == old["parameters"]
+    return reduce(Column.__and__, frame) & (kept | (n == 0)) & F.forall(added, lambda p: p["optional"] & ~p["rest"])
+
+
+def compatible_objects(old: Column, new: Column) -> Column:
+    """Objects (modifiers, heritage, generics, members: map of name to signature, optional): the same but for optional members added."""
+    frame = [old[f].eqNullSafe(new[f]) for f in ("modifiers", "heritage", "generics")]
+    kept = F.forall(F.map_entries(old["members"]), lambda m: F.element_at(new["members"], m["key"]).eqNullSafe(m["value"]))
+    added = F.forall(F.map_entries(new["members"]), lambda m: F.map_contains_key(old["members"], m["key"]) | m["value"]["optional"])
+    return reduce(Column.__and__, frame) & kept & added
+
+
+def merged_overloads(declared: DataFrame) -> DataFrame:
+    """Declarations of one symbol in one unit and side as one, their signatures in order of ``line``."""
+    all_ = F.array_sort(F.collect_list(F.struct("line", "signature")))
+    return declared.groupBy("cs_id", "unit_id", "symbol", "side").agg(F.array_join(F.transform(all_, lambda x: x["signature"]), "\n").alias("signature"))
+
+
+def reference_pairs(units: DataFrame, referenced: DataFrame, modules: DataFrame) -> DataFrame:
+    """Distinct (cs_id, p, c): unit ``c`` names a symbol (``path#name``) of ``p``'s old or new path, or imports its path on that side.
+
+    units: cs_id, unit_id, old_path, new_path; modules: cs_id, unit_id, path, side.
+    """
+    own = units.select("cs_id", F.col("unit_id").alias("p"), F.explode(F.array_distinct(F.array("old_path", "new_path"))).alias("path")).where("path IS NOT NULL")
+    by_symbol = referenced.where(F.col("symbol").contains("#")).select("cs_id", F.col("unit_id").alias("c"), F.substring_index("symbol", "#", 1).alias("path"))
+    sided = units.select("cs_id", F.col("unit_id").alias("p"), F.coalesce("new_path", "old_path").alias("path"), F.lit("new").alias("side")).unionByName(
+        units.where("old_path IS NOT NULL").select("cs_id", F.col("unit_id").alias("p"), F.col("old_path").alias("path"), F.lit("old").alias("side"))
+    )
+    by_module = sided.join(modules.select("cs_id", F.col("unit_id").alias("c"), "path", "side"), ["cs_id", "path", "side"])
+    return own.join(by_symbol.distinct(), ["cs_id", "path"]).select("cs_id", "p", "c").unionByName(by_module.select("cs_id", "p", "c")).where("p <> c").distinct()
+
+
+def file_rules(units: DataFrame, referenced: DataFrame, modules: DataFrame) -> DataFrame:
+    """Renamed, added and deleted files against the units that refer to them or import them. units has change_kind, too."""
+    renamed = units.where("change_kind = 'rename'").select("cs_id", F.col("unit_id").alias("p"))
+    imports = lambda side: modules.where(F.col("side") == side).select("cs_id", F.col("unit_id").alias("c"), "path").distinct()
+    files = lambda kind, path: units.where(F.col("change_kind") == kind).select("cs_id", F.col("unit_id").alias("p"), F.col(path).alias("path"))
+    return reduce(
+        DataFrame.unionByName,
+        [
+            _rule(reference_pairs(units, referenced, modules).join(renamed, ["cs_id", "p"], "left_semi"), "p", "c", "must_with", 100, "rename-reference"),
+            _rule(files("add", "new_path").join(imports("new"), ["cs_id", "path"]), "p", "c", "before", 90, "new-module-import"),
+            _rule(files("delete", "old_path").join(imports("old"), ["cs_id", "path"]), "c", "p", "before", 90, "removed-module-import"),
+        ],
+    )
+
+
+def test_rules(units: DataFrame, declared: DataFrame, referenced: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Tests and what they refer to (``pairs`` of cs_id, p, c).
+
+    An added test whose symbols are all declared by a single changed unit, which introduces one of them, must stay with that unit.
+    """
+    code = units.where("NOT is_test").select("cs_id", F.col("unit_id").alias("p"))
+    tests = units.where("is_test").select("cs_id", F.col("unit_id").alias("c"), (F.col("change_kind") == "add").alias("added"))
+    old = declared.where("side = 'old'").select("cs_id", F.col("unit_id").alias("p"), "symbol", F.lit(True).alias("had"))
+    new = declared.where("side = 'new'").select("cs_id", F.col("unit_id").alias("p"), "symbol").distinct().join(code, ["cs_id", "p"], "left_semi")
+    named = referenced.where("side = 'new'").select("cs_id", F.col("unit_id").alias("c"), "symbol").distinct()
+    subjects = new.join(old.distinct(), ["cs_id", "p", "symbol"], "left").join(named, ["cs_id", "symbol"]).where("p <> c")
+    one = subjects.groupBy("cs_id", "c").agg(F.min("p").alias("p"), F.max("p").alias("_last"), F.bool_or(F.col("had").isNull()).alias("introduces"))
+    sole = one.where("p = _last AND introduces").select("cs_id", "p", "c", F.lit(True).alias("sole"))
+    rows = pairs.join(code, ["cs_id", "p"]).join(tests, ["cs_id", "c"]).join(sole, ["cs_id", "p", "c"], "left")
+    only = F.col("added") & F.coalesce("sole", F.lit(False))
+    return _rule(rows.where(only), "p", "c", "must_with", 100, "exclusive-new-symbol-test").unionByName(_rule(rows.where(~only), "p", "c", "affinity", 90, "implementation-test"))
+
+
+def binding_rules(bindings: DataFrame, names: DataFrame) -> DataFrame:
+    """Import bindings (cs_id, unit_id, path, local, imported, module, side) against the units of the same file that use the name (cs_id, unit_id, path, name, side)."""
+    used = lambda side: names.where(F.col("side") == side).select("cs_id", "path", F.col("unit_id").alias("c"), F.col("name").alias("local")).distinct()
+    old, new = (bindings.where(F.col("side") == s).withColumnRenamed("unit_id", "p").drop("side").distinct() for s in ("old", "new"))
+    key = ["cs_id", "path", "p", "local"]
+    had = old.select(*key, F.lit(True).alias("had")).distinct()
+    fresh = new.join(old, [*key, "imported", "module"], "left_anti").join(had, key, "left").join(used("new"), ["cs_id", "path", "local"])
+    gone = old.join(new, key, "left_anti").join(used("old"), ["cs_id", "path", "local"])
+    return reduce(
+        DataFrame.unionByName,
+        [
+            _rule(fresh.where("had IS NULL"), "p", "c", "before", 95, "import-binding-change"),
+            _rule(fresh.where("had"), "p", "c", "must_with", 95, "import-binding-change"),
+            _rule(gone, "c", "p", "before", 95, "removed-import-binding"),
+        ],
+    )
+
+
+def generated_rules(units: DataFrame, rules: list[tuple[str, list[str]]]) -> DataFrame:
+    """Units (cs_id, unit_id, path) that a rule (glob of sources, globs of outputs) keeps together.
+
+    Each rule links its outputs to its least source and the other sources to its least output: the components of all pairs, with edges in proportion to the units.
+    """
+    found = []
+    for source, outputs in rules:
+        a, b = (units.where(m).select("cs_id", "unit_id") for m in (matches_any(F.col("path"), [source]), matches_any(F.col("path"), outputs)))
+        first = a.groupBy("cs_id").agg(F.min("unit_id").alias("p"))
+        other = b.groupBy("cs_id").agg(F.min("unit_id").alias("p"))
+        found += [_rule(first.join(b.withColumnRenamed("unit_id", "c"), "cs_id"), "p", "c", "must_with", 100, "generated-from")]
+        found += [_rule(other.join(a.withColumnRenamed("unit_id", "c"), "cs_id"), "c", "p", "must_with", 100, "generated-from")]
+    return reduce(DataFrame.unionByName, found).distinct()
+
+
+# Names of lock files.
+LOCKS = ["package-lock.json", "npm-shrinkwrap.json", "yarn.lock", "pnpm-lock.yaml", "bun.lock", "bun.lockb"]
+
+
+def manifest_rules(units: DataFrame, dependencies: DataFrame, imports: DataFrame) -> DataFrame:
+    """Manifests with their lock files, and dependencies (cs_id, unit_id, folder, name, side) against imports (cs_id, unit_id, path, module, side) below their folder."""
+    at = units.select("cs_id", "unit_id", F.element_at(ancestors(F.col("path")), -1).alias("folder"), F.substring_index("path", "/", -1).alias("name"))
+    manifests = at.where("name = 'package.json'").select("cs_id", F.col("unit_id").alias("p"), F.explode(F.array_distinct(F.array("folder", F.lit("")))).alias("folder"))
+    locks = at.where(F.col("name").isin(LOCKS)).select("cs_id", F.col("unit_id").alias("c"), "folder")
+    module = imports.select("cs_id", F.col("unit_id").alias("c"), "path", "side", F.explode(F.concat(ancestors(F.col("module")), F.array("module"))).alias("name")).where("name <> ''")
+
+    def changed(side: str, other: str) -> DataFrame:
+        key = ["cs_id", "unit_id", "folder", "name"]
+        only = dependencies.where(F.col("side") == side).select(*key).distinct().join(dependencies.where(F.col("side") == other), key, "left_anti")
+        inside = (F.col("folder") == "") | F.col("path").startswith(F.concat("folder", F.lit("/")))
+        return only.withColumnRenamed("unit_id", "p").join(module.where(F.col("side") == side), ["cs_id", "name"]).where(inside)
+
+    return reduce(
+        DataFrame.unionByName,
+        [
+            _rule(manifests.join(locks, ["cs_id", "folder"]), "p", "c", "must_with", 100, "manifest-lockfile"),
+            _rule(changed("new", "old"), "p", "c", "before", 95, "new-package-dependency"),
+            _rule(changed("old", "new"), "c", "p", "before", 95, "removed-package-dependency"),
+        ],
+    ).distinct()
+
+
+def resolved_modules(imports: DataFrame, tree: DataFrame) -> DataFrame:
+    """Imports (cs_id, unit_id, side, candidates in order) to the first candidate that is a path of the tree (cs_id, path), repeated rows once; none: the row goes."""
+    key = ["cs_id", "unit_id", "side", "candidates"]
+    tried = imports.select(*key).distinct().select(*key, F.posexplode("candidates").alias("_at", "path"))
+    hits = tried.join(tree.select("cs_id", "path").distinct(), ["cs_id", "path"])
+    return hits.groupBy(*key).agg(F.min_by("path", "_at").alias("path")).drop("candidates")
