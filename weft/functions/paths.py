@@ -52,3 +52,31 @@ def import_candidates(folder: Column, module: Column, endings: list[str]) -> Col
     base = F.when(folder == "", module).otherwise(F.concat_ws("/", folder, module))
     files = [F.concat(base, F.lit(e)) for e in endings] + [F.concat(base, F.lit(f"/index{e}")) for e in endings]
     return F.array_distinct(F.array(base, *files))
+
+
+# Endings tried after a module's name, in this order.
+ENDINGS = [".ts", ".tsx", ".mts", ".cts", ".js", ".jsx", ".mjs", ".cjs", ".d.ts", "/index.ts", "/index.tsx", "/index.js", "/index.d.ts"]
+
+
+def normalized(path: Column) -> Column:
+    """A relative path without empty, ``.`` and inner ``..`` parts; ``..`` stays where it leads out, a last slash stays, nothing gives ``.``."""
+    inner = F.filter(F.split(path, "/", -1), lambda p: ~p.isin("", "."))
+
+    def step(kept: Column, part: Column) -> Column:
+        last = F.get(kept, F.size(kept) - 1)
+        back = (part == "..") & F.coalesce(last != "..", F.lit(False))
+        return F.when(back, F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))).otherwise(F.concat(kept, F.array(part)))
+
+    joined = F.array_join(F.aggregate(inner, F.array().cast("array<string>"), step), "/")
+    return F.concat(F.when(joined == "", F.lit(".")).otherwise(joined), F.when(path.endswith("/"), F.lit("/")).otherwise(F.lit("")))
+
+
+def import_targets(path: Column, module: Column) -> Column:
+    """Paths that a relative module in ``path`` may stand for, those that lead out of the tree or into its own folder left out; none for other modules."""
+    folder = F.regexp_replace(path, "(^|/)[^/]*$", "")
+    target = normalized(F.when(folder == "", module).otherwise(F.concat(folder, F.lit("/"), module)))
+    bare = F.regexp_replace(target, "\\.[cm]?jsx?$", "")
+    tries = F.array_distinct(F.array(target, *[F.concat(bare, F.lit(e)) for e in ENDINGS]))
+    own = lambda p: F.exists(F.split(p, "/", -1), lambda x: F.lower(x) == ".git")
+    inside = F.filter(tries, lambda p: ~(p.isin(".", "..") | p.startswith("../") | p.startswith("/") | p.contains("\\") | p.contains("\0") | own(p)))
+    return F.when(module.startswith("."), inside).otherwise(F.array().cast("array<string>"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-TARGET_LINES, TARGET_FILES, HARD_LINES, HARD_FILES = 400, 15, 800, 40
+TARGET_LINES, TARGET_FILES, HARD_LINES, HARD_FILES = 350, 12, 800, 30
 
 
 def group_totals(units: DataFrame, membership: DataFrame) -> DataFrame:
@@ -123,12 +123,52 @@ def prefixes(totals: DataFrame) -> DataFrame:
     return totals.select("cs_id", "grp", F.sum("n_units").over(w).alias("units_so_far"), F.sum(F.col("added") + F.col("deleted")).over(w).alias("lines_so_far"))
 
 
-def titles(totals: DataFrame, units: DataFrame, membership: DataFrame) -> DataFrame:
-    """A title for each group: tests only, one area, or a count of files."""
-    area = units.join(membership, ["cs_id", "unit_id"]).groupBy("cs_id", "grp").agg(F.min("area").alias("area"))
-    t = totals.join(area, ["cs_id", "grp"])
-    title = F.when(F.col("all_tests"), F.lit("Tests")).when(F.col("areas") == 1, F.concat(F.lit("Changes in "), "area")).otherwise(F.concat(F.lit("Changes in "), F.col("files").cast("string"), F.lit(" files")))
-    return t.select("cs_id", "grp", F.substring(title, 1, 160).alias("title"))
+# Words of titles.
+ADD, REMOVE, UPDATE_TESTS, UPDATE, ANY, FILES = "Aggiungi", "Rimuovi", "Aggiorna i test di", "Aggiorna", "modifiche", "file"
+
+
+def titles(units: DataFrame, membership: DataFrame) -> DataFrame:
+    """(cs_id, grp, title): what is done, to the only area, else the only package, else the first file's name, and the number of files beyond one.
+
+    ``units`` also has change_kind. Null areas and packages don't count. Texts are cut to 160 characters; escape them where they are shown.
+    """
+    all_of = lambda kind: F.bool_and(F.coalesce(F.col("change_kind") == kind, F.lit(False)))
+    g = units.join(membership, ["cs_id", "unit_id"]).groupBy("cs_id", "grp").agg(
+        all_of("add").alias("added"), all_of("delete").alias("deleted"), F.bool_and("is_test").alias("tests"), F.count_distinct("file").alias("files"),
+        *[F.min(c).cast("string").alias(c) for c in ("area", "package")], *[(F.count_distinct(c) == 1).alias(f"one_{c}") for c in ("area", "package")],
+        F.min_by(F.col("file").cast("string"), F.encode(F.col("file").cast("string"), "UTF-16BE")).alias("first"),
+    )
+    action = F.when(F.col("added"), ADD).when(F.col("deleted"), REMOVE).when(F.col("tests"), UPDATE_TESTS).otherwise(UPDATE)
+    subject = F.when(F.col("one_area"), F.col("area")).when(F.col("one_package"), F.col("package")).otherwise(F.coalesce(F.regexp_replace("first", "^.*/", ""), F.lit(ANY)))
+    more = F.when(F.col("files") > 1, F.concat(F.lit(" ("), F.col("files").cast("string"), F.lit(f" {FILES})"))).otherwise("")
+    return g.select("cs_id", "grp", F.substring(F.translate(F.concat(action, F.lit(" "), subject, more), "\r\n\t", "   "), 1, 160).alias("title"))
+
+
+# Kinds of evidence that support a boundary.
+STRONG = [
+    "new-symbol-reference", "removed-symbol-reference", "new-module-import", "removed-module-import", "import-binding-change", "removed-import-binding",
+    "new-package-dependency", "removed-package-dependency",
+]
+
+
+def confidence(edges: DataFrame, membership: DataFrame, coarse: DataFrame | None = None) -> DataFrame:
+    """(cs_id, confidence): low with no edges, an edge of unknown kind, or in ``coarse`` (cs_id; too many components for exact boundaries); high if there is more
+    than one group, no hard edge is broken, nine tenths of the affinity are kept and every boundary has two strong pairs; else medium. Edges may have
+    ``evidence``; those that don't have a strong kind then support no boundary."""
+    e = edge_groups(edges, membership)
+    same = F.col("src_grp") == F.col("dst_grp")
+    broken = (F.col("kind") == "must_with") & ~same | (F.col("kind") == "before") & (F.col("src_grp") > F.col("dst_grp"))
+    sums = e.groupBy("cs_id").agg(
+        F.bool_or(F.col("kind") == "unknown").alias("unknown"), F.bool_or(broken).alias("broken"),
+        F.sum(F.when(F.col("kind") == "affinity", F.col("weight")).otherwise(0)).alias("affinity"), F.sum(F.when((F.col("kind") == "affinity") & same, F.col("weight")).otherwise(0)).alias("retained"),
+    )
+    strong = edges.where(F.col("evidence").isin(STRONG)) if "evidence" in edges.columns else edges
+    boundaries = strong_boundaries(strong, membership, membership)
+    every = membership.groupBy("cs_id").agg(F.count_distinct("grp").alias("groups")).join(sums, "cs_id", "left").join(boundaries, "cs_id", "left")
+    every = every.join(coarse.select("cs_id", F.lit(True).alias("coarse")).distinct(), "cs_id", "left") if coarse is not None else every.withColumn("coarse", F.lit(False))
+    low = F.col("unknown").isNull() | F.col("unknown") | F.coalesce("coarse", F.lit(False))
+    high = (F.col("groups") > 1) & ~F.col("broken") & ((F.col("affinity") == 0) | (F.col("retained") >= 0.9 * F.col("affinity"))) & F.coalesce("all_strong", F.lit(False))
+    return every.select("cs_id", F.when(low, "low").when(high, "high").otherwise("medium").alias("confidence"))
 
 
 def merge_edges(edges: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.operators.groups import HARD_FILES, HARD_LINES, edge_groups, group_totals
+from weft.operators.planner import DEFAULT, Limits, candidates
 
 _UNIT, _GROUP = ["cs_id", "unit_id"], ["cs_id", "grp"]
 
@@ -85,3 +86,17 @@ def field_changes(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     differ = F.filter(F.array(*lines), lambda x: ~x["old_value"].eqNullSafe(x["new_value"]))
     found = F.when(F.col("_old").isNull() | F.col("_new").isNull(), missing).otherwise(differ)
     return both.select(*key, F.explode(found).alias("_x")).select(*key, "_x.*")
+
+
+def candidate_rules(units: DataFrame, edges: DataFrame, claimed: DataFrame, repaired: DataFrame | None = None, limits: Limits = DEFAULT) -> DataFrame:
+    """Candidates that a plan claims (cs_id, rank, candidate_id, cost, groups) against the same derived anew; after a repair, in ``repaired`` (cs_id), there may be none."""
+    real = candidates(units, edges, limits)
+    if repaired is not None:
+        real = real.join(repaired.select("cs_id").distinct(), "cs_id", "left_anti")
+    key, fields = ["cs_id", "rank"], ("candidate_id", "cost", "groups")
+    both = claimed.select(*key, F.struct(*fields).alias("_claim")).join(real.select(*key, F.struct(*fields).alias("_real")), key, "full")
+    item = F.concat_ws(":", F.col("rank"), F.coalesce("_claim.candidate_id", "_real.candidate_id"))
+    return reduce(DataFrame.unionByName, [
+        _found(both.where("_claim IS NULL"), "candidate-missing", item), _found(both.where("_real IS NULL"), "candidate-unfounded", item),
+        _found(both.where("_claim IS NOT NULL AND _real IS NOT NULL AND NOT _claim <=> _real"), "candidate-differs", item),
+    ])

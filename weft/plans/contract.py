@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weft.operators import edgerules, groups, hunks, reports, trees, validation
-from weft.plans.queries import EG, E, M, TOTALS, U, _sliced, query
+from weft.functions import paths
+from weft.operators import edgerules, groups, hunks, reports, trees, validation, verification
+from weft.plans.queries import EG, E, M, P, SYMBOLS, TITLES, TOTALS, U, _sliced, _symbols, query, titled
 from weft.session import table
 from weft.sources import adapters
 
@@ -18,7 +19,7 @@ CLAIMS = """claim AS (SELECT cs_id, grp, CAST(sum(CASE WHEN is_generated THEN 0
 @query(f"""WITH {E}, {M}, {TOTALS}, {EG}, {CLAIMS}
   SELECT cs_id, 'hard-edge-cut' AS rule, src || '>' || dst AS item FROM eg WHERE kind = 'must_with' AND src_grp <> dst_grp
   UNION ALL SELECT cs_id, 'order-inverted', src || '>' || dst FROM eg WHERE kind = 'before' AND src_grp > dst_grp
-  UNION ALL SELECT cs_id, 'group-too-large', CAST(grp AS VARCHAR) FROM totals WHERE added + deleted > 800 OR files > 40
+  UNION ALL SELECT cs_id, 'group-too-large', CAST(grp AS VARCHAR) FROM totals WHERE added + deleted > 800 OR files > 30
   UNION ALL SELECT t.cs_id, 'totals-differ', CAST(t.grp AS VARCHAR) FROM totals t JOIN claim c ON c.cs_id = t.cs_id AND c.grp = t.grp WHERE t.added <> c.added
   UNION ALL SELECT cs_id, 'dependency-missing', needs || '<' || grp FROM (SELECT * FROM derived EXCEPT SELECT * FROM needs) a
   UNION ALL SELECT cs_id, 'dependency-unfounded', needs || '<' || grp FROM (SELECT * FROM needs EXCEPT SELECT * FROM derived) b""")
@@ -92,24 +93,94 @@ def group_reasons(spark, sf):
     return reports.top_reasons(adapters.edges(spark, u), _sliced(u), 2)
 
 
-@query(f"""WITH {E}, {M}, {TOTALS}, {EG}, a AS (SELECT cs_id, grp, min(area) AS area FROM units JOIN members USING (cs_id, unit_id) GROUP BY cs_id, grp),
+@query(f"""WITH {E}, {M}, {TOTALS}, {EG}, {TITLES},
   d AS (SELECT cs_id, grp, string_agg(CAST(g AS VARCHAR), ',' ORDER BY g) AS needs FROM (SELECT DISTINCT cs_id, dst_grp AS grp, src_grp AS g FROM eg WHERE kind = 'before' AND src_grp < dst_grp) x GROUP BY cs_id, grp)
-  SELECT t.cs_id, t.grp, '## ' || t.grp || '. ' || CASE WHEN all_tests THEN 'Tests' WHEN areas = 1 THEN 'Changes in ' || area ELSE 'Changes in ' || files || ' files' END
+  SELECT t.cs_id, t.grp, '## ' || t.grp || '. ' || title
   || chr(10) || chr(10) || '- Lines: +' || added || ' -' || deleted || chr(10) || '- Files: ' || files || chr(10) || '- Needs: ' || coalesce(needs, 'none') || chr(10) AS markdown
-  FROM totals t JOIN a ON a.cs_id = t.cs_id AND a.grp = t.grp LEFT JOIN d ON d.cs_id = t.cs_id AND d.grp = t.grp""")
+  FROM totals t JOIN titles a ON a.cs_id = t.cs_id AND a.grp = t.grp LEFT JOIN d ON d.cs_id = t.cs_id AND d.grp = t.grp""")
 def group_markdown(spark, sf):
     u = adapters.units(spark, sf)
     m = _sliced(u)
     totals = groups.group_totals(u, m)
-    return reports.group_markdown(totals, groups.titles(totals, u, m), groups.group_dependencies(adapters.edges(spark, u), m))
+    return reports.group_markdown(totals, groups.titles(titled(u), m), groups.group_dependencies(adapters.edges(spark, u), m))
 
 
-@query(f"""WITH {U}, {M}, {TOTALS}, a AS (SELECT cs_id, grp, min(area) AS area FROM units JOIN members USING (cs_id, unit_id) GROUP BY cs_id, grp),
+@query(f"""WITH {U}, {M}, {TOTALS}, {TITLES},
   j AS (SELECT cs_id, '{{"cs_id":' || cs_id || ',"groups":[' || string_agg('{{"grp":' || grp || ',"added":' || added || ',"deleted":' || deleted || ',"files":' || files || ',"title":"'
-  || CASE WHEN all_tests THEN 'Tests' WHEN areas = 1 THEN 'Changes in ' || area ELSE 'Changes in ' || files || ' files' END || '"}}', ',' ORDER BY grp) || ']}}' AS plan
-  FROM totals JOIN a USING (cs_id, grp) GROUP BY cs_id) SELECT cs_id, plan, CAST(octet_length(encode(plan)) AS BIGINT) AS bytes FROM j""")
+  || title || '"}}', ',' ORDER BY grp) || ']}}' AS plan
+  FROM totals JOIN titles USING (cs_id, grp) GROUP BY cs_id) SELECT cs_id, plan, CAST(octet_length(encode(plan)) AS BIGINT) AS bytes FROM j""")
 def plan_records(spark, sf):
     u = adapters.units(spark, sf)
     m = _sliced(u)
     totals = groups.group_totals(u, m)
-    return reports.plan_json(totals, groups.titles(totals, u, m))
+    return reports.plan_json(totals, groups.titles(titled(u), m))
+
+
+CHECKED = """g AS (SELECT cs_id, grp, max(added) > 49 AND min(file) % 3 = 0 AS broken, bool_or(is_test) AS test, count(*) > 3 AS many, min(file) % 11 = 0 AS late, min(file) % 13 = 0 AS none
+  FROM units JOIN members USING (cs_id, unit_id) GROUP BY cs_id, grp),
+  c AS (SELECT *, CASE WHEN none THEN NULL WHEN broken THEN 'failed' ELSE 'passed' END AS syntax, CASE WHEN none THEN NULL WHEN test THEN 'skipped' ELSE 'passed' END AS semantic,
+  CASE WHEN none THEN NULL WHEN many THEN 'skipped' ELSE 'passed' END AS project FROM g)"""
+
+
+@query(f"""WITH {U}, {M}, {CHECKED}, v AS (SELECT cs_id, count(*) AS total, count(*) FILTER (WHERE NOT none AND NOT late AND syntax = 'passed' AND project = 'passed') AS covered,
+  coalesce(bool_or(project <> 'skipped'), false) AS commands, CASE WHEN coalesce(bool_or(syntax = 'failed'), false) THEN 'failed' WHEN bool_or(none OR late) THEN 'verification-unavailable' ELSE 'passed' END AS status,
+  count(*) FILTER (WHERE syntax = 'passed') AS n_syntax, count(*) FILTER (WHERE semantic = 'passed') AS n_semantic FROM c GROUP BY cs_id)
+  SELECT cs_id, status, CASE WHEN commands AND status = 'passed' THEN 'project' WHEN n_semantic = total THEN 'semantic' WHEN n_syntax = total THEN 'syntax' ELSE 'reconstructed' END AS level,
+  CASE WHEN total <= 1 THEN 'single-change' WHEN status = 'passed' THEN 'split-verified' ELSE 'split-unverified' END AS plan_status, covered, total, commands FROM v""")
+def verification_status(spark, sf):
+    """Rolled-up outcomes of checks that follow from each group's units."""
+    u = adapters.units(spark, sf)
+    m = _sliced(u)
+    file = F.min("file")
+    g = u.join(m, ["cs_id", "unit_id"]).groupBy("cs_id", "grp").agg(
+        ((F.max("added") > 49) & (file % 3 == 0)).alias("broken"), F.bool_or("is_test").alias("test"), (F.count(F.lit(1)) > 3).alias("many"), (file % 11 == 0).alias("late"), (file % 13 == 0).alias("none")
+    )
+    one = lambda name, status: F.struct(F.lit(name).alias("name"), status.alias("status"))
+    own = [
+        one("syntax", F.when(F.col("broken"), "failed").otherwise("passed")), one("semantic", F.when(F.col("test"), "skipped").otherwise("passed")),
+        one("build", F.when(F.col("many"), "skipped").otherwise("passed")),
+    ]
+    first, absent = one("reconstruction", F.lit("passed")), F.lit("unavailable")
+    rows = F.when(F.col("none"), F.array(first, one("snapshot", absent))).when(F.col("late"), F.array(first, one("dependencies", absent), *own)).otherwise(F.array(first, *own))
+    results = g.select("cs_id", "grp", F.posexplode(rows).alias("pos", "r")).select("cs_id", "grp", "pos", "r.*")
+    return verification.verification(results, m)
+
+
+CONFIDENCE = """w AS (SELECT DISTINCT cs_id, grp FROM members), n AS (SELECT cs_id, count(*) AS groups FROM w GROUP BY cs_id),
+  s AS (SELECT cs_id, bool_or(kind = 'must_with' AND src_grp <> dst_grp OR kind = 'before' AND src_grp > dst_grp) AS broken, coalesce(sum(weight) FILTER (WHERE kind = 'affinity'), 0) AS aff,
+  coalesce(sum(weight) FILTER (WHERE kind = 'affinity' AND src_grp = dst_grp), 0) AS kept FROM eg GROUP BY cs_id),
+  b AS (SELECT cs_id, unnest(range(1, max(grp))) AS boundary FROM members GROUP BY cs_id),
+  k AS (SELECT b.cs_id, boundary, count(DISTINCT src || '|' || dst) AS pairs FROM b LEFT JOIN eg ON eg.cs_id = b.cs_id AND kind = 'before' AND weight >= 90 AND src_grp <= boundary AND dst_grp > boundary GROUP BY b.cs_id, boundary),
+  a AS (SELECT cs_id, bool_and(pairs >= 2) AS strong FROM k GROUP BY cs_id),
+  conf AS (SELECT n.cs_id, CASE WHEN s.cs_id IS NULL THEN 'low' WHEN groups > 1 AND NOT broken AND (aff = 0 OR kept >= 0.9 * aff) AND coalesce(strong, false) THEN 'high' ELSE 'medium' END AS confidence
+  FROM n LEFT JOIN s ON s.cs_id = n.cs_id LEFT JOIN a ON a.cs_id = n.cs_id)"""
+
+
+@query(f"WITH {E}, {M}, {EG}, {CONFIDENCE} SELECT * FROM conf")
+def plan_confidence(spark, sf):
+    u = adapters.units(spark, sf)
+    return groups.confidence(adapters.edges(spark, u), _sliced(u))
+
+
+@query(f"""WITH {E}, {M}, {TOTALS}, {EG}, {TITLES}, {CONFIDENCE},
+  d AS (SELECT cs_id, grp, string_agg(CAST(g AS VARCHAR), ',' ORDER BY g) AS needs FROM (SELECT DISTINCT cs_id, dst_grp AS grp, src_grp AS g FROM eg WHERE kind = 'before' AND src_grp < dst_grp) x GROUP BY cs_id, grp),
+  l AS (SELECT t.cs_id, string_agg(t.grp || '. ' || title || chr(10) || '   ' || files || ' file · +' || added || '/-' || deleted || ' · dipendenze: ' || coalesce(needs, 'nessuna'), chr(10) || chr(10) ORDER BY t.grp) AS body,
+  CAST(sum(n_units) AS BIGINT) AS u, count(*) AS n FROM totals t JOIN titles a ON a.cs_id = t.cs_id AND a.grp = t.grp LEFT JOIN d ON d.cs_id = t.cs_id AND d.grp = t.grp GROUP BY t.cs_id)
+  SELECT l.cs_id, 'Plan · ' || CASE WHEN n > 1 THEN 'Suddivisione da verificare' ELSE 'Modifica singola' END || chr(10) || u || ' unità · ' || n || ' gruppi' || chr(10) || chr(10) || body || chr(10) || chr(10)
+  || 'Revisionabilità: 100/100 · coesione: 100/100 · integrità dipendenze: 100/100 · confidenza confini: ' || confidence || chr(10) AS report FROM l JOIN conf ON conf.cs_id = l.cs_id""")
+def terminal_report(spark, sf):
+    """Each change-set's report. The three measures are given as whole here, since number formats differ between engines; ``plan_metrics`` has them."""
+    u = adapters.units(spark, sf)
+    e, m = adapters.edges(spark, u), _sliced(u)
+    status = m.groupBy("cs_id").agg(F.when(F.count_distinct("grp") > 1, "split-unverified").otherwise("single-change").alias("status"))
+    plans = status.join(groups.confidence(e, m), "cs_id").select("*", *[F.lit(100).alias(c) for c in ("reviewability", "cohesion", "integrity")])
+    return reports.terminal_text(plans, groups.group_totals(u, m), groups.titles(titled(u), m), groups.group_dependencies(e, m))
+
+
+@query(f"""WITH {P}, {SYMBOLS}, t AS (SELECT page_id, symbol, CASE WHEN path LIKE '%/%' THEN regexp_replace(path, '[^/]*/[^/]*$', '') || substr(symbol, 2) END AS target
+  FROM paths JOIN symbols USING (page_id) WHERE symbol LIKE '/%') SELECT page_id, '..' || symbol AS module, target, CAST(CASE WHEN target IS NULL THEN 0 ELSE 14 END AS INTEGER) AS n FROM t""")
+def import_targets(spark, sf):
+    """Links of pages, taken relative to the folder above each page, as modules."""
+    links = _symbols(spark, sf).where("symbol LIKE '/%'").join(adapters.paths(spark, sf), "page_id")
+    found = links.select("page_id", F.concat(F.lit(".."), "symbol").alias("module"), paths.import_targets(F.col("path"), F.concat(F.lit(".."), "symbol")).alias("t"))
+    return found.select("page_id", "module", F.get("t", F.lit(0)).alias("target"), F.size("t").alias("n"))

@@ -90,10 +90,10 @@ def edge_penalties(spark, sf):
     return groups.edge_penalties(u, adapters.edges(spark, u))
 
 
-COST = """costs AS (SELECT cs_id, grp, CAST(floor(1000 * (8 + 35 * pow(greatest(0.0, CAST(review_lines AS DOUBLE) / 400 - 1), 2)
-  + 10 * greatest(0.0, 0.25 - CAST(review_lines AS DOUBLE) / 400) + 12 * pow(greatest(0.0, CAST(files AS DOUBLE) / 15 - 1), 2)
+COST = """costs AS (SELECT cs_id, grp, CAST(floor(1000 * (8 + 35 * pow(greatest(0.0, CAST(review_lines AS DOUBLE) / 350 - 1), 2)
+  + 10 * greatest(0.0, 0.25 - CAST(review_lines AS DOUBLE) / 350) + 12 * pow(greatest(0.0, CAST(files AS DOUBLE) / 12 - 1), 2)
   + 18 * greatest(0.0, CAST(packages - 1 AS DOUBLE)) + 24 * greatest(0.0, CAST(areas - 1 AS DOUBLE))) + 0.5) AS BIGINT) AS cost_thousandths,
-  (added + deleted > 800 OR files > 40) AS infeasible FROM totals)"""
+  (added + deleted > 800 OR files > 30) AS infeasible FROM totals)"""
 
 
 @query(f"WITH {U}, {M}, {TOTALS}, {COST} SELECT * FROM costs")
@@ -113,16 +113,23 @@ def group_prefixes(spark, sf):
     return groups.prefixes(group_totals(spark, sf))
 
 
-@query(f"""WITH {U}, {M}, {TOTALS}, a AS (SELECT cs_id, grp, min(area) AS area FROM units JOIN members USING (cs_id, unit_id) GROUP BY cs_id, grp)
-  SELECT cs_id, grp, substr(CASE WHEN all_tests THEN 'Tests' WHEN areas = 1 THEN 'Changes in ' || area ELSE 'Changes in ' || files || ' files' END, 1, 160) AS title
-  FROM totals JOIN a USING (cs_id, grp)""")
+TITLES = """titles AS (SELECT cs_id, grp, substr(CASE WHEN bool_and(is_generated) THEN 'Aggiungi' WHEN bool_and(is_test) THEN 'Aggiorna i test di' ELSE 'Aggiorna' END || ' '
+  || CASE WHEN count(DISTINCT area) = 1 THEN min(area) WHEN count(DISTINCT package) = 1 THEN CAST(min(package) AS VARCHAR) ELSE min(CAST(file AS VARCHAR)) END
+  || CASE WHEN count(DISTINCT file) > 1 THEN ' (' || count(DISTINCT file) || ' file)' ELSE '' END, 1, 160) AS title FROM units JOIN members USING (cs_id, unit_id) GROUP BY cs_id, grp)"""
+
+
+def titled(units: DataFrame) -> DataFrame:
+    """Units with a kind of change: those whose rows are all final count as added."""
+    return units.withColumn("change_kind", F.when(F.col("is_generated"), "add").otherwise("modify"))
+
+
+@query(f"WITH {U}, {M}, {TITLES} SELECT * FROM titles")
 def group_titles(spark, sf):
     u = adapters.units(spark, sf)
-    m = _sliced(u)
-    return groups.titles(groups.group_totals(u, m), u, m)
+    return groups.titles(titled(u), _sliced(u))
 
 
-@query(f"""WITH {E}, {M}, {TOTALS}, {EG}, r AS (SELECT cs_id, floor(sum(floor(least(1.0, 400.0 / greatest(1, review_lines), 15.0 / greatest(1, files)) * 1000000 + 0.5)) / 1000000 / count(*) * 10000 + 0.5) / 100 AS reviewability FROM totals GROUP BY cs_id),
+@query(f"""WITH {E}, {M}, {TOTALS}, {EG}, r AS (SELECT cs_id, floor(sum(floor(least(1.0, 350.0 / greatest(1, review_lines), 12.0 / greatest(1, files)) * 1000000 + 0.5)) / 1000000 / count(*) * 10000 + 0.5) / 100 AS reviewability FROM totals GROUP BY cs_id),
   s AS (SELECT cs_id, sum(weight) FILTER (WHERE kind = 'affinity') AS aff, sum(weight) FILTER (WHERE kind = 'affinity' AND src_grp = dst_grp) AS kept,
   count(*) FILTER (WHERE kind <> 'affinity') AS hard, count(*) FILTER (WHERE kind = 'must_with' AND src_grp = dst_grp OR kind = 'before' AND src_grp <= dst_grp) AS ok FROM eg GROUP BY cs_id)
   SELECT r.cs_id, reviewability, CASE WHEN coalesce(aff, 0) = 0 THEN 100.0 ELSE floor(CAST(coalesce(kept, 0) AS DOUBLE) / aff * 10000 + 0.5) / 100 END AS cohesion,
