@@ -27,6 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weft.llm._batches import small_batches
 from weft.llm._order import bucket_splits, running_start
 from weft.llm._tokens import Encoded, _shift, _times, batches, tokenizer_path, word_ids
 from weft.session import materialize, table
@@ -136,7 +137,7 @@ def _pack(window: int, sentence: int, forced_cost: int):
 
 def pack_documents(docs: DataFrame, text: str = "text", tokenizer: str | None = None, end_id: int = 2, window: int = WINDOW, segment: int = SEGMENT_IDS, sentence_penalty: int = SENTENCE_PENALTY, forced_penalty: int = FORCED_PENALTY) -> DataFrame:
     """One row for each piece of a document in a sequence: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    rows = docs.select("doc_id", text, F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_key"))
+    rows = small_batches(docs).select("doc_id", text, F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_key"))
     measured = rows.mapInPandas(
         _measure(tokenizer or tokenizer_path(), text, end_id, min(FORCED_EVERY, window)),
         "doc_id bigint, _key bigint, n_tokens bigint, ends array<int>, forced array<boolean>, crcs array<bigint>",

@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weft.llm._batches import small_batches
+
 #: Share of word characters that repeated n-grams of a length may cover.
 COVERAGE_LIMITS = {5: 0.25, 7: 0.22, 10: 0.20}
 #: Share of word characters that lines equal to an earlier line may hold.
@@ -105,7 +107,7 @@ def quality_rules(docs: DataFrame, text: str = "text", limits: dict[int, float]
     def rate(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([repetition(t, tuple(limits)) for t in texts], columns=names).astype("int64")
 
-    found = docs.select(*keep, F.pandas_udf(rate, f"struct<{fields}>")(text).alias("_r")).select(*keep, "_r.*")
+    found = small_batches(docs).select(*keep, F.pandas_udf(rate, f"struct<{fields}>")(text).alias("_r")).select(*keep, "_r.*")
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     share = lambda c: F.col(c) / F.greatest(F.col("word_chars"), F.lit(1))
     passes = share("dup_line_chars") <= line_limit

@@ -31,6 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weft.llm._batches import small_batches
 from weft.operators.components import connected_components
 from weft.session import checkpoint, materialize, table
 
@@ -135,7 +136,7 @@ def fingerprints(docs: DataFrame, text: str = "text", keep: list[str] | None = N
         return pd.Series(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))
 
     keep = ["doc_id"] if keep is None else keep
-    return docs.select(*keep, F.pandas_udf(hashed, "bigint")(text).alias("fp"))
+    return small_batches(docs).select(*keep, F.pandas_udf(hashed, "bigint")(text).alias("fp"))
 
 
 def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
