@@ -133,6 +133,30 @@ def test_line_dedup(docs, rows, empty):
     assert linededup.deduped_documents(docs).columns == docs.columns
 
 
+def test_line_dedup_takes_whole_passages_next_to_others(spark):
+    rng = random.Random(11)
+    line = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(8))
+    hot = [line() for _ in range(2)]
+    rows, planted = [], []
+    for g in range(60):
+        # a and b stand once each alone and once side by side; c with equal, more or fewer copies beside hot lines
+        a, b, c = ([line() for _ in range(rng.randint(2, 9))] for _ in range(3))
+        texts = [[line(), *a, line()], [line(), *b, line()], [line(), *a, *b, line()], [line(), *c, line()], [line(), *hot, *c, *hot, line()]]
+        if g % 2:
+            texts.append([line(), *c, *a, line()])
+        for i, t in enumerate(texts):
+            rows.append((1000 * g + i, "\n".join(t)))
+        planted += [(1000 * g + 2, a + b), (1000 * g + 4, c), *([(1000 * g + 5, c + a)] if g % 2 else [])]
+    text = {r.doc_id: r.text.split("\n") for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    left = [(d, [x for x in want if x in text[d]]) for d, want in planted]
+    assert not [x for x in left if x[1]]
+    # what stands first stays, and so do all lines that occur once
+    seen = collections.Counter(x for _, t in rows for x in t.split("\n"))
+    for d, t in rows:
+        assert [x for x in t.split("\n") if seen[x] == 1] == [x for x in text[d] if seen[x] == 1]
+    assert {x for t in text.values() for x in t} == set(seen)
+
+
 def test_token_counts_equal_the_library(docs, rows, empty):
     from tokenizers import Tokenizer, models
 

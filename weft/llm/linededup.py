@@ -2,9 +2,11 @@
 
 1. Each non-blank line has a hash; lines whose hash occurs twice or more are repeated. A document's runs of
    consecutive repeated lines (blank lines between them don't count) are the only places where repeated passages can be.
-2. A run is cut into chunks where a rolling hash over the last two line hashes meets a mask, with two lines at least to a chunk, and
-   where the lines' number of occurrences changes from or to a steady one (one passage next to another). A run starts where unique text ends, so the same passage is cut in the same way
+2. A run is cut between two lines wherever a repeated passage ends there: where the ordered pair of the lines does not itself repeat, or
+   occurs less often than the pair before or after it (one passage next to another). Between those cuts it is cut where a rolling hash over
+   the last two line hashes meets a mask, with two lines at least to a chunk on both sides, so the same passage is cut in the same way
    wherever it stands, and an insertion moves only the cuts next to it. A line of ``LONG_WORDS`` words or more always makes its own chunk.
+   A pair that repeats across such a cut is a chunk of two lines besides, so that a line left alone between two cuts goes with its neighbour.
 3. Chunks of two lines or more, and long single lines, are candidates. Their texts are fetched and compared byte by
    byte (grouped by the text itself, with a partial aggregation): all but the first occurrence, by doc_id and line, are removed.
 
@@ -34,35 +36,52 @@ def _lines(text: str) -> Column:
 
 
 def repeated_runs(keyed: DataFrame, text: str) -> DataFrame:
-    """(doc_id, _key, run, lines array<struct<k, pos, h, long, n>>) of consecutive repeated lines, in order."""
+    """(doc_id, _key, run, lines array<struct<k, pos, h, long, p>>) of consecutive repeated lines, in order. p: occurrences of the pair of a line and the next."""
     kept = F.filter(
         F.transform(_lines(text), lambda line, i: F.struct(i.alias("pos"), line.alias("line"))),
         lambda x: F.length(F.trim(F.translate(x["line"], "\t\n\x0b\x0c\r", "     "))) > 0,
     )
-    lines = keyed.where(F.col("doc_id").isNotNull()).select("doc_id", "_key", F.posexplode(kept).alias("k", "x"))
+    kept = keyed.where(F.col("doc_id").isNotNull()).select("doc_id", "_key", kept.alias("kept"))
+    both = F.arrays_zip(F.col("kept").alias("x"), F.slice("kept", F.lit(2), F.size("kept")).alias("y"))
+    lines = kept.select("doc_id", "_key", F.posexplode(both).alias("k", "b")).select("doc_id", "_key", "k", F.col("b.x").alias("x"), F.col("b.y").alias("y"))
     words = F.size(F.filter(F.split(F.translate("x.line", "\t\n\x0b\x0c\r", "     "), " "), lambda w: w != ""))
-    lines = lines.select("doc_id", "_key", "k", F.col("x.pos").alias("pos"), F.xxhash64("x.line").alias("h"), (words >= LONG_WORDS).alias("long"))
+    # the last line of a document makes a pair of its own, so that no null key gathers in one task
+    pair = F.when(F.col("y").isNull(), F.xxhash64("doc_id", "_key", F.lit("end"))).otherwise(F.xxhash64(F.xxhash64("x.line"), F.xxhash64("y.line")))
+    lines = lines.select("doc_id", "_key", "k", F.col("x.pos").alias("pos"), F.xxhash64("x.line").alias("h"), pair.alias("h2"), (words >= LONG_WORDS).alias("long"))
     lines = materialize(lines, "lines")
-    # written, so that the join deals the lines anew and may split a hot one
-    again = materialize(lines.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "again")
-    found = lines.join(again, "h").repartition("doc_id", "_key").distinct()
+    # written, so that the joins deal the lines anew and may split a hot one
+    again = materialize(lines.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "again")
+    pairs = materialize(lines.groupBy("h2").agg(F.count(F.lit(1)).alias("p")).where("p > 1"), "pairs")
+    found = lines.join(again, "h").join(pairs, "h2", "left").select("doc_id", "_key", "k", "pos", "h", "long", F.coalesce("p", F.lit(1)).alias("p"))
+    found = found.repartition("doc_id", "_key").distinct()
     at = W.partitionBy("doc_id", "_key").orderBy("k")
     runs = found.withColumn("run", F.col("k") - F.row_number().over(at))
-    return runs.groupBy("doc_id", "_key", "run").agg(F.array_sort(F.collect_list(F.struct("k", "pos", "h", "long", "n"))).alias("lines"))
+    return runs.groupBy("doc_id", "_key", "run").agg(F.array_sort(F.collect_list(F.struct("k", "pos", "h", "long", "p"))).alias("lines"))
+
+
+def _pair(lines: Column, i: Column) -> Column:
+    """Occurrences of the pair of a run's lines i and i + 1, counted from 1; 1 beyond the run."""
+    return F.coalesce(F.get(lines, i - 1)["p"], F.lit(1))
+
+
+def is_border(lines: Column, i: Column) -> Column:
+    """Whether a run must be cut after its first i lines: a passage ends or starts there, or a line is long."""
+    here = _pair(lines, i)
+    less = (here < _pair(lines, i - 1)) | (here < _pair(lines, i + 1))
+    return F.get(lines, i - 1)["long"] | F.get(lines, i)["long"] | (here < 2) | less
 
 
 def chunk_ends(lines: Column, mean: int = MEAN_LINES) -> Column:
-    """Ends (counts of lines before them) of a run's chunks. ``lines``: structs with h, long and n."""
+    """Ends (counts of lines before them) of a run's chunks. ``lines``: structs with h, long and p."""
     size = F.size(lines)
 
     def step(acc: Column, i: Column) -> Column:
         # i: lines up to here, from 1 to size - 1
-        here, after = F.get(lines, i - 1), F.get(lines, i)
         last = F.coalesce(F.element_at(acc, -1), F.lit(0))
-        roll = F.xxhash64(here["h"], F.when(i >= 2, F.get(lines, i - 2)["h"]))
-        steady = (after["n"] == F.get(lines, i + 1)["n"]) | (here["n"] == F.get(lines, F.greatest(i - 2, F.lit(0)))["n"]) & (i >= 2)
-        change = (here["n"] != after["n"]) & F.coalesce(steady, F.lit(False))
-        cut = here["long"] | after["long"] | change | ((F.pmod(roll, F.lit(mean)) == 0) & (i - last >= 2) & (size - i >= 2))
+        roll = F.xxhash64(F.get(lines, i - 1)["h"], F.when(i >= 2, F.get(lines, i - 2)["h"]))
+        # two lines at least on both sides: the next border is judged, which is the same wherever the passage stands
+        room = (i - last >= 2) & (size - i >= 2) & ~is_border(lines, i + 1)
+        cut = is_border(lines, i) | ((F.pmod(roll, F.lit(mean)) == 0) & room)
         return F.when(cut, F.concat(acc, F.array(i))).otherwise(acc)
 
     inner = F.when(size > 1, F.sequence(F.lit(1), size - 1)).otherwise(F.array().cast("array<int>"))
@@ -76,7 +95,9 @@ def candidate_chunks(keyed: DataFrame, text: str) -> DataFrame:
     """(doc_id, _key, first, last): line numbers of the chunks that are multi-line or long."""
     runs = repeated_runs(keyed, text).withColumn("ends", chunk_ends(F.col("lines")))
     ends = F.transform("ends", lambda e, i: F.struct(F.when(i > 0, F.get(F.col("ends"), i - 1)).otherwise(0).alias("a"), e.alias("b")))
-    chunks = runs.select("doc_id", "_key", "lines", F.explode(ends).alias("c"))
+    over = F.filter("ends", lambda e: (e < F.size("lines")) & (_pair(F.col("lines"), e) > 1) & is_border(F.col("lines"), e))
+    over = F.transform(over, lambda e: F.struct((e - 1).alias("a"), (e + 1).alias("b")))
+    chunks = runs.select("doc_id", "_key", "lines", F.explode(F.array_distinct(F.concat(ends, over))).alias("c"))
     first, last = F.get("lines", F.col("c.a")), F.get("lines", F.col("c.b") - 1)
     return chunks.where((F.col("c.b") - F.col("c.a") > 1) | first["long"]).select(
         "doc_id", "_key", first["pos"].alias("first"), last["pos"].alias("last")
