@@ -334,6 +334,13 @@ def test_language_model(docs, rows, empty):
     assert lmscore.score_texts(empty).count() == 0
 
 
+def test_language_model_scores_are_the_same_with_a_filter_too_large_to_send(docs, rows):
+    of = lambda **how: sorted(((r.doc_id or -1, r.held_out, r.n_tokens, r.n_known, r.score) for r in lmscore.score_texts(docs, **how).collect()))
+    sent, routed = of(hot_words=10), of(hot_words=10, max_filter_bytes=0)
+    assert len(routed) == len(rows)
+    assert sent == routed
+
+
 def test_filter_levels_are_never_too_low():
     rng = np.random.default_rng(1)
     keys = rng.integers(0, 1 << 63, 5000, dtype=np.uint64)
