@@ -371,6 +371,24 @@ def test_main_text(spark):
     assert htmlmain.extract_main_text(none, train_pages=10).count() == 0
 
 
+def text_of(html):
+    return " ".join(x.strip() for n in htmlmain.parse(html) for x in n.items if isinstance(x, str) and x.strip())
+
+
+def test_pages_with_open_heads_and_open_skipped_elements_are_read_on():
+    for top in ("<head><title>T</title><meta name=x>", "<html><head><script>a<b</script><link rel=x>", "<head><noscript><p>off</p></noscript><title>T"):
+        assert text_of(f"{top}<body><p>one<p>two</body>") == "one two", top
+    assert text_of("<head><title>T</title><p>one<p>two") == "one two"
+    assert text_of("<head><title>T</title>one<p>two") == "one two"
+    for tag in ("button", "option", "object", "dialog", "video", "audio", "canvas", "svg", "select"):
+        assert text_of(f"<body><div><p>one</p><{tag}>gone</div><p>two</p><p>three</p></body>") == "one two three", tag
+        assert text_of(f"<body><p>one<{tag}>gone<p>two<p>three</body>") == "one two three", tag
+        assert text_of(f"<body><p>one</p><{tag}><p>gone</p><{tag}>gone</{tag}><b>gone</b></{tag}><p>two</p></body>") == "one two", tag
+        assert text_of(f"<div><{tag}>gone</div><p>one</p><{tag}>gone</{tag}><p>two</p>") == "one two", tag
+    assert text_of("<p>one</p><select><option>gone<option>gone</select><p>two</p>") == "one two"
+    assert text_of("<article><p>one <math><mi>x</mi></math> two</p></article>") == "one x two"
+
+
 def test_pipeline(spark, docs, tmp_path):
     import corpus_pipeline
 

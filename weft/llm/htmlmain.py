@@ -31,7 +31,9 @@ from pyspark.sql import functions as F
 from weft.session import table
 
 TRAIN_PAGES, TRAIN_LAYOUTS, TREES, DEPTH, RATE = 120, 400, 60, 4, 0.25
-_SKIP = frozenset(("script", "style", "noscript", "template", "head", "iframe", "svg", "object", "textarea", "select", "option", "button", "canvas", "audio", "video", "math", "dialog"))
+_SKIP = frozenset(("script", "style", "noscript", "template", "head", "iframe", "svg", "object", "textarea", "select", "option", "button", "canvas", "audio", "video", "dialog"))
+#: What a head may hold; any other start tag, and text, ends it, as </head> may be left out.
+_IN_HEAD = _SKIP - {"head"} | {"base", "basefont", "bgsound", "link", "meta", "noframes"}
 _VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"))
 _BLOCK = (
     "html", "body", "main", "article", "section", "div", "p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "dl", "dt", "dd",
@@ -70,21 +72,76 @@ class Node:
         self.index, self.kept = 0, True
 
 
-class _Tree(HTMLParser):
+class _Events(HTMLParser):
+    """(kind, tag or text, attributes) of a page in order; kind 0 is a start tag, 1 an end tag, 2 text."""
+
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
+        self.events: list[tuple] = []
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        self.events.append((0, tag, attrs))
+
+    def handle_endtag(self, tag: str) -> None:
+        self.events.append((1, tag, None))
+
+    def handle_data(self, data: str) -> None:
+        self.events.append((2, data, None))
+
+
+def _left_open(events: list[tuple]) -> set[int]:
+    """Places of the start tags of skipped elements that no end tag closes."""
+    opens: dict[str, list[int]] = {}
+    for i, (kind, tag, _) in enumerate(events):
+        if kind < 2 and tag in _SKIP:
+            if kind == 0:
+                opens.setdefault(tag, []).append(i)
+            elif opens.get(tag):
+                opens[tag].pop()
+    return {i for found in opens.values() for i in found}
+
+
+class _Tree:
+    def __init__(self) -> None:
         self.root = self.at = Node("html", (0,) * len(_CLUES), None)
         self.nodes = [self.root]
         self.skipping: list[str] = []
+        self.loose = False  # what is skipped last has no end tag, so it ends with the next block or skipped element
         self.anchor = 0
 
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        if self.skipping:
-            if tag in _SKIP and tag not in _VOID:
+    def read(self, events: list[tuple]) -> None:
+        loose = _left_open(events)
+        for i, (kind, name, attrs) in enumerate(events):
+            if kind == 0:
+                self.start(name, attrs, i in loose)
+            elif kind == 1:
+                self.end(name)
+            else:
+                self.data(name)
+
+    def _unskip(self) -> None:
+        self.skipping.pop()
+        self.loose = False
+
+    def start(self, tag: str, attrs: list, loose: bool) -> None:
+        if self.loose and (tag in _IS_BLOCK or tag in _SKIP):
+            self._unskip()
+        if self.skipping and self.skipping[-1] == "head" and tag not in _IN_HEAD:
+            if tag == "title":
                 self.skipping.append(tag)
-            return
+                return
+            self._unskip()
+        if self.skipping and self.skipping[-1] == "title" and tag == "body":
+            self.skipping.clear()
         if tag in _SKIP:
-            self.skipping.append(tag)
+            if tag == "head":
+                if not self.skipping:
+                    self.skipping.append(tag)
+            elif not self.skipping or self.skipping[-1] == "head" or not loose:
+                self.skipping.append(tag)
+                self.loose = loose
+            return
+        if self.skipping:
             return
         if tag == "a":
             self.anchor = 1
@@ -121,7 +178,9 @@ class _Tree(HTMLParser):
     def _up(self, node: Node) -> None:
         self.at, self.anchor = node, 0
 
-    def handle_endtag(self, tag: str) -> None:
+    def end(self, tag: str) -> None:
+        if self.loose and (tag in _IS_BLOCK or tag in _SKIP or tag == "datalist"):
+            self._unskip()
         if self.skipping:
             if tag in self.skipping:
                 while self.skipping.pop() != tag:
@@ -141,7 +200,9 @@ class _Tree(HTMLParser):
         if n is not None and n.parent is not None:
             self._up(n.parent)
 
-    def handle_data(self, data: str) -> None:
+    def data(self, data: str) -> None:
+        if self.skipping and self.skipping[-1] == "head" and data.strip():
+            self._unskip()
         if self.skipping:
             return
         n = len(data.strip())
@@ -153,12 +214,14 @@ class _Tree(HTMLParser):
 
 def parse(html: str | None) -> list[Node]:
     """The nodes of a page in document order; the first is the root."""
-    tree = _Tree()
+    page = _Events()
     try:
-        tree.feed(html or "")
-        tree.close()
+        page.feed(html or "")
+        page.close()
     except (AssertionError, ValueError):  # mark-up declarations the parser gives up on: what came before stays
         pass
+    tree = _Tree()
+    tree.read(page.events)
     for i, n in enumerate(tree.nodes):
         n.index = i
     return tree.nodes
