@@ -389,6 +389,15 @@ def test_pages_with_open_heads_and_open_skipped_elements_are_read_on():
     assert text_of("<article><p>one <math><mi>x</mi></math> two</p></article>") == "one x two"
 
 
+def test_pages_are_read_on_after_odd_declarations():
+    for odd in ("<![foo]>", "<![ x >", "<![>", "<!x>", "<![if x]>", "<![CDATA[gone]]>", "<!>", "<p data-weft-label=x>", "<p data-weft-label>", "<?x>"):
+        assert text_of(f"<body><p>one</p>{odd}<p>two</p></body>") == "one two", odd
+    assert text_of("<p>one</p><p>two <![ x").startswith("one two")
+    rng = random.Random(3)
+    for _ in range(3000):
+        assert "last" in text_of("".join(rng.choice(["<!", "[", "]", "]]>", ">", "--", "<", "/", "p", " ", "if", "&#", ";", "x=", "CDATA", "?", "'"]) for _ in range(12)) + "'\"-->]]></p><p>last</p>")
+
+
 def test_pipeline(spark, docs, tmp_path):
     import corpus_pipeline
 

@@ -88,6 +88,12 @@ class _Events(HTMLParser):
     def handle_data(self, data: str) -> None:
         self.events.append((2, data, None))
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:  # an unknown keyword, or none: a comment up to '>', as in HTML
+            return self.parse_bogus_comment(i, report)
+
 
 def _left_open(events: list[tuple]) -> set[int]:
     """Places of the start tags of skipped elements that no end tag closes."""
@@ -167,7 +173,7 @@ class _Tree:
         for k, v in attrs:
             if k in ("class", "id", "role", "itemprop", "aria-label") and v:
                 said.update(x.lower() for x in _WORDS.findall(v))
-            elif k == "data-weft-label":
+            elif k == "data-weft-label" and re.fullmatch("[0-9]{1,9}", v or ""):  # as laid out for training
                 label = int(v)
         node = Node(tag, tuple(int(bool(said & c)) for c in _CLUE), self.at, label)
         self.at.children.append(node)
@@ -215,11 +221,8 @@ class _Tree:
 def parse(html: str | None) -> list[Node]:
     """The nodes of a page in document order; the first is the root."""
     page = _Events()
-    try:
-        page.feed(html or "")
-        page.close()
-    except (AssertionError, ValueError):  # mark-up declarations the parser gives up on: what came before stays
-        pass
+    page.feed(html or "")
+    page.close()
     tree = _Tree()
     tree.read(page.events)
     for i, n in enumerate(tree.nodes):
