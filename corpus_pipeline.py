@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from weft.llm.linededup import deduped_documents
 from weft.llm.mixing import mixed_documents
-from weft.llm.packing import pack_documents
+from weft.llm.packing import pack_documents, shuffled
 from weft.llm.repetition import keep_good
 from weft.llm.simhash import keep_one_each
 from weft.session import shared_path, table
@@ -37,8 +37,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences."""
-    return pack_documents(docs)
+    """Pieces of documents in sequences, in a shuffled order of the mixed rows."""
+    return pack_documents(docs, order=shuffled("mix"))
 
 
 STAGES = [("quality", quality), ("line_dedup", lines), ("near_dedup", near), ("mix", mix), ("pack", pack)]

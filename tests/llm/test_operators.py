@@ -408,3 +408,20 @@ def test_pipeline(spark, docs, tmp_path):
         if i < 4:
             assert at.columns == docs.columns
     assert at.count() > 0
+
+
+def test_pipeline_packs_in_mixed_order(spark):
+    import corpus_pipeline
+
+    rows = [(i, f"Text number {i} is short.", "ab"[i // 20]) for i in range(40) for _ in range(25)]
+    mixed = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    packed = lambda d: [(r.sequence_id, r.offset, r.doc_id, r.length) for r in sorted(corpus_pipeline.pack(spark, d, "").collect(), key=lambda r: (r.sequence_id, r.offset))]
+    got = packed(mixed)
+    whole = collections.Counter()
+    for _, _, d, n in got:
+        whole[d] += n
+    assert len(whole) == 40 and all(n % 25 == 0 for n in whole.values())
+    order = [d for _, _, d, _ in got]
+    assert sum(a == b for a, b in zip(order, order[1:], strict=False)) < 0.1 * len(order)
+    assert 0.4 < sum((a < 20) != (b < 20) for a, b in zip(order, order[1:], strict=False)) / len(order) < 0.6
+    assert packed(mixed.repartition(7)) == got

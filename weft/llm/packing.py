@@ -1,6 +1,7 @@
 """Order-preserving packing: the best window cuts by dynamic programming with a monotone queue.
 
-All documents' ids form one stream in doc_id order. A window of up to 4096 ids may end at a document end (free),
+All documents' ids form one stream, in doc_id order or a given other one (the pipeline packs in the order of a hash, which
+keeps the copies of a document and the documents of a source apart). A window of up to 4096 ids may end at a document end (free),
 at a sentence end inside a document (a truncation penalty) or, inside a sentence of over 1024 ids, at every
 1024th id (a larger one). A window of n ids costs 4096 - n in padding. With boundaries p and best costs f,
 
@@ -24,8 +25,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from weft.llm._batches import small_batches
 from weft.llm._order import bucket_splits, running_start
@@ -135,15 +137,28 @@ def _pack(window: int, sentence: int, forced_cost: int):
     return run
 
 
-def pack_documents(docs: DataFrame, text: str = "text", tokenizer: str | None = None, end_id: int = 2, window: int = WINDOW, segment: int = SEGMENT_IDS, sentence_penalty: int = SENTENCE_PENALTY, forced_penalty: int = FORCED_PENALTY) -> DataFrame:
-    """One row for each piece of a document in a sequence: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+def shuffled(seed: str) -> Column:
+    """An order of pack_documents in which equal rows lie anywhere, too: a hash of seed, doc_id, text and number of the copy."""
+    return F.xxhash64(F.lit(seed), "doc_id", "_key", "_copy")
+
+
+def pack_documents(docs: DataFrame, text: str = "text", tokenizer: str | None = None, end_id: int = 2, window: int = WINDOW, segment: int = SEGMENT_IDS, sentence_penalty: int = SENTENCE_PENALTY, forced_penalty: int = FORCED_PENALTY, order: Column | None = None) -> DataFrame:
+    """One row for each piece of a document in a sequence: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+
+    ``order``: a bigint by which the documents are packed, from doc_id, _key (the text's hash) and _copy (from 1 over equal rows); doc_id if None.
+    """
     rows = small_batches(docs).select("doc_id", text, F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_key"))
     measured = rows.mapInPandas(
         _measure(tokenizer or tokenizer_path(), text, end_id, min(FORCED_EVERY, window)),
         "doc_id bigint, _key bigint, n_tokens bigint, ends array<int>, forced array<boolean>, crcs array<bigint>",
     )
+    by = "doc_id"
+    if order is not None:
+        by = "_order"
+        copy = F.row_number().over(W.partitionBy("doc_id", "_key").orderBy("n_tokens"))  # equal rows: any order of them is the same
+        measured = measured.withColumn("_copy", copy).withColumn(by, order)
     measured = materialize(measured, "lengths")
-    placed = running_start(measured, ["doc_id", "_key"], "n_tokens", bucket_splits(measured))
+    placed = running_start(measured, list(dict.fromkeys([by, "doc_id", "_key"])), "n_tokens", bucket_splits(measured, by), by)
     placed = placed.withColumn("segment", F.floor(F.col("start") / segment))
     return placed.select("segment", "doc_id", "start", "n_tokens", "ends", "forced", "crcs").groupBy("segment").applyInPandas(
         _pack(window, sentence_penalty, forced_penalty),
