@@ -13,7 +13,8 @@ import xxhash
 from pyspark.sql import functions as F
 
 from weft.llm import editembed, htmlmain, idstore, linededup, lmscore, mixing, packing, repetition, simhash, viterbi
-from weft.llm._tokens import crc_combine, tokenizer_path
+from weft.llm._order import bucket_of, bucket_splits, running_start
+from weft.llm._tokens import WordIds, crc_before, encoded, tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, copy int, key string"
 END = 2
@@ -215,11 +216,43 @@ def test_id_store_finds_damage(spark, docs, tmp_path):
         idstore.verify_store(spark, broken).collect()
 
 
-def test_crc_combine():
+def test_checksums_of_parts_make_that_of_the_whole():
     rng = random.Random(1)
     for _ in range(50):
-        a, b = rng.randbytes(rng.randint(0, 99)), rng.randbytes(rng.randint(0, 999))
-        assert crc_combine(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
+        parts = [rng.randbytes(rng.randint(0, 999)) for _ in range(5)]
+        after = [sum(map(len, parts[i + 1 :])) for i in range(5)]
+        got = crc_before(np.array([zlib.crc32(p) for p in parts]), np.array(after))
+        assert np.bitwise_xor.reduce(got) == zlib.crc32(b"".join(parts))
+
+
+def test_ids_equal_the_library_on_odd_words():
+    from tokenizers import Tokenizer
+
+    rng = random.Random(6)
+    whole = Tokenizer.from_file(tokenizer_path())
+    odd = ["a", "B", "é", "É", "İ", "J\u030c", "E\u0301", "'s", "'", "'T", ".", ",", "!?", '"', "(", ">", "×", "1", "23", "日本", "x" * 70, "…", "-", "<|endoftext|>", "ß", "naïve", "\x1c", "\u00a0", " ", " ", "\n", "\t"]
+    texts = ["".join(rng.choice(odd) for _ in range(rng.randint(0, 60))) for _ in range(3000)]
+    words = WordIds(tokenizer_path())
+    for again in range(2):
+        got = list(encoded(words, [*texts, None], END))
+        assert [g.tolist() for g in got] == [[*e.ids, END] for e in whole.encode_batch([*texts, ""], add_special_tokens=False)], again
+        words.forget()
+
+
+def test_buckets_split_shared_keys(spark):
+    rows = [(k, i) for i, k in enumerate([None] * 300 + [7] * 300 + list(range(100)) + [-(2**63), 2**63 - 1])]
+    docs = spark.createDataFrame(rows, "doc_id long, n long").withColumn("_tie", F.xxhash64("n"))
+    at = bucket_splits(docs, per_bucket=20)
+    got = docs.withColumn("b", bucket_of(at)).collect()
+    order = sorted(got, key=lambda r: (r.doc_id is not None, r.doc_id or 0, r._tie))
+    assert [r.b for r in order] == sorted(r.b for r in order)
+    assert max(collections.Counter(r.b for r in got).values()) < 120 and len({r.b for r in got if r.doc_id is None}) > 5
+    want, start = {}, 0
+    for r in order:
+        want[r.n] = start
+        start += r.n
+    assert {r.n: r.start for r in running_start(docs, "n", at).collect()} == want
+    assert bucket_splits(docs.limit(0)) == []
 
 
 def test_best_cuts_is_the_optimum():
@@ -281,12 +314,33 @@ def test_edit_fingerprints(docs, rows, empty):
     assert editembed.likeness(*editembed.fingerprints([a, a[:1500] + "X" + a[1500:]])) > 0.8
 
 
-def test_near_documents(spark):
+def test_near_documents_recall(spark):
+    """Against all pairs: nine tenths of the near ones at least, and none that isn't near. Groups of copies make bands that many share."""
     rng = random.Random(8)
-    texts = ["".join(rng.choice("abcdefghij ") for _ in range(2000)) for _ in range(6)]
-    rows = [(i, t) for i, t in enumerate(texts)] + [(10, texts[0]), (11, texts[0][:1900] + "zz" + texts[0][1902:])]
-    got = editembed.near_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {frozenset((r.rep_a, r.rep_b)) for r in got} == {frozenset((0, 11))}
+    letters = "abcdefghij "
+
+    def edited(t, n):
+        t = list(t)
+        for _ in range(n):
+            at = rng.randrange(len(t))
+            t[at : at + rng.randint(0, 2)] = rng.choice(letters) * rng.randint(0, 2)
+        return "".join(t)
+
+    texts = ["".join(rng.choice(letters) for _ in range(rng.choice((40, 300, 2000)))) for _ in range(90)]
+    texts += [edited(t, rng.choice((1, 2, 5))) for t in texts for _ in range(3)]
+    texts += [edited(texts[0], 2) for _ in range(120)] + [texts[1]] * 5 + ["", "", "x"]
+    rng.shuffle(texts)
+    found = {(r.query, r.found): (r.rep_query, r.rep_found) for r in editembed.near_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    prints = editembed.fingerprints(texts)
+    least = {}
+    for i, f in enumerate(prints):
+        least.setdefault(f, i)
+    asked = {f for i, f in enumerate(prints) if i % 20 == 0}
+    near = {(a, b) for a in asked for b in least if a != b and editembed.likeness(a, b) >= 0.8}
+    assert len(near) > 60 and set(found) <= near
+    assert len(found) >= 0.9 * len(near)
+    assert all(v == (least[a], least[b]) for (a, b), v in found.items())
+    assert all(editembed.share_band(a, b) == bool(set(editembed.band_keys(a)) & set(editembed.band_keys(b))) for a in asked for b in least if a != b)
 
 
 def test_mixing(docs, rows, empty):

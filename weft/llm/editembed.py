@@ -23,11 +23,12 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weft.llm._batches import small_batches
 from weft.llm._order import bucket_of, bucket_splits
-from weft.session import table
+from weft.session import materialize, table
 
 PER_STRETCH = 64
 _PERIOD = 1 << 12
@@ -118,15 +119,6 @@ def _walked(texts: list[str]) -> list[str]:
     return [b"".join(p).decode() for p in parts]
 
 
-def stretches(fingerprint: str) -> list[str]:
-    out, at, k = [], 0, 0
-    while at < len(fingerprint):
-        n = min(1 << k, PER_STRETCH)
-        out.append(fingerprint[at : at + n])
-        at, k = at + n, k + 1
-    return out
-
-
 def likeness(a: str, b: str) -> float:
     """Share of the longer walk in which two fingerprints agree, less the one in 15 that chance gives; 0 to 1."""
     if a == b:
@@ -155,40 +147,67 @@ def fingerprint_documents(docs: DataFrame, text: str = "text", keep: list[str] |
     """``keep`` (doc_id) and ``fingerprint`` of each row."""
     keep = ["doc_id"] if keep is None else keep
     udf = F.pandas_udf(lambda t: pd.Series(fingerprints(t.tolist()), dtype=object), "string")
-    return docs.select(*keep, udf(text).alias("fingerprint"))
+    return small_batches(docs).select(*keep, udf(text).alias("fingerprint"))
 
 
 BANDS, BAND_DIGITS = 24, 6
 
 
+@lru_cache(maxsize=256)
+def _picks(stretch: int, bands: int, digits: int) -> np.ndarray:
+    """(bands, digits) places in a fingerprint, all in one stretch."""
+    first, n = (1 << stretch) - 1, 1 << stretch
+    if n > PER_STRETCH:
+        first, n = PER_STRETCH - 1 + (stretch - PER_STRETCH.bit_length() + 1) * PER_STRETCH, PER_STRETCH
+    return first + np.random.default_rng(104729 + stretch).integers(0, n, (bands, min(digits, n)))
+
+
+def _n_stretches(fingerprint: str) -> int:
+    n = len(fingerprint)
+    return n.bit_length() if n < PER_STRETCH else PER_STRETCH.bit_length() - 1 + (n - PER_STRETCH + 1) // PER_STRETCH
+
+
 def band_keys(fingerprint: str, bands: int = BANDS, digits: int = BAND_DIGITS) -> list[str]:
-    """Bit-sampled bands: each joins digits drawn from one of the last two full-length stretches of the walk."""
-    parts = stretches(fingerprint)
+    """Bit-sampled bands: each joins digits drawn from one of the last three stretches of the walk. Bands that lie past the end of the text are left out."""
+    own, count = np.frombuffer(fingerprint.encode(), np.uint8), _n_stretches(fingerprint)
     out = []
-    for k in range(max(0, len(parts) - 3), len(parts)):
-        rng = np.random.default_rng(104729 + k)
-        for band in range(bands):
-            pick = rng.integers(0, len(parts[k]), min(digits, len(parts[k])))
-            got = "".join(parts[k][i] for i in pick)
-            if got.strip("0") or len(parts) == 1:
-                out.append(f"{k}.{band}.{got}")
+    for k in range(max(0, count - 3), count):
+        got = own[_picks(k, bands, digits)]
+        out += [f"{k}.{i}.{got[i].tobytes().decode()}" for i in np.flatnonzero((got != 48).any(axis=1) | (count == 1)).tolist()]
     return out
 
 
-def near_documents(docs: DataFrame, text: str = "text", least: float = 0.8) -> DataFrame:
-    """Pairs (a, b, likeness) of class representatives, a < b by fingerprint, of likeness ``least`` or more that share a band.
-
-    Classes are equal fingerprints: join ``fingerprint_documents`` on the fingerprint for membership.
-    Bands of distinct fingerprints are joined, candidates verified.
+def share_band(a: str, b: str, bands: int = BANDS, digits: int = BAND_DIGITS) -> bool:
+    """Whether two fingerprints have a band in common, and so are candidates."""
+    if a == b:
+        return True
+    x, y = (np.frombuffer(f.encode(), np.uint8) for f in (a, b))
+    m, n = _n_stretches(a), _n_stretches(b)
+    for k in range(max(0, m - 3, n - 3), min(m, n)):
+        p, q = x[_picks(k, bands, digits)], y[_picks(k, bands, digits)]
+        if ((p == q).all(axis=1) & ((p != 48).any(axis=1) | (m == n == 1))).any():
+            return True
+    return False
+
+
+def near_documents(docs: DataFrame, text: str = "text", least: float = 0.8, queries: Column | None = None) -> DataFrame:
+    """Pairs (query, found, likeness, rep_query, rep_found) of different fingerprints of likeness ``least`` or more that share a band.
+
+    ``queries``: the rows that are looked for, against all rows; those whose doc_id is divisible by 20 if None. Rows of equal fingerprint are one
+    class, named by its least doc_id: join ``fingerprint_documents`` on the fingerprint for membership. Bands are joined, candidates verified;
+    a band that many classes have is split on both sides of the join by Spark, as it joins two plain tables.
     """
-    distinct = fingerprint_documents(docs, text).groupBy("fingerprint").agg(F.min("doc_id").alias("representative"))
+    asked = F.coalesce(F.col("doc_id") % 20 == 0 if queries is None else queries, F.lit(False))
+    prints = fingerprint_documents(docs.withColumn("_asked", asked), text, ["doc_id", "_asked"])
+    classes = materialize(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("representative"), F.max("_asked").alias("asked")), "classes")
     keys = F.pandas_udf(lambda f: pd.Series([band_keys(x) for x in f], dtype=object), "array<string>")
-    banded = distinct.select("fingerprint", "representative", F.explode(keys("fingerprint")).alias("band")).withColumn("band", F.xxhash64("band"))
-    x, y = banded.alias("x"), banded.alias("y")
-    pairs = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.fingerprint") < F.col("y.fingerprint")))
-    pairs = pairs.select(F.col("x.fingerprint").alias("a"), F.col("y.fingerprint").alias("b"), F.col("x.representative").alias("rep_a"), F.col("y.representative").alias("rep_b")).distinct()
+    banded = classes.select("fingerprint", "representative", "asked", F.explode(keys("fingerprint")).alias("band")).withColumn("band", F.xxhash64("band"))
+    banded = materialize(banded, "bands")
+    x, y = banded.where("asked").alias("x"), banded.alias("y")
+    pairs = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.fingerprint") != F.col("y.fingerprint")))
+    pairs = pairs.select(F.col("x.fingerprint").alias("query"), F.col("y.fingerprint").alias("found"), F.col("x.representative").alias("rep_query"), F.col("y.representative").alias("rep_found")).distinct()
     like = F.pandas_udf(lambda a, b: pd.Series([likeness(p, q) for p, q in zip(a, b, strict=True)], dtype="float64"), "double")
-    return pairs.withColumn("likeness", like("a", "b")).where(F.col("likeness") >= least)
+    return pairs.withColumn("likeness", like("query", "found")).where(F.col("likeness") >= least)
 
 
 def edited_text(text: str, following: str) -> str:
@@ -199,7 +218,7 @@ def edited_text(text: str, following: str) -> str:
 def _compare(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows in order of (bucket, sentinel, doc_id): each row but a sentinel against the next of its bucket."""
     held: tuple | None = None  # bucket, doc_id, text, fingerprint of the row that waits for the next
-    columns = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    columns = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "edited_banded", "next_banded"]
     for pdf in parts:
         if pdf.empty:
             continue
@@ -215,7 +234,7 @@ def _compare(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
         for (a, b), e, f in zip(pairs, edited, fingerprints(edited), strict=True):
             sha = hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest()
-            out.append((a[2], len(a[3]), sha, a[4], f, likeness(a[4], f), likeness(a[4], b[4])))
+            out.append((a[2], len(a[3]), sha, a[4], f, likeness(a[4], f), likeness(a[4], b[4]), share_band(a[4], f), share_band(a[4], b[4])))
         if out:
             got = pd.DataFrame(out, columns=columns)
             got["doc_id"] = got["doc_id"].astype("Int64")
@@ -223,33 +242,29 @@ def _compare(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def against_edited(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Fingerprint of each row's text and of its text edited with the next row's (ascending doc_id, the first after the last), and likenesses.
+    """Fingerprint of each row's text and of its text edited with the next row's (ascending doc_id, the first after the last), likenesses, and whether banding finds the pairs.
 
     Rows are dealt by ranges of doc_id and sorted there; the first row of each range also stands behind the
     range before it, so no row needs more than its own range.
     """
-    rows = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("_key", F.xxhash64("text"))
-    ids = docs.select("doc_id")
-    splits = bucket_splits(ids)
+    rows = small_batches(docs).select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("_tie", F.xxhash64("text"))
+    splits = bucket_splits(rows)
     rows = rows.withColumn("_bucket", bucket_of(splits))
-    heads = (
-        ids.withColumn("_bucket", bucket_of(splits)).groupBy("_bucket").agg(F.min("doc_id").alias("head")).orderBy("_bucket").collect()
-    )  # one small row for each bucket, at most MAX_BUCKETS + 1
-    if not heads:
-        heads = [(0, None)]
-    before = [(h[0], h[1], heads[i - 1][0]) for i, h in enumerate(heads)]
-    heads = docs.sparkSession.createDataFrame(before, "_bucket int, head bigint, _before int")
+    place = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "_tie")
+    heads = rows.groupBy("_bucket").agg(F.min(place).alias("h")).orderBy("_bucket").collect()  # one small row for each bucket, at most MAX_BUCKETS + 1
+    before = [(r["_bucket"], r["h"]["doc_id"], r["h"]["_tie"], heads[i - 1]["_bucket"]) for i, r in enumerate(heads)]
+    heads = docs.sparkSession.createDataFrame(before, "_bucket int, head bigint, _tie bigint, _before int")
     first = (
-        rows.join(F.broadcast(heads), "_bucket")
+        rows.join(F.broadcast(heads), ["_bucket", "_tie"])
         .where(F.col("doc_id").eqNullSafe(F.col("head")))
         .groupBy("_before")
-        .agg(F.min(F.struct("_key", "doc_id", "text")).alias("s"))
-        .select(F.col("s.doc_id").alias("doc_id"), F.col("s.text").alias("text"), F.col("s._key").alias("_key"), F.col("_before").alias("_bucket"), F.lit(1).alias("_sentinel"))
+        .agg(F.first(F.struct("doc_id", "text", "_tie")).alias("s"))  # rows of equal id and text are the same
+        .select("s.*", F.col("_before").alias("_bucket"), F.lit(1).alias("_sentinel"))
     )
-    dealt = rows.withColumn("_sentinel", F.lit(0)).unionByName(first).repartition("_bucket").sortWithinPartitions("_bucket", "_sentinel", F.asc_nulls_first("doc_id"), "_key")
+    dealt = rows.withColumn("_sentinel", F.lit(0)).unionByName(first).repartition("_bucket").sortWithinPartitions("_bucket", "_sentinel", F.asc_nulls_first("doc_id"), "_tie")
     return dealt.mapInPandas(
         _compare,
-        "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double",
+        "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edited_banded boolean, next_banded boolean",
     )
 
 

@@ -12,7 +12,7 @@ Parquet tables:
 Reading back checks each chunk's bytes against its digest and each recipe against its root.
 
 Cases: a null or empty text is the end id alone; texts are stored whole; repeated rows get a recipe each and
-share chunks; rows without a doc_id come before all others; other columns are ignored; an empty table gives an empty store.
+share chunks; rows without a doc_id come before all others, rows that share one in any order; other columns are ignored; an empty table gives an empty store.
 """
 
 from __future__ import annotations
@@ -23,11 +23,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weft.llm._batches import small_batches
 from weft.llm._order import bucket_splits, running_start
-from weft.llm._tokens import Encoded, batches, crc_combine, tokenizer_path, word_ids
+from weft.llm._tokens import Encoded, batches, crc_before, tokenizer_path, vocabulary_size, word_ids
 from weft.session import materialize, shared_path, table
 
 WINDOW, MEAN_IDS, MIN_IDS, MAX_IDS = 8, 512, 64, 4096
@@ -76,29 +78,40 @@ def merkle_root(digests: list[bytes]) -> bytes:
     return level[0]
 
 
+def _lists(rows: list[list[bytes]]) -> pa.Array:
+    """An Arrow column of lists of bytes."""
+    ends = np.zeros(len(rows) + 1, np.int32)
+    np.cumsum([len(r) for r in rows], out=ends[1:])
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array([x for r in rows for x in r], pa.binary()))
+
+
 def _encode(path: str, text: str, end_id: int, width: int):
-    stored = f"<u{width}"
+    stored, end = f"<u{width}", np.array([end_id], np.int32)
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_ids(path)
-        for pdf in parts:
-            texts = pdf[text].tolist()
+        for batch in parts:
+            texts = batch[text].to_pylist()
             for at, to in batches(texts):
-                rows = []
+                sizes, digests, chunks, roots = [], [], [], []
                 e = Encoded(words, texts[at:to])
                 bounds = e.upto[e.edges]
                 marks = cut_marks(e.flat)
                 own = np.searchsorted(marks, bounds, "right")
                 for i in range(to - at):
                     a, b = bounds[i], bounds[i + 1]
-                    ids = np.append(e.flat[a:b], np.int32(end_id)).astype("<u4")
+                    ids = np.concatenate([e.flat[a:b], end])
                     ends = cuts(len(ids), (marks[own[i] : own[i + 1]] - a).tolist())
-                    chunks = [ids[p:q] for p, q in zip([0, *ends[:-1]], ends, strict=True)]
-                    digests = [leaf(c) for c in chunks]
-                    rows.append((len(ids), digests, [c.astype(stored).tobytes() for c in chunks], merkle_root(digests)))
-                part = pdf.iloc[at:to]
-                got = pd.DataFrame(rows, columns=["n_tokens", "digests", "chunks", "root"], index=part.index)
-                yield pd.concat([part[["doc_id", "_key"]], got], axis=1)
+                    parts_of = [ids[p:q] for p, q in zip([0, *ends[:-1]], ends, strict=True)]
+                    sizes.append(len(ids))
+                    digests.append([leaf(c) for c in parts_of])
+                    chunks.append([c.astype(stored).tobytes() for c in parts_of])
+                    roots.append(merkle_root(digests[-1]))
+                kept = batch.slice(at, to - at)
+                yield pa.RecordBatch.from_arrays(
+                    [kept["doc_id"], kept["_tie"], pa.array(sizes, pa.int64()), _lists(digests), _lists(chunks), pa.array(roots, pa.binary())],
+                    ["doc_id", "_tie", "n_tokens", "digests", "chunks", "root"],
+                )
 
     return run
 
@@ -106,29 +119,53 @@ def _encode(path: str, text: str, end_id: int, width: int):
 def write_store(docs: DataFrame, path: str, text: str = "text", tokenizer: str | None = None, end_id: int = 2, width: int = 2) -> None:
     """Write the ids of all ``docs`` as a store in folder ``path``. ``width``: bytes of a stored id, 2 up to 65,536 ids."""
     tokenizer = tokenizer or tokenizer_path()
-    rows = docs.select("doc_id", text, F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_key"))
-    cut = rows.mapInPandas(
+    if width == 2 and max(end_id, vocabulary_size(tokenizer) - 1) >= 1 << 16:
+        raise ValueError("this vocabulary needs a width of 4")
+    rows = small_batches(docs).select("doc_id", text, F.xxhash64(text, F.monotonically_increasing_id()).alias("_tie"))  # written with the ids, so a row keeps its own
+    cut = rows.mapInArrow(
         _encode(tokenizer, text, end_id, width),
-        "doc_id bigint, _key bigint, n_tokens bigint, digests array<binary>, chunks array<binary>, root binary",
+        "doc_id bigint, _tie bigint, n_tokens bigint, digests array<binary>, chunks array<binary>, root binary",
     )
     cut = materialize(cut, "ids")
     chunks = cut.select(F.explode(F.arrays_zip("digests", "chunks")).alias("c")).select(F.col("c.digests").alias("digest"), F.col("c.chunks").alias("ids"))
     unique = chunks.groupBy("digest").agg(F.first("ids").alias("ids"))
     unique.select("digest", (F.octet_length("ids") / width).cast("int").alias("n"), "ids", F.lit(width).alias("width")).write.option("compression", "zstd").parquet(f"{path}/chunks")
-    sizes = cut.select("doc_id", "_key", "n_tokens", "digests", "root")
-    placed = running_start(sizes, ["doc_id", "_key"], "n_tokens", bucket_splits(sizes))
+    sizes = cut.select("doc_id", "_tie", "n_tokens", "digests", "root")
+    placed = running_start(sizes, "n_tokens", bucket_splits(sizes))
     placed.select("doc_id", "start", "n_tokens", "digests", "root").repartitionByRange("start").sortWithinPartitions("start").write.parquet(f"{path}/recipes")
 
 
-def _checked(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in parts:
+def _checked(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in parts:
         crc = []
-        for digest, raw, width in zip(pdf["digest"], pdf["ids"], pdf["width"], strict=True):
+        for digest, raw, width in zip(batch["digest"].to_pylist(), batch["ids"].to_pylist(), batch["width"].to_pylist(), strict=True):
             ids = np.frombuffer(raw, f"<u{width}").astype("<u4")
-            if leaf(ids) != bytes(digest):
-                raise ValueError(f"chunk {bytes(digest).hex()} does not match its digest")
-            crc.append(zlib.crc32(ids.tobytes()))
-        yield pd.DataFrame({"digest": pdf["digest"], "n": pdf["n"], "crc": crc})
+            if leaf(ids) != digest:
+                raise ValueError(f"chunk {digest.hex()} does not match its digest")
+            crc.append(zlib.crc32(ids))
+        yield pa.RecordBatch.from_arrays([batch["digest"], batch["n"], pa.array(crc, pa.int64())], ["digest", "n", "crc"])
+
+
+def _put_together(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each recipe against its chunks' digests and sizes; its checksum from theirs."""
+    for batch in parts:
+        chunks = batch["parts"].flatten()
+        upto = batch["parts"].offsets.to_numpy() - batch["parts"].offsets[0].as_py()
+        if chunks.field("n").null_count:
+            raise ValueError("a recipe names a chunk that is not in the store")
+        n = chunks.field("n").to_numpy().astype(np.int64)
+        digests = chunks.field("digest").to_pylist()
+        total = np.concatenate([[0], np.cumsum(n)])
+        doc = np.repeat(np.arange(len(batch)), np.diff(upto))
+        after = total[upto[1:]][doc] - total[1:]
+        crc = np.bitwise_xor.reduceat(crc_before(chunks.field("crc").to_numpy(), 4 * after), upto[:-1]) if len(n) else np.zeros(0, np.uint32)
+        whole = total[upto[1:]] - total[upto[:-1]] == batch["n_tokens"].to_numpy()
+        for i, root in enumerate(batch["root"].to_pylist()):
+            if not whole[i] or merkle_root(digests[upto[i] : upto[i + 1]]) != root:
+                raise ValueError("a document does not match its recipe")
+        kept = [batch[c] for c in ("doc_id", "start", "n_tokens")]
+        roots = pa.array([r.hex() for r in batch["root"].to_pylist()], pa.string())
+        yield pa.RecordBatch.from_arrays([*kept, pa.array(crc.astype(np.int64)), pa.array(np.diff(upto).astype(np.int32)), roots], ["doc_id", "start", "n_tokens", "ids_crc32", "n_chunks", "merkle_root"])
 
 
 def verify_store(spark: SparkSession, path: str) -> DataFrame:
@@ -137,30 +174,14 @@ def verify_store(spark: SparkSession, path: str) -> DataFrame:
     Chunks are read once each and checked; only their checksums are joined to the recipes, so a
     document's checksum is put together without moving its ids.
     """
-    chunks = spark.read.parquet(f"{path}/chunks").mapInPandas(_checked, "digest binary, n int, crc bigint")
+    chunks = spark.read.parquet(f"{path}/chunks").mapInArrow(_checked, "digest binary, n int, crc bigint")
     recipes = spark.read.parquet(f"{path}/recipes")
     parts = recipes.select("doc_id", "start", "n_tokens", "root", F.posexplode("digests").alias("pos", "digest"))
     # (doc_id, start) names a row: every document has one id at least
     whole = parts.join(chunks, "digest", "left").groupBy("doc_id", "start", "n_tokens", "root").agg(
         F.array_sort(F.collect_list(F.struct("pos", "digest", "n", "crc"))).alias("parts")
     )
-
-    def joined(roots: pd.Series, sizes: pd.Series, lists: pd.Series) -> pd.Series:
-        out = []
-        for root, size, ps in zip(roots, sizes, lists, strict=True):
-            crc = total = 0
-            for p in ps:
-                if p["n"] is None:
-                    raise ValueError("a recipe names a chunk that is not in the store")
-                crc = crc_combine(crc, int(p["crc"]), 4 * int(p["n"])) if total else int(p["crc"])
-                total += int(p["n"])
-            if total != size or merkle_root([p["digest"] for p in ps]) != bytes(root):
-                raise ValueError("a document does not match its recipe")
-            out.append(crc)
-        return pd.Series(out, dtype="int64")
-
-    crc = F.pandas_udf(joined, "bigint")("root", "n_tokens", "parts")
-    return whole.select("doc_id", "start", "n_tokens", crc.alias("ids_crc32"), F.size("parts").alias("n_chunks"), F.lower(F.hex("root")).alias("merkle_root"))
+    return small_batches(whole).mapInArrow(_put_together, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, n_chunks int, merkle_root string")
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:

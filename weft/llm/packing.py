@@ -14,7 +14,7 @@ segment is no longer than that plus one document, and each adds one part-filled
 Only lengths and running checksums leave the tokenizing pass, never the ids.
 
 Cases: a null or empty text is the end id alone; a text longer than a window is cut; repeated rows are packed
-each; rows without a doc_id come first; other columns are ignored; an empty table gives an empty result.
+each, those that share a doc_id in any order; rows without a doc_id come first; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from pyspark.sql import Window as W
 
 from weft.llm._batches import small_batches
 from weft.llm._order import bucket_splits, running_start
-from weft.llm._tokens import Encoded, _shift, _times, batches, tokenizer_path, word_ids
+from weft.llm._tokens import Encoded, batches, crc_before, tokenizer_path, word_ids
 from weft.session import materialize, table
 
 WINDOW, FORCED_EVERY = 4096, 1024
@@ -75,7 +75,7 @@ def _measure(path: str, text: str, end_id: int, every: int):
                     rows.append((n, ends.astype(np.int32), forced, crcs))
                 part = pdf.iloc[at:to]
                 got = pd.DataFrame(rows, columns=["n_tokens", "ends", "forced", "crcs"], index=part.index)
-                yield pd.concat([part[["doc_id", "_key"]], got], axis=1)
+                yield pd.concat([part[["doc_id", "_key", "_tie"]], got], axis=1)
 
     return run
 
@@ -128,7 +128,7 @@ def _pack(window: int, sentence: int, forced_cost: int):
         total = np.cumsum(length) - length
         new = np.concatenate([[True], seq[1:] != seq[:-1]])
         offset = total - np.maximum.accumulate(np.where(new, total, 0))
-        crc = [int(c) if s == 0 else _times(_shift(4 * int(n)), int(crcs[q])) ^ int(c) for c, s, n, q in zip(crcs[piece], start, length, prev, strict=True)]
+        crc = crcs[piece] ^ np.where(start == 0, 0, crc_before(crcs[prev], 4 * length))  # the part before the piece taken off
         return pd.DataFrame({
             "doc_id": pdf["doc_id"].to_numpy()[d], "start": start, "length": length, "ids_crc32": crc,
             "doc_tokens": sizes[d], "sequence_id": (int(key[0]) << 24) + seq, "offset": offset,
@@ -147,10 +147,10 @@ def pack_documents(docs: DataFrame, text: str = "text", tokenizer: str | None =
 
     ``order``: a bigint by which the documents are packed, from doc_id, _key (the text's hash) and _copy (from 1 over equal rows); doc_id if None.
     """
-    rows = small_batches(docs).select("doc_id", text, F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_key"))
+    rows = small_batches(docs).select("doc_id", text, F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_key")).withColumn("_tie", F.xxhash64("_key", F.monotonically_increasing_id()))
     measured = rows.mapInPandas(
         _measure(tokenizer or tokenizer_path(), text, end_id, min(FORCED_EVERY, window)),
-        "doc_id bigint, _key bigint, n_tokens bigint, ends array<int>, forced array<boolean>, crcs array<bigint>",
+        "doc_id bigint, _key bigint, _tie bigint, n_tokens bigint, ends array<int>, forced array<boolean>, crcs array<bigint>",
     )
     by = "doc_id"
     if order is not None:
@@ -158,7 +158,7 @@ def pack_documents(docs: DataFrame, text: str = "text", tokenizer: str | None =
         copy = F.row_number().over(W.partitionBy("doc_id", "_key").orderBy("n_tokens"))  # equal rows: any order of them is the same
         measured = measured.withColumn("_copy", copy).withColumn(by, order)
     measured = materialize(measured, "lengths")
-    placed = running_start(measured, list(dict.fromkeys([by, "doc_id", "_key"])), "n_tokens", bucket_splits(measured, by), by)
+    placed = running_start(measured, "n_tokens", bucket_splits(measured, by), by)
     placed = placed.withColumn("segment", F.floor(F.col("start") / segment))
     return placed.select("segment", "doc_id", "start", "n_tokens", "ends", "forced", "crcs").groupBy("segment").applyInPandas(
         _pack(window, sentence_penalty, forced_penalty),
