@@ -158,6 +158,95 @@ def test_line_dedup_takes_whole_passages_next_to_others(spark):
     assert {x for t in text.values() for x in t} == set(seen)
 
 
+def removed_by_definition(rows):
+    """The texts that line dedup leaves, by its definition in plain Python; the hashes that choose cuts are Spark's own."""
+    docs = sorted({(d, t) for d, t in rows if d is not None})
+    lines = {x: [(pos, line) for pos, line in enumerate((x[1] or "").split("\n")) if words(line)] for x in docs}
+    count = collections.Counter(line for x in docs for _, line in lines[x])
+    pairs = collections.Counter((a[1], b[1]) for x in docs for a, b in zip(lines[x], lines[x][1:], strict=False))
+    runs = []
+    for x in docs:
+        run = []
+        for k, (pos, line) in enumerate(lines[x]):
+            if count[line] > 1:
+                after = pairs[line, lines[x][k + 1][1]] if k + 1 < len(lines[x]) else 1
+                run.append((pos, line, max(after, 1), len(words(line)) >= 50))
+            else:
+                runs, run = [*runs, (x, run)] if run else runs, []
+        runs = [*runs, (x, run)] if run else runs
+    return docs, runs
+
+
+@pytest.fixture(scope="module")
+def hash_two(spark):
+    """XXH64 as Spark gives it: of a text, and of two hashes."""
+    def of(items, make):
+        keys = sorted(set(items))
+        if not keys:
+            return {}
+        df = spark.createDataFrame([(i, *(k if isinstance(k, tuple) else (k,))) for i, k in enumerate(keys)], make[0])
+        return {keys[r[0]]: r[1] for r in df.select("i", make[1]).collect()}
+
+    return of
+
+
+def test_line_dedup_is_its_definition(spark, hash_two):
+    rng = random.Random(21)
+    vocab = [f"v{i}" for i in range(400)]
+    line = lambda n=6: " ".join(rng.choice(vocab) for _ in range(n))
+    passages = [[line() for _ in range(rng.randint(2, 14))] for _ in range(12)] + [[line(60)]]
+    rows = []
+    for d in range(160):
+        t = [line() for _ in range(rng.randint(0, 5))]
+        for _ in range(rng.randint(0, 4)):
+            p = rng.choice(passages)
+            p = p[rng.randint(0, 2) :] if rng.random() < 0.3 else p
+            for x in p:
+                t += [x, *([""] if rng.random() < 0.1 else [])]
+            t += [line() for _ in range(rng.randint(0, 2))]
+        rows.append((d, "\n".join(t)))
+    rows += [rows[3], rows[4], (None, rows[5][1]), (200, None), (201, "")]
+    docs, runs = removed_by_definition(rows)
+    h = hash_two([x[1] for _, r in runs for x in r], ("i int, s string", F.xxhash64("s")))
+    two = hash_two([(h[a[1]], h[b[1]]) for _, r in runs for b, a in zip(r, r[1:], strict=False)], ("i int, a long, b long", F.xxhash64("a", "b")))
+    own = hash_two([d[1] or "" for d in docs], ("i int, s string", F.xxhash64("s")))
+    chunks = []
+    for doc, r in runs:
+        n = len(r)
+        pair = lambda j: r[j][2] if 0 <= j < n - 1 else 1  # noqa: B023, E731
+        border = [j == 0 or r[j][3] or r[j - 1][3] or r[j - 1][2] < 2 or r[j - 1][2] < (r[j - 2][2] if j > 1 else 1) or r[j - 1][2] < pair(j) for j in range(n)]
+        meets = [1 < j < n - 1 and not any(border[j - 1 : j + 2]) and two[h[r[j - 1][1]], h[r[j - 2][1]]] % 4 == 0 for j in range(n)]
+        cut = [j for j in range(n) if border[j] or (meets[j] and not meets[j - 1])]
+        spans = [(a, b) for a, b in zip(cut, [*cut[1:], n], strict=True) if b - a > 1 or r[a][3]]
+        spans += [(j - 1, j + 1) for j in range(1, n) if border[j] and r[j - 1][2] > 1]
+        chunks += [(doc, r[a][0], r[b - 1][0], "\n".join(x[1] for x in r[a:b])) for a, b in spans]
+    kept = {}
+    for doc, first, _, body in chunks:
+        place = (doc[0], own[doc[1] or ""], first)
+        kept[body] = min(kept.get(body, place), place)
+    gone = collections.defaultdict(set)
+    for doc, first, last, body in chunks:
+        if (doc[0], own[doc[1] or ""], first) != kept[body]:
+            gone[doc] |= {i for i, x in enumerate(doc[1].split("\n")) if first <= i <= last and words(x)}
+    want = collections.Counter()
+    for d, t in rows:
+        out = gone.get((d, t), set())
+        want[d, t if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in out), len(out)] += 1
+    got = collections.Counter(tuple(r) for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == want
+    assert sum(n for (_, _, n), _ in want.items()) > 500
+
+
+def test_line_dedup_of_very_many_lines(spark):
+    """A document of 100,000 short lines, half of which a second one repeats, takes time in proportion to its lines."""
+    rng = random.Random(2)
+    lines = [f"l{rng.randrange(10**9)} x" for _ in range(100_000)]
+    rows = [(1, "\n".join(lines)), (2, "\n".join(["own", *lines[:50_000], "last"])), (3, "\n".join(["same"] * 100_000))]
+    got = {r.doc_id: r for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].text == rows[0][1] and got[2].text == "own\nlast" and got[2].n_lines_removed == 50_000
+    assert got[3].text == rows[2][1]  # one chunk, which stands once
+
+
 def test_token_counts_equal_the_library(docs, rows, empty):
     from tokenizers import Tokenizer, models
 
