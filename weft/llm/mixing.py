@@ -3,16 +3,17 @@
 Each source has a mean repetition rate: its target share of all rows over its actual share. A document's
 count of copies is the Poisson distribution of that rate inverted at a number in [0, 1) hashed from seed, doc_id and
 text, so it depends on nothing else and comes out the same in any run. Rows are exploded by their counts, and
-a second hash gives each copy its place: the output is dealt by ranges of it and sorted, a global shuffle.
+a second hash gives each copy its place: the output is dealt by it and sorted in each part, a global shuffle. Equal rows
+share their place; where they are many, Spark splits their part.
 
 Counts per source are one pre-aggregated grouping. The table of rates has one row per source: it is
-broadcast only if its row count, which is checked, is at most ``BROADCAST_SOURCES``; else it is joined by source.
+broadcast only if its row count, which is checked, is at most ``BROADCAST_SOURCES``; else it is joined by source. A row's number is drawn once.
 A rate is split into units of at most ``MAX_RATE`` that are inverted one by one and added up (a sum of
 Poisson variables is one of the summed rate), so large rates neither underflow nor need long tables.
 
 Cases: a null source is a source of its own, named null in ``weights`` by None; sources that ``weights`` doesn't name get
-no copies; a null or empty text is a document like any other; repeated rows draw equal counts (they share
-their hash); other columns pass through; an empty table gives an empty result.
+no copies, nor does any where the weights add up to nothing; a null or empty text is a document like any other; repeated rows draw equal
+counts (they share their hash); other columns pass through, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weft.llm._columns import bound, free_names, numbered
 from weft.session import table
 
 BROADCAST_SOURCES = 10_000
@@ -55,9 +57,9 @@ def source_rates(docs: DataFrame, source: str = "source", weights: dict | None =
         sizes = sizes.withColumn("_weight", F.pow(F.col("rows").cast("double"), F.lit(temperature)))
     else:
         given = docs.sparkSession.createDataFrame([(k, float(v)) for k, v in weights.items()], "_name string, _weight double")
-        sizes = sizes.join(F.broadcast(given), F.col("_source").cast("string").eqNullSafe(F.col("_name")), "left").drop("_name").fillna(0.0, ["_weight"])
+        sizes = sizes.join(given, F.col("_source").cast("string").eqNullSafe(F.col("_name")), "left").drop("_name").fillna(0.0, ["_weight"])
     total = sizes.agg(F.sum("rows").cast("double").alias("_rows"), F.sum("_weight").alias("_weights"))
-    rated = sizes.crossJoin(F.broadcast(total)).withColumn("share", F.col("_weight") / F.col("_weights"))  # one row joined
+    rated = sizes.crossJoin(F.broadcast(total)).withColumn("share", F.try_divide("_weight", "_weights"))  # one row joined
     rated = rated.withColumn("rate", F.col("share") * F.col("_rows") / F.col("rows"))
     units = F.greatest(F.ceil(F.col("rate") / MAX_RATE), F.lit(1))
     return rated.withColumn("_units", units.cast("int")).select(
@@ -66,30 +68,32 @@ def source_rates(docs: DataFrame, source: str = "source", weights: dict | None =
 
 
 def mix_sources(docs: DataFrame, weights: dict | None = None, seed: str = "mix", source: str = "source", text: str = "text", temperature: float = TEMPERATURE) -> DataFrame:
-    """``docs`` with each row repeated by its Poisson count; adds copy (from 1) and shuffle_key, in whose order rows are dealt."""
+    """``docs`` with each row repeated by its Poisson count; adds copy (from 1) and shuffle_key, by which rows are dealt.
+
+    Where ``docs`` has one of these names, the added column has an underscore behind it.
+    """
     rates = source_rates(docs, source, weights, temperature)
     small = rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    join = F.broadcast(rates) if small else rates
-    names = {c: f"_in_{i}" for i, c in enumerate(docs.columns)}  # own names can't clash with the docs' columns
-    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
-    own = [F.col(names["doc_id"]), F.md5(F.coalesce(F.col(names[text]), F.lit("")).cast("binary"))]
-    rows = rows.withColumn("_own", F.md5(F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("")) for c in own]).cast("binary")))
-    joined = rows.join(join, F.col(names[source]).eqNullSafe(F.col("_source")))
-    drawn = F.aggregate(
-        F.sequence(F.lit(1), F.col("_units")),
-        F.lit(0),
-        lambda acc, unit: acc + F.size(F.filter("_cdf", lambda c: c <= uniform(seed, F.col("_own"), unit))),
-    )
-    counted = joined.withColumn("_copies", F.when(F.col("rate") > 0, drawn).otherwise(0))
-    copies = counted.where("_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    keyed = copies.withColumn("shuffle_key", F.md5(F.concat_ws("|", F.lit(seed), F.lit("place"), F.col("_own"), F.col("copy").cast("string")).cast("binary")))
-    out = keyed.select(*[F.col(n).alias(c) for c, n in names.items() if c not in ("copy", "shuffle_key")], "copy", "shuffle_key")
-    return out.repartitionByRange("shuffle_key").sortWithinPartitions("shuffle_key")
+    rows, at = numbered(docs)
+    joined = rows.join(F.broadcast(rates) if small else rates, F.col(at[source]).eqNullSafe(F.col("_source")))
+    of_text = F.md5(F.coalesce(F.col(at[text]), F.lit("")).cast("binary"))
+    own = F.md5(F.concat_ws("|", F.coalesce(F.col(at["doc_id"]).cast("string"), F.lit("")), of_text).cast("binary"))
+
+    def drawn(own: Column) -> Column:
+        draws = F.transform(F.sequence(F.lit(1), F.col("_units")), lambda unit: uniform(seed, own, unit))
+        count = F.aggregate(draws, F.lit(0), lambda acc, u: acc + F.size(F.filter("_cdf", lambda c: c <= u)))
+        place = lambda i: F.md5(F.concat_ws("|", F.lit(seed), F.lit("place"), own, i.cast("string")).cast("binary"))
+        return bound(count, lambda n: F.transform(F.when(n > 0, F.sequence(F.lit(1), n)), lambda i: F.struct(i.alias("copy"), place(i).alias("key"))))
+
+    copies = joined.select(*at.values(), F.explode(F.when(F.col("rate") > 0, bound(own, drawn))).alias("_x"))
+    # hinted, so that Spark may split a part that many equal rows share
+    dealt = copies.select(*at.values(), F.col("_x.copy").alias("copy"), F.col("_x.key").alias("shuffle_key")).hint("rebalance", "shuffle_key").sortWithinPartitions("shuffle_key")
+    return dealt.toDF(*docs.columns, *free_names(["copy", "shuffle_key"], docs.columns))
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The mixed rows with the columns of ``docs`` only."""
-    return mix_sources(docs, **how).select(*docs.columns)
+    return mix_sources(docs, **how).drop(*free_names(["copy", "shuffle_key"], docs.columns))
 
 
 def op10_mix_sources(spark, sf_dir: str) -> DataFrame:
