@@ -434,7 +434,7 @@ def test_near_documents_recall(spark):
 
 def test_mixing(docs, rows, empty):
     got = mixing.mix_sources(docs, {"s0": 1, "s1": 3, None: 0}, seed="t")
-    assert got.columns == ["doc_id", "text", "lang", "source", "n_chars", "key", "copy", "shuffle_key"]
+    assert got.columns == [*docs.columns, "copy_", "shuffle_key"]
     out = got.collect()
     assert all(r.source is not None for r in out)
     n = collections.Counter(r[3] for r in rows)
@@ -458,6 +458,49 @@ def test_mixing(docs, rows, empty):
     assert mixing.mix_sources(empty).count() == 0
 
 
+OWN_NAMES = {
+    "quality": "n_words word_chars n_dup_lines dup_line_chars covered_5 base_failed kept _r _in_0 _in_1",
+    "lines": "_key _gone _cut _text spans lines n_lines_removed k pos h p run border chunk _in_2",
+    "near": "_text_key fp component least fingerprint component_id node _id _key s none",
+    "mix": "copy shuffle_key _own _copies _source _units _cdf rate share rows _x _weight",
+}
+
+
+@pytest.mark.parametrize("stage", OWN_NAMES)
+def test_columns_with_an_operators_names_pass_through(spark, stage):
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    extra = OWN_NAMES[stage].split()
+    line = lambda n: " ".join(f"w{rng.randrange(300)}" for _ in range(n))
+    texts = ["\n".join(line(12) for _ in range(4)) for _ in range(12)]
+    texts += [texts[0], texts[1] + "\n" + line(9), "same " * 40, "short", None]
+    rows = [(i, t, rng.choice("ab"), *[f"{c}{i}" for c in extra]) for i, t in enumerate(texts)]
+    schema = "doc_id long, text string, source string"
+    plain = spark.createDataFrame([r[:3] for r in rows], schema)
+    wide = spark.createDataFrame(rows, schema + "".join(f", `{c}` string" for c in extra))
+    run = dict(corpus_pipeline.STAGES)[{"quality": "quality", "lines": "line_dedup", "near": "near_dedup", "mix": "mix"}[stage]]
+    got = run(spark, wide, "")
+    assert got.columns == wide.columns
+    out = got.collect()
+    assert sorted(tuple(r)[:3] for r in out if r.text is not None) == sorted(tuple(r) for r in run(spark, plain, "").collect() if r.text is not None)
+    assert len(out) > 5 and all(r[c] == f"{c}{r.doc_id}" for r in out for c in extra)
+
+
+def test_added_columns_keep_out_of_the_way(spark):
+    df = spark.createDataFrame([(1, "a b", "s", 7, "x", 5)], "doc_id long, text string, source string, copy int, Shuffle_Key string, n_lines_removed int")
+    assert mixing.mix_sources(df).columns == [*df.columns, "copy_", "shuffle_key_"]
+    assert [tuple(r) for r in linededup.dedup_lines(df).collect()] == [(1, "a b", "s", 7, "x", 5, 0)]
+    assert linededup.dedup_lines(df).columns == [*df.columns, "n_lines_removed_"]
+    q = repetition.quality_rules(df.withColumnRenamed("copy", "n_words"), keep=["doc_id", "n_words"])
+    assert q.columns[:3] == ["doc_id", "n_words", "n_words_"] and tuple(q.first())[:3] == (1, 7, 2)
+
+
+def test_mixing_with_weights_of_nothing(docs):
+    assert mixing.mix_sources(docs, {"s0": 0}).count() == 0
+    assert mixing.mix_sources(docs, {"none": 1}).count() == 0
+
+
 def test_language_model(docs, rows, empty):
     got = lmscore.score_texts(docs).collect()
     assert len(got) == len(rows)

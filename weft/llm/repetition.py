@@ -6,7 +6,7 @@ repeat. The characters of all words inside any repeated n-gram (first occurrence
 length's coverage. A text is rejected if a coverage passes its limit.
 
 Cases: a null or empty text has no words and fails the base rule; texts of any length are handled whole;
-repeated rows give repeated results; other columns are ignored; an empty table gives an empty result.
+repeated rows give repeated results; other columns are ignored, or kept as they are whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm._batches import small_batches
+from weft.llm._columns import free_names, numbered
 
 #: Share of word characters that repeated n-grams of a length may cover.
 COVERAGE_LIMITS = {5: 0.25, 7: 0.22, 10: 0.20}
@@ -98,7 +99,10 @@ def repetition(text: str | None, lengths: tuple[int, ...] = tuple(COVERAGE_LIMIT
 
 
 def quality_rules(docs: DataFrame, text: str = "text", limits: dict[int, float] | None = None, line_limit: float = LINE_CHARS_LIMIT, keep: list[str] | None = None) -> DataFrame:
-    """Repetition figures and verdict of each row of ``docs``, beside the columns named in ``keep`` (doc_id)."""
+    """Repetition figures and verdict of each row of ``docs``, beside the columns named in ``keep`` (doc_id).
+
+    Where a kept column has the name of a figure, the figure's column has an underscore behind it.
+    """
     limits = dict(limits or COVERAGE_LIMITS)
     keep = ["doc_id"] if keep is None else keep
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "dup_line_chars", *(f"covered_{k}" for k in limits)]
@@ -107,19 +111,22 @@ def quality_rules(docs: DataFrame, text: str = "text", limits: dict[int, float]
     def rate(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([repetition(t, tuple(limits)) for t in texts], columns=names).astype("int64")
 
-    found = small_batches(docs).select(*keep, F.pandas_udf(rate, f"struct<{fields}>")(text).alias("_r")).select(*keep, "_r.*")
+    rows, at = numbered(small_batches(docs))
+    found = rows.select(*[at[c] for c in keep], F.pandas_udf(rate, f"struct<{fields}>")(at[text]).alias("_r")).select(*[at[c] for c in keep], "_r.*")
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     share = lambda c: F.col(c) / F.greatest(F.col("word_chars"), F.lit(1))
     passes = share("dup_line_chars") <= line_limit
     for k, most in limits.items():
         passes &= share(f"covered_{k}") <= most
-    return found.withColumns({"base_failed": base}).withColumn("kept", ~F.col("base_failed") & passes)
+    rated = found.withColumns({"base_failed": base}).withColumn("kept", ~F.col("base_failed") & passes)
+    return rated.toDF(*keep, *free_names([*names, "base_failed", "kept"], keep))
 
 
 def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that the rules keep, with the columns of ``docs``."""
-    rated = quality_rules(docs, text, keep=docs.columns)
-    return rated.where("kept").select(*docs.columns)
+    rows, at = numbered(docs)
+    rated = quality_rules(rows, at[text], keep=rows.columns)
+    return rated.where("kept").select(*rows.columns).toDF(*docs.columns)
 
 
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:

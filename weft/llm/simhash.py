@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm._batches import small_batches
+from weft.llm._columns import numbered
 from weft.operators.components import connected_components
 from weft.session import checkpoint, materialize, table
 
@@ -174,13 +175,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", max_bits: int = MAX_BIT
 
 def keep_one_each(docs: DataFrame, text: str = "text") -> DataFrame:
     """One row of ``docs`` for each component: the one with the smallest doc_id (the first by text of rows that repeat it)."""
-    key = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    rated = near_duplicates(docs.withColumn("_text_key", key), text, keep=["doc_id", "_text_key"])
+    rows, at = numbered(docs)
+    rows = rows.withColumn("_text_key", F.xxhash64(F.coalesce(F.col(at[text]), F.lit("")))).withColumn("doc_id", F.col(at["doc_id"]))
+    rated = near_duplicates(rows, at[text], keep=["doc_id", "_text_key"])
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_text_key")).alias("s")
     stay = rated.groupBy("component").agg(first).select(F.col("s.doc_id").alias("_id"), F.col("s._text_key").alias("_key"))
-    rows = docs.withColumn("_text_key", key)
     same = rows.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left_semi")
-    return same.dropDuplicates(["doc_id", "_text_key"]).select(*docs.columns)
+    return same.dropDuplicates(["doc_id", "_text_key"]).select(*at.values()).toDF(*docs.columns)
 
 
 def op2_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
