@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from weft.session import checkpoint
 
 
+def _state(pairs: DataFrame) -> tuple:
+    """Number and checksums of a set of edges, in one pass without a shuffle of its rows."""
+    h = F.xxhash64("hi", "lo")
+    return tuple(pairs.agg(F.count(F.lit(1)), F.bit_xor(h), F.bit_xor(F.xxhash64(h, F.lit(1))), F.sum(h.bitwiseAND(F.lit((1 << 31) - 1)))).first())
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node reachable, for every node that has an edge.
 
@@ -22,6 +28,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         .select(F.greatest(src, dst).alias("hi"), F.least(src, dst).alias("lo"))
     )
     pairs = checkpoint(pairs.distinct())
+    now = _state(pairs)
     for _ in range(max_rounds):
         # Large star: neighbours above a node go to the least of its neighbourhood.
         both = pairs.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(
@@ -44,10 +51,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
             .distinct()
         )
         after = checkpoint(small)
-        # Done when every component is a star: no node is both an upper and a lower end, one lower end each.
-        moved = after.exceptAll(pairs).limit(1).count() + pairs.exceptAll(after).limit(1).count()
-        pairs = after
-        if not moved:
+        # Done when every component is a star, which a round leaves as it is.
+        before, now, pairs = now, _state(after), after
+        if before == now:
             break
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
