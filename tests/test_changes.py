@@ -1,12 +1,12 @@
 import random
 from dataclasses import replace
 
-import pandas as pd
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from weft.functions import identity, paths
-from weft.operators import edgerules, groups, hunks, planner
+from weft.operators import components, edgerules, groups, hunks, planner
 from weft.operators.components import connected_components
 
 FILE = ["a.ts", "a.ts", "18795c5e1efa801e5ffaca6873b020d84b0b1d19", "4b44f31f4e1794bd43530f9d5fca03585b4a1f8b", "100644", "100644"]
@@ -73,70 +73,130 @@ def test_components_against_union_find(spark):
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
-def test_order_kernels():
-    assert planner.strong_components(list("abcd"), {"a": {"b"}, "b": {"c"}, "c": {"a"}}) == [["a", "b", "c"], ["d"]]
-    assert planner.topological(list("abcd"), {"a": {"d"}, "b": {"d"}}, lambda n: 0) == list("abcd")
-    with pytest.raises(ValueError):
-        planner.topological(list("ab"), {"a": {"b"}, "b": {"a"}}, lambda n: 0)
-    chain = {i: {i + 1} for i in range(11_999)}
-    assert len(planner.strong_components(list(range(12_000)), chain)) == 12_000
-    of, _ = planner.collapse(list("abcd"), [("a", "b", "must_with", 100), ("b", "c", "before", 90), ("c", "a", "before", 90), ("c", "d", "before", 90)])
-    assert of == {"a": "a", "b": "a", "c": "a", "d": "d"}
+def reachable(after, n):
+    seen, todo = {n}, [n]
+    while todo:
+        for m in after.get(todo.pop(), ()):
+            if m not in seen:
+                seen.add(m)
+                todo.append(m)
+    return seen
 
 
-Small = planner.Limits(20, 4, 100, 20, 5)
+def test_strong_components(spark):
+    rng = random.Random(9)
+    edges = [(rng.randrange(120), rng.randrange(120)) for _ in range(170)] + [(1000 + i, 1001 + i) for i in range(20)] + [(1020, 1012), (7, 7)]
+    after = {}
+    for a, b in edges:
+        after.setdefault(a, set()).add(b)
+    reach = {n: reachable(after, n) for e in edges for n in e}
+    want = {n: min(m for m in r if n in reach[m]) for n, r in reach.items() if any(m != n and n in reach[m] for m in r)}
+    got = dict(map(tuple, components.strong_components(spark.createDataFrame([*edges, (None, 3)], "src long, dst long")).collect()))
+    assert got == want and len(set(want.values())) > 1
+    assert components.strong_components(spark.createDataFrame([(1, 2), (2, 3)], "src long, dst long")).count() == 0
+
+
+def test_order_kernel():
+    same = dict.fromkeys("abcd", 0)
+    assert planner.topological(list("abcd"), {"a": {"d"}, "b": {"d"}}, same) == list("abcd")
+    assert planner.topological(list("ab"), {"b": {"a"}}, {"a": 0, "b": 1}) == ["b", "a"]
+    with pytest.raises(ValueError):
+        planner.topological(list("ab"), {"a": {"b"}, "b": {"a"}}, same)
+    assert planner.topological(list(range(12_000)), {i: {i + 1} for i in range(11_999)}, dict.fromkeys(range(12_000), 0)) == list(range(12_000))
+
+
+def test_best_cuts_are_the_least():
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        n = int(rng.integers(1, 8))
+        cost = np.where(np.triu(np.ones((n + 1, n + 1)), 1) > 0, rng.integers(0, 30, (n + 1, n + 1)).astype(float), np.inf)
+        cost[rng.random((n + 1, n + 1)) < 0.1] = np.inf
+        want = {}
+        for k in range(1 << (n - 1)):
+            ends = [i + 1 for i in range(n - 1) if k >> i & 1] + [n]
+            total = sum(cost[s, e] for s, e in zip([0, *ends[:-1]], ends, strict=True))
+            if np.isfinite(total):
+                want[len(ends)] = min(want.get(len(ends), np.inf), total)
+        got = planner.best_cuts(cost, 20)
+        assert {len(ends): c for c, ends in got} == want
+        assert all(sum(cost[s, e] for s, e in zip([0, *ends[:-1]], ends, strict=True)) == c for c, ends in got)
 
 
-def frame(units, edges):
-    base = {"file": "", "package": None, "area": None, "added": 20, "deleted": 0, "is_test": False, "is_generated": False}
-    us = pd.DataFrame([base | {"unit_id": u, "file": f"src/{u}.ts"} | dict(x) for u, x in units])
-    return us, pd.DataFrame(edges, columns=["src", "dst", "kind", "weight"])
-
-
-def test_plans():
-    us, es = frame([("a", {"added": 4}), ("b", {"added": 0})], [("a", "b", "must_with", 100)])
-
-    (_, cost, gs), *rest = planner.plan(us, es, replace(Small, target_lines=2))
-    assert (cost, gs, rest) == (43.0, [["a", "b"]], [])
-    us, es = frame([("a", {"added": 10, "file": "x"}), ("b", {"added": 10, "file": "x"})], [("a", "b", "before", 95)])
-
-    assert planner.plan(us, es, replace(Small, target_lines=10, hard_lines=15))[0][2] == [["a"], ["b"]]
-    us, es = frame([("a", {}), ("b", {})], [("a", "b", "must_with", 100)])
-
-    assert planner.plan(us, es, replace(Small, hard_lines=25)) == []
-
-
-@pytest.mark.parametrize("seed", range(1, 13))
-def test_plans_keep_what_must_hold(seed):
-    rng = random.Random(seed)
-    n = rng.randint(5, 30)
-    names = [f"u{i:02}" for i in range(n)]
-    us, _ = frame([(u, {"added": rng.randint(1, 30), "package": rng.choice("pq"), "area": rng.choice("xyz")}) for u in names], [])
-    es = []
-    for _ in range(n):
-        a, b = sorted(rng.sample(names, 2))
-        es.append((a, b, rng.choice(("before", "before", "affinity", "affinity", "must_with")), rng.randint(0, 100)))
-    es = pd.DataFrame(es, columns=["src", "dst", "kind", "weight"])
-    found = planner.plan(us, es, Small)
-    assert planner.plan(us.iloc[::-1], es.iloc[::-1], Small) == found
-    assert len(found) <= 5 and len({f[0] for f in found}) == len(found)
-    size = dict(zip(us.unit_id, us.added, strict=True))
-    for _, _, gs in found:
-        at = {u: i for i, g in enumerate(gs) for u in g}
-        assert sorted(at) == names and sum(map(len, gs)) == n
-        assert all(sum(size[u] for u in g) <= Small.hard_lines for g in gs)
-        for e in es.itertuples():
-            assert e.kind != "must_with" or at[e.src] == at[e.dst]
-            assert e.kind != "before" or at[e.src] <= at[e.dst]
-
-
-def test_planner_on_spark(spark):
-    us, es = frame([("a", {}), ("b", {}), ("c", {})], [("a", "b", "before", 95)])
-    us["cs_id"], es["cs_id"] = 7, 7
-    us["package"] = us["area"] = "p"
-    found = planner.candidates(spark.createDataFrame(us), spark.createDataFrame(es), Small)
-    m = planner.best_membership(found).collect()
-    assert sorted(r.unit_id for r in m) == ["a", "b", "c"]
+Small = planner.Limits(20, 4, 100, 20, 5)
+UNIT = "cs_id long, unit_id string, file string, package string, area string, added long, deleted long, is_test boolean, is_generated boolean"
+EDGE = "cs_id long, src string, dst string, kind string, weight double, requires_together boolean"
+
+
+def frames(spark, cases):
+    """Units and edges of several change-sets: {cs: (units {name: fields}, edges)}."""
+    us, es = [], []
+    for cs, (units, edges) in cases.items():
+        for name, x in units.items():
+            f = {"file": f"src/{name}.ts", "package": None, "area": None, "added": 20, "deleted": 0, "is_test": False, "is_generated": False} | x
+            us.append((cs, name, f["file"], f["package"], f["area"], f["added"], f["deleted"], f["is_test"], f["is_generated"]))
+        es += [(cs, *e, *[None] * (5 - len(e))) for e in edges]
+    return spark.createDataFrame(us, UNIT), spark.createDataFrame(es, EDGE)
+
+
+def plans_of(spark, cases, limits):
+    out = {}
+    for r in sorted(planner.candidates(*frames(spark, cases), limits).collect(), key=lambda r: (r.cs_id, r["rank"])):
+        out.setdefault(r.cs_id, []).append((r.cost, r.groups, r.status))
+    return out
+
+
+def test_plans(spark):
+    x = {"added": 10, "file": "x"}
+    got = plans_of(spark, {1: ({"a": {"added": 4}, "b": {"added": 0}}, [("a", "b", "must_with", 100.0)])}, replace(Small, target_lines=2))
+    assert got == {1: [(43.0, [["a", "b"]], "single-change")]}
+    cases = {
+        2: ({"a": x, "b": x}, [("a", "b", "before", 95.0)]), 3: ({"a": {}, "b": {}}, [("a", "b", "must_with", 100.0)]),
+        4: ({"a": x, "b": x}, [("a", "b", "unknown", 10.0, True)]), 5: ({"a": x, "b": x, "c": {"added": 1}}, [("a", "b", "before", 9.0), ("b", "a", "before", 9.0)]),
+    }
+    got = plans_of(spark, cases, replace(Small, target_lines=10, hard_lines=15))
+    assert [p[1] for p in got[2]] == [[["a"], ["b"]]] and got[2][0][2] == "split-unverified"
+    for cs in (3, 4, 5):  # what can't be split passes the limit
+        assert got[cs] == [(planner.NO_COST, [sorted(cases[cs][0])], "cannot-safely-split")]
+    us, es = frames(spark, cases)
+    rows = planner.component_rows(us, planner.condensed(us, es))
+    assert sorted((r.cs_id, r.component, r.lines) for r in planner.oversized(rows, replace(Small, hard_lines=15)).collect()) == [(3, "a", 40), (4, "a", 20), (5, "a", 20)]
+
+
+def test_plans_keep_what_must_hold(spark):
+    cases = {}
+    for seed in range(1, 25):
+        rng = random.Random(seed)
+        names = [f"u{i:02}" for i in range(rng.randint(5, 30))]
+        units = {u: {"added": rng.randint(1, 30), "package": rng.choice(["p", "q", None]), "area": rng.choice(["x", "y", "z", None])} for u in names}
+        edges = []
+        for _ in names:
+            a, b = sorted(rng.sample(names, 2))
+            edges.append((a, b, rng.choice(("before", "before", "affinity", "affinity", "must_with", "separate")), float(rng.randint(0, 100))))
+        cases[seed] = (units, edges)
+    found = plans_of(spark, cases, Small)
+    back = {cs: (dict(reversed(us.items())), es[::-1]) for cs, (us, es) in cases.items()}
+    assert plans_of(spark, back, Small) == found and set(found) == set(cases)
+    for cs, plans in found.items():
+        units, edges = cases[cs]
+        assert len(plans) <= 5 and len({str(p[1]) for p in plans}) == len(plans)
+        assert [p[0] for p in plans] == sorted(p[0] for p in plans)
+        for _, groups, status in plans:
+            at = {u: i for i, g in enumerate(groups) for u in g}
+            assert sorted(at) == sorted(units) and sum(map(len, groups)) == len(units)
+            assert status == "cannot-safely-split" or all(sum(units[u]["added"] for u in g) <= Small.hard_lines for g in groups)
+            for a, b, kind, _ in edges:
+                assert kind != "must_with" or at[a] == at[b]
+                assert kind != "before" or at[a] <= at[b]
+
+
+def test_plans_of_very_many_components(spark):
+    n = 805
+    us, es = frames(spark, {1: ({f"u{i:04}": {"added": 0, "file": "one"} for i in range(n)}, [])})
+    rows = planner.component_rows(us, planner.condensed(us, es))
+    places = planner.placed(planner.orders(rows, planner.arcs(es, planner.condensed(us, es)))).collect()
+    want = [b for b in range(800) for _ in range(b * n // 800, (b + 1) * n // 800)]
+    assert [r.block for r in sorted(places, key=lambda r: r.pos)] == want
+    assert sorted(r.unit_id for r in planner.best_membership(planner.candidates(us, es, Small)).collect()) == [f"u{i:04}" for i in range(n)]
 
 
 def test_symbol_rules(spark):

@@ -6,6 +6,7 @@ kind, weight), membership (cs_id, unit_id, grp: the group's position from 1).
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -13,6 +14,14 @@ from pyspark.sql import Window as W
 TARGET_LINES, TARGET_FILES, HARD_LINES, HARD_FILES = 350, 12, 800, 30
 
 
+def holds_together(edges: DataFrame) -> Column:
+    """Whether an edge's ends must share a group: must_with, and edges of unknown kind that say so in a flag requires_together (if there is such a column)."""
+    hard = F.col("kind") == "must_with"
+    if "requires_together" in edges.columns:
+        hard |= (F.col("kind") == "unknown") & F.coalesce("requires_together", F.lit(False))
+    return hard
+
+
 def group_totals(units: DataFrame, membership: DataFrame) -> DataFrame:
     """Per group: units, lines, lines to review (generated ones left out), files, packages, areas."""
     lines = F.col("added") + F.col("deleted")
@@ -39,16 +48,16 @@ def group_dependencies(edges: DataFrame, membership: DataFrame) -> DataFrame:
 def violations(edges: DataFrame, membership: DataFrame) -> DataFrame:
     """Per change-set: hard edges cut between groups and ``before`` edges against the order of groups."""
     e = edge_groups(edges, membership)
-    cut = (F.col("kind") == "must_with") & (F.col("src_grp") != F.col("dst_grp"))
+    cut = holds_together(edges) & (F.col("src_grp") != F.col("dst_grp"))
     back = (F.col("kind") == "before") & (F.col("src_grp") > F.col("dst_grp"))
     return e.groupBy("cs_id").agg(F.count_if(cut).alias("hard_cuts"), F.count_if(back).alias("inversions"))
 
 
-def penalty(kind: Column, weight: Column, one_is_test: Column, keep_tests: bool = True) -> Column:
+def penalty(kind: Column, weight: Column, one_is_test: Column, keep_tests: bool = True, hard: Column | None = None) -> Column:
     """Cost of separating an edge's ends: none for hard edges (they can't be), a tenth of the weight for ordered ones, more for affinity."""
     w = F.least(F.greatest(weight.cast("double"), F.lit(0.0)), F.lit(100.0))
     near = F.when(one_is_test & F.lit(keep_tests), 0.8).otherwise(0.4)
-    return F.when(kind == "must_with", 0.0).when(kind == "unknown", F.greatest(F.lit(40.0), w)).when(kind == "before", 0.1 * w).otherwise(near * w)
+    return F.when(kind == "must_with" if hard is None else hard, 0.0).when(kind == "unknown", F.greatest(F.lit(40.0), w)).when(kind == "before", 0.1 * w).otherwise(near * w)
 
 
 def edge_penalties(units: DataFrame, edges: DataFrame) -> DataFrame:
@@ -67,6 +76,13 @@ def segment_cost(lines: Column, files: Column, packages: Column, areas: Column,
     return 8 + 35 * F.pow(over(size - 1), 2) + 10 * over(0.25 - size) + 12 * F.pow(over(spread - 1), 2) + 18 * over(packages - 1) + 24 * over(areas - 1)
 
 
+def segment_cost_of(review, files, packages, areas, target_lines: int = TARGET_LINES, target_files: int = TARGET_FILES):
+    """``segment_cost`` of numpy arrays."""
+    size, spread = review / max(1, target_lines), files / max(1, target_files)
+    over = lambda x: np.maximum(0.0, x)
+    return 8 + 35 * over(size - 1) ** 2 + 10 * over(0.25 - size) + 12 * over(spread - 1) ** 2 + 18 * over(packages - 1) + 24 * over(areas - 1)
+
+
 def group_costs(totals: DataFrame) -> DataFrame:
     """Cost of each group in millionths, and whether it passes a hard limit."""
     cost = segment_cost(F.col("review_lines"), F.col("files"), F.col("packages"), F.col("areas"))
@@ -81,8 +97,8 @@ def metrics(units: DataFrame, edges: DataFrame, membership: DataFrame, target_li
     easy = F.least(F.lit(1.0), F.lit(float(target_lines)) / F.greatest(F.lit(1), F.col("review_lines")), F.lit(float(target_files)) / F.greatest(F.lit(1), F.col("files")))
     review = totals.groupBy("cs_id").agg(rounded(F.sum(F.floor(easy * 1000000 + 0.5)) / 1000000 / F.count(F.lit(1))).alias("reviewability"))
     e = edge_groups(edges, membership)
-    same, hard = F.col("src_grp") == F.col("dst_grp"), F.col("kind").isin("must_with", "before")
-    kept = F.when(F.col("kind") == "must_with", same).otherwise(F.col("src_grp") <= F.col("dst_grp"))
+    same, hard = F.col("src_grp") == F.col("dst_grp"), holds_together(edges) | (F.col("kind") == "before")
+    kept = F.when(holds_together(edges), same).otherwise(F.col("src_grp") <= F.col("dst_grp"))
     sums = e.groupBy("cs_id").agg(
         F.sum(F.when(F.col("kind") == "affinity", F.col("weight"))).alias("affinity"), F.sum(F.when((F.col("kind") == "affinity") & same, F.col("weight")).otherwise(0)).alias("retained"),
         F.count_if(hard).alias("hard"), F.count_if(hard & kept).alias("satisfied"),
@@ -157,7 +173,7 @@ def confidence(edges: DataFrame, membership: DataFrame, coarse: DataFrame | None
     ``evidence``; those that don't have a strong kind then support no boundary."""
     e = edge_groups(edges, membership)
     same = F.col("src_grp") == F.col("dst_grp")
-    broken = (F.col("kind") == "must_with") & ~same | (F.col("kind") == "before") & (F.col("src_grp") > F.col("dst_grp"))
+    broken = holds_together(edges) & ~same | (F.col("kind") == "before") & (F.col("src_grp") > F.col("dst_grp"))
     sums = e.groupBy("cs_id").agg(
         F.bool_or(F.col("kind") == "unknown").alias("unknown"), F.bool_or(broken).alias("broken"),
         F.sum(F.when(F.col("kind") == "affinity", F.col("weight")).otherwise(0)).alias("affinity"), F.sum(F.when((F.col("kind") == "affinity") & same, F.col("weight")).otherwise(0)).alias("retained"),

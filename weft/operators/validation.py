@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.operators.groups import HARD_FILES, HARD_LINES, edge_groups, group_totals
+from weft.operators.groups import HARD_FILES, HARD_LINES, edge_groups, group_totals, holds_together
 from weft.operators.planner import DEFAULT, Limits, candidates
 
 _UNIT, _GROUP = ["cs_id", "unit_id"], ["cs_id", "grp"]
@@ -48,7 +48,7 @@ def order_rules(edges: DataFrame, membership: DataFrame) -> list[DataFrame]:
     """No hard edge is cut and no ordered edge runs backwards."""
     e, pair = edge_groups(edges, membership), F.concat_ws(">", "src", "dst")
     return [
-        _found(e.where("kind = 'must_with' AND src_grp <> dst_grp"), "hard-edge-cut", pair),
+        _found(e.where(holds_together(edges) & (F.col("src_grp") != F.col("dst_grp"))), "hard-edge-cut", pair),
         _found(e.where("kind = 'before' AND src_grp > dst_grp"), "order-inverted", pair),
     ]
 

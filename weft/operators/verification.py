@@ -48,7 +48,8 @@ def verification(results: DataFrame, groups: DataFrame) -> DataFrame:
 
 def is_environment(code: Column, message: Column) -> Column:
     """Whether a diagnostic is about what is installed. A relative module that is missing is a fault of the change."""
-    relative = code.isin(MODULE_CODES) & message.rlike("(?i)(module|file) ['\"]\\.{1,2}/")
+    named = F.regexp_extract(message, "['\"]([^'\"]*)['\"]", 1)  # what the message quotes first
+    relative = code.isin(MODULE_CODES) & (named.startswith("./") | named.startswith("../"))
     return code.isin(ENVIRONMENT_CODES) & ~F.coalesce(relative, F.lit(False))
 
 

@@ -14,7 +14,7 @@ INCLUDE = ["**/*.ts", "**/*.tsx", "**/*.js", "**/*.jsx", "**/*.mts", "**/*.cts",
 EXCLUDE = ["**/dist/**", "**/coverage/**", "**/*.min.js"]
 TESTS = ["**/*.test.*", "**/*.spec.*", "**/__tests__/**"]
 GENERATED = ["**/*.generated.*", "**/generated/**"]
-#: Greatest allowed value of settings that have one.
+# Greatest allowed value of settings that have one.
 GREATEST = {"maxGroups": 20, "maxAnalysisFiles": 20000, "maxFileBytes": 104857600, "timeoutMs": 3600000}
 
 
@@ -36,7 +36,7 @@ class Settings:
 
     def planner(self) -> Limits:
         n = self.limits
-        return Limits(n["targetChangedLines"], n["targetFiles"], n["hardMaxChangedLines"], n["hardMaxFiles"], n["maxGroups"])
+        return Limits(n["targetChangedLines"], n["targetFiles"], n["hardMaxChangedLines"], n["hardMaxFiles"], n["maxGroups"], self.keep_tests)
 
 
 def without_comments(text: str) -> str:
