@@ -11,6 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from weft.functions.paths import ancestors, matches_any
 
@@ -50,16 +51,39 @@ def symbol_rules(declared: DataFrame, referenced: DataFrame, compatible: Callabl
     )
 
 
-def place_rules(units: DataFrame) -> DataFrame:
-    """Same file, same area, same package: affinity between units beside each other in the list they share."""
-    from pyspark.sql import Window as W
+#: Change-sets of up to so many units pair all their units; larger ones those next to each other in an area or package.
+DENSE_UNITS = 200
 
-    def beside(col: str, weight: int, evidence: str) -> DataFrame:
-        w = W.partitionBy("cs_id", col).orderBy("unit_id")
-        pairs = units.where(F.col(col).isNotNull()).select("cs_id", F.col("unit_id").alias("a"), F.lead("unit_id").over(w).alias("b"))
-        return _rule(pairs.where("b IS NOT NULL"), "a", "b", "affinity", weight, evidence)
 
-    return reduce(DataFrame.unionByName, [beside("file", 20, "same-module"), beside("area", 30, "configured-area"), beside("package", 5, "same-package")])
+def place_rules(units: DataFrame, dense_units: int = DENSE_UNITS, also: DataFrame | None = None) -> DataFrame:
+    """Affinity of units of the same file, else of the same area, else of the same package.
+
+    In change-sets of up to ``dense_units`` units all pairs count, by one equi-join for each place, so that no unit has more than that many partners.
+    In larger ones pairs of the same file count, those beside each other in the list of an area or package (by file, then id), and ``also`` (cs_id, p, c), pairs
+    that are related otherwise. Null files, areas and packages match nothing.
+    """
+    own = units.join(units.groupBy("cs_id").agg(F.count(F.lit(1)).alias("_n")), "cs_id")
+    at = F.struct("unit_id", "file", "area", "package")
+
+    def together(rows: DataFrame, place: str) -> DataFrame:
+        a, b = (rows.where(F.col(place).isNotNull()).select("cs_id", F.col(place).alias("_at"), at.alias(side)) for side in "ab")
+        return a.join(b, ["cs_id", "_at"]).where("a.unit_id < b.unit_id").select("cs_id", "a", "b")
+
+    def beside(rows: DataFrame, place: str) -> DataFrame:
+        w = W.partitionBy("cs_id", place).orderBy("file", "unit_id")
+        return rows.where(F.col(place).isNotNull()).select("cs_id", at.alias("a"), F.lead(at).over(w).alias("b")).where("b IS NOT NULL")
+
+    few, many = own.where(F.col("_n") <= dense_units), own.where(F.col("_n") > dense_units)
+    pairs = [together(own, "file"), together(few, "area"), together(few, "package"), beside(many, "area"), beside(many, "package")]
+    if also is not None:
+        end = lambda c, side: many.select("cs_id", F.col("unit_id").alias(c), at.alias(side))
+        pairs.append(also.join(end("p", "a"), ["cs_id", "p"]).join(end("c", "b"), ["cs_id", "c"]).select("cs_id", "a", "b"))
+    a, b = (F.when((F.col("a.unit_id") < F.col("b.unit_id")) == (side == "a"), F.col("a")).otherwise(F.col("b")) for side in "ab")
+    pairs = reduce(DataFrame.unionByName, pairs).select("cs_id", a.alias("a"), b.alias("b")).distinct()
+    rule = lambda weight, evidence: F.struct(F.lit(weight).alias("weight"), F.lit(evidence).alias("evidence"))
+    same = lambda c: F.col(f"a.{c}") == F.col(f"b.{c}")
+    found = F.when(same("file"), rule(20, "same-module")).when(same("area"), rule(30, "configured-area")).when(same("package"), rule(5, "same-package"))
+    return pairs.withColumn("r", found).where("r IS NOT NULL").select("cs_id", F.col("a.unit_id").alias("src"), F.col("b.unit_id").alias("dst"), F.lit("affinity").alias("kind"), "r.weight", "r.evidence")
 
 
 def shared_symbols(symbols: DataFrame) -> DataFrame:

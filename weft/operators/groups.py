@@ -188,8 +188,20 @@ def confidence(edges: DataFrame, membership: DataFrame, coarse: DataFrame | None
 
 
 def merge_edges(edges: DataFrame) -> DataFrame:
-    """Edges by unordered ends (ordered ones keep their direction): no self-edges, the greatest weight, evidence counted once."""
+    """Edges by unordered ends (ordered ones keep their direction): no self-edges, the greatest weight, the different pieces of evidence in order."""
     ordered = F.col("kind") == "before"
     src = F.when(ordered, F.col("src")).otherwise(F.least("src", "dst"))
     dst = F.when(ordered, F.col("dst")).otherwise(F.greatest("src", "dst"))
-    return edges.where(F.col("src") != F.col("dst")).groupBy("cs_id", src.alias("src"), dst.alias("dst"), "kind").agg(F.max("weight").alias("weight"), F.count_distinct("evidence").alias("evidence"))
+    return edges.where(F.col("src") != F.col("dst")).groupBy("cs_id", src.alias("src"), dst.alias("dst"), "kind").agg(F.max("weight").alias("weight"), F.array_sort(F.collect_set("evidence")).alias("evidence"))
+
+
+def listed_evidence(evidence: DataFrame, membership: DataFrame, top: int = 20) -> DataFrame:
+    """(cs_id, grp, evidence, n) of every group: the different pieces of ``evidence`` (cs_id, grp, seq, text) by their first place, ``top`` at most and then a mark
+    that there are more; a mark of its own where there is none."""
+    first = evidence.groupBy("cs_id", "grp", "text").agg(F.min("seq").alias("seq"))
+    ranked_ = first.withColumn("r", F.row_number().over(W.partitionBy("cs_id", "grp").orderBy("seq", "text")))
+    kept = ranked_.where(F.col("r") <= top + 1).withColumn("text", F.when(F.col("r") > top, "additional-evidence").otherwise(F.col("text")))
+    lists = kept.groupBy("cs_id", "grp").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "text"))), lambda x: x["text"]).alias("evidence"))
+    every = membership.select("cs_id", "grp").distinct().join(lists, ["cs_id", "grp"], "left")
+    found = F.coalesce("evidence", F.array(F.lit("contiguous-segment")))
+    return every.select("cs_id", "grp", found.alias("evidence"), F.size(found).alias("n"))

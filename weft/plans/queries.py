@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from weft.functions import identity, paths
 from weft.operators import checks, edgerules, groups, hunks, planner
 from weft.operators.components import connected_components
 from weft.sources import adapters
-from weft.session import table
+from weft.session import materialize, table
 from weft.streaming.maintain import windowed_counts
 
 QUERIES: dict = {}
@@ -170,17 +171,52 @@ def hard_components(spark, sf):
     return connected_components(e.select("src", "dst"))
 
 
-@query()
-def condensed_order(spark, sf):
+REACH = """arcs AS (SELECT cs_id, src AS a, dst AS b FROM edges WHERE kind IN ('must_with', 'before') UNION SELECT cs_id, dst, src FROM edges WHERE kind = 'must_with'),
+  reach AS (SELECT cs_id, unit_id AS a, unit_id AS b FROM units UNION SELECT r.cs_id, r.a, x.b FROM reach r JOIN arcs x ON x.cs_id = r.cs_id AND x.a = r.b),
+  comps AS (SELECT r.cs_id, r.a AS unit_id, min(r.b) AS component FROM reach r JOIN reach s ON s.cs_id = r.cs_id AND s.a = r.b AND s.b = r.a GROUP BY r.cs_id, r.a)"""
+
+
+@query(f"WITH RECURSIVE {E}, {REACH} SELECT * FROM comps")
+def condensed_units(spark, sf):
+    """The component of each unit after hard edges and cycles are joined: in SQL, the least of the units that reach each other."""
     u = adapters.units(spark, sf)
     return planner.condensed(u, adapters.edges(spark, u))
 
 
-@query()
+@query(f"""WITH RECURSIVE {E}, {REACH} SELECT cs_id, CAST(mode AS INTEGER) AS mode, count(DISTINCT component) AS n, CAST(0 AS INTEGER) AS least, CAST(count(DISTINCT component) - 1 AS INTEGER) AS most,
+  CAST(0 AS BIGINT) AS backward, CAST(0 AS BIGINT) AS unforced FROM comps, range(3) AS t(mode) GROUP BY cs_id, mode""")
+def component_orders(spark, sf):
+    """What must hold for the three orders of each change-set's components: all places taken, no pair backward, no lesser key later than it must be. (Equal orders are worked out once and named here again.)"""
+    u = adapters.units(spark, sf)
+    e = adapters.edges(spark, u)
+    members = materialize(planner.condensed(u, e), "members")
+    rows, before = materialize(planner.component_rows(u, members), "components"), planner.arcs(e, members)
+    faults = planner.order_faults(rows, before, planner.placed(planner.orders(rows, before)))
+    every = faults.select("cs_id").distinct().select("cs_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("mode"))
+    first = faults.where("mode = 0").drop("mode")
+    own = every.join(faults, ["cs_id", "mode"], "left_anti").join(first, "cs_id").select(faults.columns)
+    return faults.unionByName(own)
+
+
+@query(f"""WITH {E}, u AS (SELECT cs_id, count(*) AS n_units FROM units GROUP BY cs_id) SELECT cs_id, n_units, n_units AS covered, CAST(0 AS BIGINT) AS hard_cuts, CAST(0 AS BIGINT) AS inversions,
+  CAST(0 AS BIGINT) AS over_limits, true AS few, true AS ascending FROM u""")
 def plan_candidates(spark, sf):
+    """What must hold for the plans of each change-set: the first one covers each unit once, cuts no hard edge, inverts no ordered one and keeps the limits unless
+    it says that it can't; there are five at most, in order of cost."""
     u = adapters.units(spark, sf)
-    found = planner.candidates(u, adapters.edges(spark, u))
-    return found.withColumn("groups", F.to_json("groups"))
+    e = materialize(adapters.edges(spark, u), "edges")
+    found = materialize(planner.candidates(u, e), "candidates")
+    m = materialize(planner.best_membership(found), "membership")
+    covered = m.groupBy("cs_id").agg(F.count_distinct("unit_id").alias("covered"), F.count(F.lit(1)).alias("_rows"))
+    broken = groups.violations(e, m)
+    status = found.where("rank = 1").select("cs_id", "status")
+    over = groups.group_costs(groups.group_totals(u, m)).join(status, "cs_id").groupBy("cs_id").agg(F.count_if(F.col("infeasible") & (F.col("status") != "cannot-safely-split")).alias("over_limits"))
+    cheaper = F.col("cost") < F.lag("cost").over(W.partitionBy("cs_id").orderBy("rank"))
+    listed = found.withColumn("_c", cheaper).groupBy("cs_id").agg((F.count(F.lit(1)) <= planner.TOP).alias("few"), (~F.coalesce(F.bool_or("_c"), F.lit(False))).alias("ascending"))
+    n = u.groupBy("cs_id").agg(F.count(F.lit(1)).alias("n_units"))
+    every = n.join(covered.where("covered = _rows"), "cs_id", "left").join(broken, "cs_id", "left").join(over, "cs_id", "left").join(listed, "cs_id", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
+    return every.select("cs_id", "n_units", "covered", zero("hard_cuts"), zero("inversions"), zero("over_limits"), "few", "ascending")
 
 
 @query(f"""WITH {E} SELECT cs_id, src, dst, kind, weight, 'edge_' || substr(sha256('"' || src || ':' || dst || ':' || kind || '"'), 1, 16) AS edge_id FROM edges""")
@@ -212,12 +248,11 @@ def symbol_edges(spark, sf):
     return edgerules.symbol_rules(d, s).distinct()
 
 
-@query(f"""WITH {U}, r AS (SELECT cs_id, unit_id AS src, lead(unit_id) OVER (PARTITION BY cs_id, file ORDER BY unit_id) AS dst, 20 AS weight, 'same-module' AS evidence FROM units
-  UNION ALL SELECT cs_id, unit_id, lead(unit_id) OVER (PARTITION BY cs_id, area ORDER BY unit_id), 30, 'configured-area' FROM units
-  UNION ALL SELECT cs_id, unit_id, lead(unit_id) OVER (PARTITION BY cs_id, package ORDER BY unit_id), 5, 'same-package' FROM units)
-  SELECT cs_id, src, dst, 'affinity' AS kind, max(weight) AS weight, count(DISTINCT evidence) AS evidence FROM r WHERE dst IS NOT NULL GROUP BY cs_id, src, dst""")
+@query(f"WITH {U}, {adapters.RANKED}, {adapters.NEAR.format(limit=30)} SELECT cs_id, src, dst, 'affinity' AS kind, max(weight) AS weight, string_agg(DISTINCT evidence, ',' ORDER BY evidence) AS evidence FROM places GROUP BY cs_id, src, dst")
 def place_edges(spark, sf):
-    return groups.merge_edges(edgerules.place_rules(adapters.units(spark, sf)))
+    """With all pairs in change-sets of up to 30 units and neighbours in larger ones, so that both ways are met."""
+    merged = groups.merge_edges(edgerules.place_rules(adapters.units(spark, sf), dense_units=30))
+    return merged.withColumn("evidence", F.array_join("evidence", ","))
 
 
 @query(f"""WITH {P}, parts AS (SELECT page_id, string_split(path, '/') AS p FROM paths)
@@ -242,12 +277,13 @@ def path_safety(spark, sf):
     return adapters.paths(spark, sf).select("page_id", paths.is_safe(F.col("path")).alias("safe"))
 
 
-@query(f"""WITH {P}, own AS (SELECT regexp_replace(path, '/[^/]*$', '') AS folder, min(page_id) AS owner FROM paths WHERE path LIKE '%/%' GROUP BY 1)
-  SELECT page_id, folder, owner FROM paths JOIN own ON folder = regexp_replace(path, '/[^/]*$', '') WHERE path LIKE '%/%'""")
+@query(f"""WITH {P}, own AS (SELECT regexp_replace(path, '(^|/)[^/]*$', '') AS folder, min(page_id) AS owner FROM paths GROUP BY 1 HAVING min(page_id) % 3 <> 0 OR folder = ''),
+  up AS (SELECT page_id, folder, owner, row_number() OVER (PARTITION BY page_id ORDER BY length(folder) DESC) AS r FROM paths JOIN own ON folder = '' OR starts_with(path, folder || '/'))
+  SELECT page_id, folder, owner FROM up WHERE r = 1""")
 def nearest_owner(spark, sf):
-    """The nearest folder above each page that has an owner (its page with the least id): a join on all ancestors, the longest kept."""
-    p = adapters.paths(spark, sf).where(F.col("path").contains("/"))
-    own = p.select(F.element_at(paths.ancestors(F.col("path")), -1).alias("folder"), "page_id").groupBy("folder").agg(F.min("page_id").alias("owner"))
+    """The nearest folder above each page that has an owner: a join on all ancestors, the longest kept. A folder's owner is its page with the least id; where that is divisible by three it has none."""
+    p = adapters.paths(spark, sf)
+    own = p.select(F.element_at(paths.ancestors(F.col("path")), -1).alias("folder"), "page_id").groupBy("folder").agg(F.min("page_id").alias("owner")).where("owner % 3 <> 0 OR folder = ''")
     up = p.select("page_id", F.posexplode(paths.ancestors(F.col("path"))).alias("depth", "folder"))
     return up.join(own, "folder").groupBy("page_id").agg(F.max_by(F.struct("folder", "owner"), "depth").alias("x")).select("page_id", "x.folder", "x.owner")
 
@@ -265,10 +301,13 @@ def line_delta(spark, sf):
     return hunks.line_delta(_pairs(spark, sf))
 
 
-@query("SELECT doc_id, sha1(encode('blob ' || octet_length(encode(text)) || chr(0)) || encode(text)) AS oid, 'text' AS kind FROM documents")
+@query("""SELECT doc_id, sha1(encode('blob ' || octet_length(encode(text)) || chr(0)) || encode(text)) AS oid,
+  CASE WHEN octet_length(encode(text)) > 400 OR contains(text, 'Z') THEN 'binary' ELSE 'text' END AS kind FROM documents""")
 def blob_ids(spark, sf):
+    """Ids and kinds of the documents as contents; for the kind, a limit of 400 bytes stands for the real one and Z for the NUL that these texts don't have."""
     d = table(spark, sf, "documents")
-    return d.select("doc_id", identity.blob_oid(F.col("text")).alias("oid"), hunks.text_kind(F.col("text")).alias("kind"))
+    content = F.encode(F.regexp_replace("text", "Z", "\\u0000"), "UTF-8")
+    return d.select("doc_id", identity.blob_oid(F.col("text")).alias("oid"), hunks.text_kind(content, 400).alias("kind"))
 
 
 RESULTS = "results AS (SELECT cs_id, unit_id, (pos - 1) % 5 + 1 AS grp, CASE WHEN added > 49 THEN 'failed' WHEN deleted > 3 THEN 'skipped' ELSE 'passed' END AS status FROM units)"
@@ -298,10 +337,11 @@ def repaired_groups(spark, sf):
     return checks.repair(_results(spark, sf))
 
 
-@query(f"""WITH {E}, {M} SELECT DISTINCT e.* FROM edges e JOIN members m ON m.cs_id = e.cs_id AND (m.unit_id = e.src OR m.unit_id = e.dst) WHERE m.grp = 1""")
+@query(f"""WITH {E}, {M} SELECT e.cs_id, m.grp, e.src, e.dst, e.kind, e.weight FROM edges e JOIN members m ON m.cs_id = e.cs_id AND m.unit_id = e.src
+  UNION SELECT e.cs_id, m.grp, e.src, e.dst, e.kind, e.weight FROM edges e JOIN members m ON m.cs_id = e.cs_id AND m.unit_id = e.dst""")
 def incident_edges(spark, sf):
     u = adapters.units(spark, sf)
-    return checks.incident_edges(adapters.edges(spark, u), _sliced(u), 1)
+    return checks.incident_edges(adapters.edges(spark, u), _sliced(u))
 
 
 @query("""SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n, CAST(sum(floor(value * 100 + 0.5)) AS BIGINT) AS value_cents

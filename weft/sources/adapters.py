@@ -1,64 +1,73 @@
-"""Change-set tables derived from the given tables. Each is one SQL text that Spark and the oracle both read.
+"""Change-set tables derived from the given tables, built with DataFrame operations and the library's own rules; the SQL below says the same for the oracle.
 
 units     cs_id, unit_id, file, package, area, added, deleted, is_test, is_generated, pos (order within the change-set)
-edges     cs_id, src, dst, kind, weight
+edges     cs_id, src, dst, kind, weight: units of an order follow one another, units of a file stay together, units of a file, area or package are near
 paths     page_id, path: the path of a page's address
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from weft.session import table
-
-UNITS = """
-SELECT cs_id, unit_id, file, package, area, added, deleted, is_test, is_generated,
-       CAST(row_number() OVER (PARTITION BY cs_id ORDER BY unit_id) AS BIGINT) AS pos
-FROM (SELECT o_custkey AS cs_id,
-             lpad(CAST(l_orderkey AS VARCHAR(20)), 12, '0') || ':' || CAST(l_linenumber AS VARCHAR(20)) AS unit_id,
-             min(l_partkey) AS file, min(l_suppkey) AS package, min(p_type) AS area,
-             CAST(sum(l_quantity) AS BIGINT) AS added, count(*) AS deleted,
-             bool_or(l_returnflag = 'R') AS is_test, bool_and(l_linestatus = 'F') AS is_generated
-      FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {part} ON l_partkey = p_partkey
-      GROUP BY o_custkey, l_orderkey, l_linenumber) grouped
-"""
-
-EDGES = """
-SELECT cs_id, src, dst, kind, max(weight) AS weight
-FROM (SELECT cs_id, lag(unit_id) OVER (PARTITION BY cs_id, substr(unit_id, 1, 12) ORDER BY unit_id) AS src, unit_id AS dst,
-             'before' AS kind, 95 AS weight FROM {units}
-      UNION ALL
-      SELECT a.cs_id, a.unit_id, b.unit_id, 'must_with', 100 FROM {units} a JOIN {units} b
-      ON a.cs_id = b.cs_id AND a.file = b.file AND a.unit_id < b.unit_id
-      UNION ALL
-      SELECT a.cs_id, a.unit_id, b.unit_id, 'affinity', 30 FROM {units} a JOIN {units} b
-      ON a.cs_id = b.cs_id AND a.area = b.area AND a.file <> b.file AND a.unit_id < b.unit_id
-      UNION ALL
-      SELECT a.cs_id, a.unit_id, b.unit_id, 'affinity', 5 FROM {units} a JOIN {units} b
-      ON a.cs_id = b.cs_id AND a.package = b.package AND a.area <> b.area AND a.file <> b.file AND a.unit_id < b.unit_id) rules
-WHERE src IS NOT NULL
-GROUP BY cs_id, src, dst, kind
-"""
-
-PATHS = """
-SELECT page_id, regexp_replace(regexp_replace(url, '^[a-z]+://[^/]*/', ''), '[?#].*$', '') AS path FROM {pages}
-"""
+from weft.operators import edgerules, groups
+from weft.session import materialize, table
 
 
 def units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = {n: table(spark, sf_dir, n) for n in ("lineitem", "orders", "part")}
-    return spark.sql(UNITS, **t)
+    """Written once, as edges and groups read it many times."""
+    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = rows.join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    unit = F.concat_ws(":", F.lpad(F.col("l_orderkey").cast("string"), 12, "0"), F.col("l_linenumber").cast("string"))
+    g = rows.groupBy(F.col("o_custkey").alias("cs_id"), unit.alias("unit_id")).agg(
+        F.min("l_partkey").alias("file"), F.min("l_suppkey").alias("package"), F.min("p_type").alias("area"), F.sum("l_quantity").cast("bigint").alias("added"),
+        F.count(F.lit(1)).alias("deleted"), F.bool_or(F.col("l_returnflag") == "R").alias("is_test"), F.bool_and(F.col("l_linestatus") == "F").alias("is_generated"),
+    )
+    return materialize(g.withColumn("pos", F.row_number().over(W.partitionBy("cs_id").orderBy("unit_id")).cast("bigint")), "units")
 
 
 def edges(spark: SparkSession, unit_rows: DataFrame) -> DataFrame:
-    return spark.sql(EDGES, units=unit_rows)
+    w = lambda by: W.partitionBy("cs_id", by).orderBy("unit_id")
+    rule = lambda src, dst, kind, weight: unit_rows.select("cs_id", src.alias("src"), dst.alias("dst"), F.lit(kind).alias("kind"), F.lit(weight).alias("weight"), F.lit("given").alias("evidence"))
+    order = rule(F.lag("unit_id").over(w(F.substring("unit_id", 1, 12))), F.col("unit_id"), "before", 95)
+    file = rule(F.lag("unit_id").over(w("file")), F.col("unit_id"), "must_with", 100)
+    every = order.unionByName(file).where("src IS NOT NULL").unionByName(edgerules.place_rules(unit_rows))
+    return groups.merge_edges(every).drop("evidence")
 
 
 def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(PATHS, pages=table(spark, sf_dir, "pages"))
+    path = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://[^/]*/", ""), "[?#].*$", "")
+    return table(spark, sf_dir, "pages").select("page_id", path.alias("path"))
+
+
+UNITS = """
+SELECT o_custkey AS cs_id, printf('%012d:%d', CAST(l_orderkey AS BIGINT), CAST(l_linenumber AS BIGINT)) AS unit_id,
+       min(l_partkey) AS file, min(l_suppkey) AS package, min(p_type) AS area, CAST(sum(l_quantity) AS BIGINT) AS added, count(*) AS deleted,
+       max(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) = 1 AS is_test, min(CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END) = 1 AS is_generated,
+       CAST(rank() OVER (PARTITION BY o_custkey ORDER BY printf('%012d:%d', CAST(l_orderkey AS BIGINT), CAST(l_linenumber AS BIGINT))) AS BIGINT) AS pos
+FROM orders, lineitem, part WHERE l_orderkey = o_orderkey AND l_partkey = p_partkey GROUP BY o_custkey, l_orderkey, l_linenumber
+"""
 
+#: Pairs of units near each other: all of a change-set of up to 200 units, those next to each other in larger ones.
+NEAR = """near AS (SELECT a.cs_id, a.unit_id AS src, b.unit_id AS dst, CASE WHEN a.file = b.file THEN 20 WHEN a.area = b.area THEN 30 WHEN a.package = b.package THEN 5 END AS weight,
+  CASE WHEN a.file = b.file THEN 'same-module' WHEN a.area = b.area THEN 'configured-area' ELSE 'same-package' END AS evidence
+  FROM ranked a JOIN ranked b ON a.cs_id = b.cs_id AND a.unit_id < b.unit_id WHERE a.n <= {limit} OR a.file = b.file OR (a.area = b.area AND abs(a.in_area - b.in_area) = 1) OR (a.package = b.package AND abs(a.in_package - b.in_package) = 1)),
+  places AS (SELECT * FROM near WHERE weight IS NOT NULL)"""
+RANKED = """ranked AS (SELECT *, count(*) OVER (PARTITION BY cs_id) AS n, row_number() OVER (PARTITION BY cs_id, area ORDER BY file, unit_id) AS in_area,
+  row_number() OVER (PARTITION BY cs_id, package ORDER BY file, unit_id) AS in_package FROM units)"""
+EDGES = """
+SELECT cs_id, src, dst, kind, max(weight) AS weight
+FROM (SELECT a.cs_id, max(b.unit_id) AS src, a.unit_id AS dst, 'before' AS kind, 95 AS weight FROM units a JOIN units b
+      ON a.cs_id = b.cs_id AND left(a.unit_id, 12) = left(b.unit_id, 12) AND b.unit_id < a.unit_id GROUP BY a.cs_id, a.unit_id
+      UNION ALL
+      SELECT a.cs_id, max(b.unit_id), a.unit_id, 'must_with', 100 FROM units a JOIN units b ON a.cs_id = b.cs_id AND a.file = b.file AND b.unit_id < a.unit_id GROUP BY a.cs_id, a.unit_id
+      UNION ALL
+      SELECT cs_id, src, dst, 'affinity', weight FROM places) rules
+GROUP BY cs_id, src, dst, kind
+"""
+PATHS = "SELECT page_id, split_part(split_part(regexp_replace(url, '^[a-z]+://[^/]*/', ''), '?', 1), '#', 1) AS path FROM pages"
 
-#: The same views for the oracle, as common table expressions.
-WITH_UNITS = f"units AS ({UNITS.format(lineitem='lineitem', orders='orders', part='part')})"
-WITH_EDGES = f"{WITH_UNITS}, edges AS ({EDGES.format(units='units')})"
-WITH_PATHS = f"paths AS ({PATHS.format(pages='pages')})"
+WITH_UNITS = f"units AS ({UNITS})"
+WITH_EDGES = f"{WITH_UNITS}, {RANKED}, {NEAR.format(limit=200)}, edges AS ({EDGES})"
+WITH_PATHS = f"paths AS ({PATHS})"
