@@ -1,4 +1,5 @@
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from weft.operators import edgerules, hunks, reports, trees, validation
@@ -101,6 +102,33 @@ def test_bindings_outputs_and_manifests(spark):
     assert rows(edgerules.merged_overloads(over)) == [(1, "u", "s", "new", "a\nb")]
 
 
+def test_place_rules_in_small_and_large_change_sets(spark):
+    """All pairs up to the limit; beyond it pairs of a file, of neighbours and of those related otherwise. Of one pair's places the first counts."""
+    rows = [(1, "a", "f", "x", "p"), (1, "b", "f", "x", "p"), (1, "c", "g", "x", "q"), (1, "d", "h", None, "p"), (1, "e", "i", "x", None)]
+    df = spark.createDataFrame(rows, "cs_id int, unit_id string, file string, area string, package string")
+    got = {(r.src, r.dst, r.weight, r.evidence) for r in edgerules.place_rules(df).collect()}
+    area = lambda *pairs: {(a, b, 30, "configured-area") for a, b in pairs}
+    package = lambda *pairs: {(a, b, 5, "same-package") for a, b in pairs}
+    assert got == {("a", "b", 20, "same-module")} | area("ac", "ae", "bc", "be", "ce") | package("ad", "bd")
+    got = {(r.src, r.dst, r.weight, r.evidence) for r in edgerules.place_rules(df, dense_units=2).collect()}
+    assert got == {("a", "b", 20, "same-module")} | area("bc", "ce") | package("bd")
+    also = spark.createDataFrame([(1, "e", "a"), (1, "d", "e")], "cs_id int, p string, c string")
+    assert {(r.src, r.dst) for r in edgerules.place_rules(df, 2, also).collect()} == {(r[0], r[1]) for r in got} | {("a", "e")}
+
+
+def test_contents_that_are_text(spark):
+    df = spark.createDataFrame([(bytearray(b"a\xc3\xa9"),), (bytearray(b"a\0"),), (bytearray(b"\xff"),), (bytearray(b"long text"),), (bytearray(b""),)], "c binary")
+    assert [r[0] for r in df.select(hunks.text_kind(F.col("c"), 5)).collect()] == ["text", "binary", "binary", "binary", "text"]
+
+
+def test_formats(spark):
+    df = spark.createDataFrame([("json", "j"), ("markdown", "m")], "k string, t string")
+    assert rows(df.select(reports.formatted(F.col("k"), json=F.col("t"), markdown=F.upper("t")))) == [("M",), ("j",)]
+    with pytest.raises(Exception, match="unknown format: xml"):
+        df.select(reports.formatted(F.lit("xml"), json=F.col("t"))).collect()
+    assert rows(df.limit(1).select(*[reports.shown_number(F.lit(x)) for x in (100.0, 66.67, 0.0, 0.5)])) == [("100", "66.67", "0", "0.5")]
+
+
 def test_report_texts(spark):
     assert reports.plain_text("a\n\x1b‮\x7f") == "a\\n\\u001b\\u202e\\u007f"
     assert [reports.markdown_text(t) for t in ("# a #", "  x", "1. a", "- a", "1- a", "a_b & <c>", "")] == ["\\# a \\#", "&#32;&#32;x", "1\\. a", "\\- a", "1- a", "a\\_b &amp; \\<c\\>", ""]

@@ -68,10 +68,11 @@ def _settled(labels: DataFrame, arcs: DataFrame, max_rounds: int) -> DataFrame:
     """(node, label): the least label of the nodes from which arcs (a to b) lead to each node, itself included. A label's own label is taken over, too, so that rounds are few."""
     before = None
     for _ in range(max_rounds):
-        come = arcs.join(labels.withColumnRenamed("node", "a"), "a").select(F.col("b").alias("node"), "label")
-        least = labels.unionByName(come).groupBy("node").agg(F.min("label").alias("label"))
-        of = least.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        labels = checkpoint(least.join(of, "label", "left").select("node", F.least("label", "further").alias("label")))
+        for _ in range(2):
+            come = arcs.join(labels.withColumnRenamed("node", "a"), "a").select(F.col("b").alias("node"), "label")
+            labels = labels.unionByName(come).groupBy("node").agg(F.min("label").alias("label"))
+        of = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
+        labels = checkpoint(labels.join(of, "label", "left").select("node", F.least("label", "further").alias("label")))
         now = _state(labels.select(F.col("node").alias("hi"), F.col("label").alias("lo")))
         if now == before:
             return labels

@@ -70,6 +70,35 @@ def claim_rules(units: DataFrame, edges: DataFrame, membership: DataFrame, total
     ]
 
 
+def hunk_rules(files: DataFrame, hunks: DataFrame, units: DataFrame, unit_hunks: DataFrame) -> DataFrame:
+    """Every hunk of ``hunks`` (cs_id, file_id, hunk_id) lies in exactly one unit of its file; files have units, atomic ones a single one with all hunks.
+
+    files: cs_id, file_id, is_atomic. units: cs_id, unit_id, file_id, is_atomic. unit_hunks: cs_id, unit_id, hunk_id.
+    """
+    file, hunk = ["cs_id", "file_id"], ["cs_id", "hunk_id"]
+    assigned = unit_hunks.join(units.select(*_UNIT, "file_id"), _UNIT).select(*hunk, *_UNIT[1:], "file_id")
+    of_file = units.join(files.select(*file, F.col("is_atomic").alias("_atomic")), file)
+    n = of_file.groupBy(*file).agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.col("_atomic") | F.col("is_atomic")).alias("whole"))
+    own = of_file.where("is_atomic").select(*_UNIT, "file_id").join(hunks.select("cs_id", "file_id", "hunk_id"), file)
+    return reduce(DataFrame.unionByName, [
+        _found(units.join(files, file, "left_anti"), "file-unknown", "unit_id"),
+        _found(files.join(units, file, "left_anti"), "file-left-out", "file_id"),
+        _found(assigned.join(hunks, [*hunk, "file_id"], "left_anti"), "hunk-of-another-file", "hunk_id"),
+        _found(repeated(assigned, hunk), "hunk-in-two-units", "hunk_id"),
+        _found(hunks.join(assigned, hunk, "left_anti"), "hunk-left-out", "hunk_id"),
+        _found(of_file.where("_atomic AND NOT is_atomic"), "atomic-file-split", "unit_id"),
+        _found(n.where("whole AND n > 1"), "atomic-file-in-units", "file_id"),
+        _found(own.join(unit_hunks, [*_UNIT, "hunk_id"], "left_anti"), "atomic-unit-incomplete", "hunk_id"),
+    ])
+
+
+def claimed_fields(claimed: DataFrame, derived: DataFrame, key: list[str], fields: list[str]) -> DataFrame:
+    """(cs_id, rule: the field, item: the last of ``key``) wherever a row claims another value than the one derived anew."""
+    both = claimed.select(*key, F.struct(*fields).alias("_a")).join(derived.select(*key, F.struct(*fields).alias("_b")), key)
+    wrong = F.filter(F.array(*[F.when(~F.col(f"_a.{c}").eqNullSafe(F.col(f"_b.{c}")), F.lit(c)) for c in fields]), lambda x: x.isNotNull())
+    return both.select("cs_id", F.explode(wrong).alias("rule"), F.col(key[-1]).cast("string").alias("item"))
+
+
 def plan_violations(units: DataFrame, edges: DataFrame, membership: DataFrame, totals: DataFrame, needs: DataFrame) -> DataFrame:
     """All rules. Rows with null keys join nothing, so they come out as left out or unknown; empty tables give no rows."""
     rules = unit_rules(units, edges) + cover_rules(units, membership) + order_rules(edges, membership) + claim_rules(units, edges, membership, totals, needs)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from weft.functions import paths
 from weft.operators import edgerules, groups, hunks, reports, trees, validation, verification
-from weft.plans.queries import EG, E, M, P, SYMBOLS, TITLES, TOTALS, U, _sliced, _symbols, query, titled
+from weft.plans.queries import EG, E, M, METRICS, P, SYMBOLS, TITLES, TOTALS, U, _sliced, _symbols, query, titled
 from weft.session import table
 from weft.sources import adapters
 
@@ -162,18 +162,21 @@ def plan_confidence(spark, sf):
     return groups.confidence(adapters.edges(spark, u), _sliced(u))
 
 
-@query(f"""WITH {E}, {M}, {TOTALS}, {EG}, {TITLES}, {CONFIDENCE},
+SHOWN = "regexp_replace(regexp_replace(CAST(CAST({} AS DECIMAL(7, 2)) AS VARCHAR), '0+$', ''), '[.]$', '')"
+
+
+@query(f"""WITH {E}, {M}, {TOTALS}, {EG}, {TITLES}, {CONFIDENCE}, {METRICS},
   d AS (SELECT cs_id, grp, string_agg(CAST(g AS VARCHAR), ',' ORDER BY g) AS needs FROM (SELECT DISTINCT cs_id, dst_grp AS grp, src_grp AS g FROM eg WHERE kind = 'before' AND src_grp < dst_grp) x GROUP BY cs_id, grp),
   l AS (SELECT t.cs_id, string_agg(t.grp || '. ' || title || chr(10) || '   ' || files || ' file · +' || added || '/-' || deleted || ' · dipendenze: ' || coalesce(needs, 'nessuna'), chr(10) || chr(10) ORDER BY t.grp) AS body,
   CAST(sum(n_units) AS BIGINT) AS u, count(*) AS n FROM totals t JOIN titles a ON a.cs_id = t.cs_id AND a.grp = t.grp LEFT JOIN d ON d.cs_id = t.cs_id AND d.grp = t.grp GROUP BY t.cs_id)
   SELECT l.cs_id, 'Plan · ' || CASE WHEN n > 1 THEN 'Suddivisione da verificare' ELSE 'Modifica singola' END || chr(10) || u || ' unità · ' || n || ' gruppi' || chr(10) || chr(10) || body || chr(10) || chr(10)
-  || 'Revisionabilità: 100/100 · coesione: 100/100 · integrità dipendenze: 100/100 · confidenza confini: ' || confidence || chr(10) AS report FROM l JOIN conf ON conf.cs_id = l.cs_id""")
+  || 'Revisionabilità: ' || {SHOWN.format('reviewability')} || '/100 · coesione: ' || {SHOWN.format('cohesion')} || '/100 · integrità dipendenze: ' || {SHOWN.format('integrity')} || '/100 · confidenza confini: ' || confidence || chr(10) AS report
+  FROM l JOIN conf ON conf.cs_id = l.cs_id JOIN metrics ON metrics.cs_id = l.cs_id""")
 def terminal_report(spark, sf):
-    """Each change-set's report. The three measures are given as whole here, since number formats differ between engines; ``plan_metrics`` has them."""
     u = adapters.units(spark, sf)
     e, m = adapters.edges(spark, u), _sliced(u)
     status = m.groupBy("cs_id").agg(F.when(F.count_distinct("grp") > 1, "split-unverified").otherwise("single-change").alias("status"))
-    plans = status.join(groups.confidence(e, m), "cs_id").select("*", *[F.lit(100).alias(c) for c in ("reviewability", "cohesion", "integrity")])
+    plans = status.join(groups.confidence(e, m), "cs_id").join(groups.metrics(u, e, m), "cs_id")
     return reports.terminal_text(plans, groups.group_totals(u, m), groups.titles(titled(u), m), groups.group_dependencies(e, m))
 
 

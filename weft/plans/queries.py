@@ -130,11 +130,14 @@ def group_titles(spark, sf):
     return groups.titles(titled(u), _sliced(u))
 
 
-@query(f"""WITH {E}, {M}, {TOTALS}, {EG}, r AS (SELECT cs_id, floor(sum(floor(least(1.0, 350.0 / greatest(1, review_lines), 12.0 / greatest(1, files)) * 1000000 + 0.5)) / 1000000 / count(*) * 10000 + 0.5) / 100 AS reviewability FROM totals GROUP BY cs_id),
-  s AS (SELECT cs_id, sum(weight) FILTER (WHERE kind = 'affinity') AS aff, sum(weight) FILTER (WHERE kind = 'affinity' AND src_grp = dst_grp) AS kept,
-  count(*) FILTER (WHERE kind <> 'affinity') AS hard, count(*) FILTER (WHERE kind = 'must_with' AND src_grp = dst_grp OR kind = 'before' AND src_grp <= dst_grp) AS ok FROM eg GROUP BY cs_id)
-  SELECT r.cs_id, reviewability, CASE WHEN coalesce(aff, 0) = 0 THEN 100.0 ELSE floor(CAST(coalesce(kept, 0) AS DOUBLE) / aff * 10000 + 0.5) / 100 END AS cohesion,
-  CASE WHEN coalesce(hard, 0) = 0 THEN 100.0 ELSE floor(CAST(ok AS DOUBLE) / hard * 10000 + 0.5) / 100 END AS integrity FROM r LEFT JOIN s ON s.cs_id = r.cs_id""")
+METRICS = """r AS (SELECT cs_id, floor(sum(floor(least(1.0, 350.0 / greatest(1, review_lines), 12.0 / greatest(1, files)) * 1000000 + 0.5)) / 1000000 / count(*) * 10000 + 0.5) / 100 AS reviewability FROM totals GROUP BY cs_id),
+  ms AS (SELECT cs_id, sum(weight) FILTER (WHERE kind = 'affinity') AS aff, sum(weight) FILTER (WHERE kind = 'affinity' AND src_grp = dst_grp) AS kept,
+  count(*) FILTER (WHERE kind <> 'affinity') AS hard, count(*) FILTER (WHERE kind = 'must_with' AND src_grp = dst_grp OR kind = 'before' AND src_grp <= dst_grp) AS ok FROM eg GROUP BY cs_id),
+  metrics AS (SELECT r.cs_id, reviewability, CASE WHEN coalesce(aff, 0) = 0 THEN 100.0 ELSE floor(CAST(coalesce(kept, 0) AS DOUBLE) / aff * 10000 + 0.5) / 100 END AS cohesion,
+  CASE WHEN coalesce(hard, 0) = 0 THEN 100.0 ELSE floor(CAST(ok AS DOUBLE) / hard * 10000 + 0.5) / 100 END AS integrity FROM r LEFT JOIN ms ON ms.cs_id = r.cs_id)"""
+
+
+@query(f"WITH {E}, {M}, {TOTALS}, {EG}, {METRICS} SELECT * FROM metrics")
 def plan_metrics(spark, sf):
     u = adapters.units(spark, sf)
     return groups.metrics(u, adapters.edges(spark, u), _sliced(u))
