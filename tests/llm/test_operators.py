@@ -583,6 +583,41 @@ def test_main_text(spark):
     assert htmlmain.extract_main_text(none, train_pages=10).count() == 0
 
 
+@pytest.fixture(scope="module")
+def page_rows(spark):
+    return [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").orderBy("page_id").collect()]
+
+
+def test_main_text_of_pages_and_layouts_that_were_not_trained_on(page_rows):
+    """Characters kept of the main text, and main text among the characters kept: layouts with and without telling marks, and given pages that mark their article."""
+    half = len(page_rows) // 2
+    model = htmlmain.train(page_rows[: min(half, htmlmain.TRAIN_PAGES)])
+    lines = [x.replace("<", " ").replace("&", " ") for h in page_rows[half:] for x in htmlmain.blocks(htmlmain.parse(h)) if len(x) > 20]
+    rng = random.Random(99)
+    good, kept, main = collections.Counter(), collections.Counter(), collections.Counter()
+    for _ in range(150):
+        html = htmlmain._layout(rng, [rng.choice(lines) for _ in range(rng.choice((2, 4, 9)))], lines)
+        kind = "marked" if any(x in html for x in ("<article", "<main", "<nav", "<header", "<footer", "<aside")) else "plain"
+        nodes = htmlmain.parse(html, htmlmain._Labelled)
+        htmlmain.decode(nodes, model.log_odds(htmlmain.features(nodes)))
+        for n in nodes[1:]:
+            good[kind] += n.own * (n.kept and n.label == 1)
+            kept[kind] += n.own * n.kept
+            main[kind] += n.own * (n.label == 1)
+    for html in page_rows[half:]:
+        nodes = htmlmain.parse(html)
+        label = htmlmain._marked(nodes)
+        if label is not None:
+            htmlmain.decode(nodes, model.log_odds(htmlmain.features(nodes)))
+            for n in nodes[1:]:
+                good["page"] += n.own * (n.kept and label[n.index] == 1)
+                kept["page"] += n.own * n.kept
+                main["page"] += n.own * (label[n.index] == 1)
+    found = {k: (round(good[k] / kept[k], 3), round(good[k] / main[k], 3)) for k in main}
+    print("precision, recall:", found, dict(main))
+    assert set(found) >= {"marked", "plain"} and all(p > 0.9 and r > 0.9 for p, r in found.values()), found
+
+
 def text_of(html):
     return " ".join(x.strip() for n in htmlmain.parse(html) for x in n.items if isinstance(x, str) and x.strip())
 
@@ -602,7 +637,7 @@ def test_pages_with_open_heads_and_open_skipped_elements_are_read_on():
 
 
 def test_pages_are_read_on_after_odd_declarations():
-    for odd in ("<![foo]>", "<![ x >", "<![>", "<!x>", "<![if x]>", "<![CDATA[gone]]>", "<!>", "<p data-weft-label=x>", "<p data-weft-label>", "<?x>"):
+    for odd in ("<![foo]>", "<![ x >", "<![>", "<!x>", "<![if x]>", "<![CDATA[gone]]>", "<!>", "<p data-label=x>", "<p data-label>", "<?x>"):
         assert text_of(f"<body><p>one</p>{odd}<p>two</p></body>") == "one two", odd
     assert text_of("<p>one</p><p>two <![ x").startswith("one two")
     rng = random.Random(3)

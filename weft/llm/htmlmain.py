@@ -64,8 +64,8 @@ _SPACE = re.compile(r"\s+")
 class Node:
     __slots__ = ("tag", "clues", "parent", "children", "items", "label", "own", "links", "linked", "inputs", "index", "kept")
 
-    def __init__(self, tag: str, clues: tuple, parent: Node | None, label: int | None = None) -> None:
-        self.tag, self.clues, self.parent, self.label = tag, clues, parent, label
+    def __init__(self, tag: str, clues: tuple, parent: Node | None) -> None:
+        self.tag, self.clues, self.parent, self.label = tag, clues, parent, None
         self.children: list[Node] = []
         self.items: list = []  # text pieces and child nodes, in order
         self.own = self.links = self.linked = self.inputs = 0
@@ -169,18 +169,20 @@ class _Tree:
                     if tag != "tr":
                         break
                 n = n.parent
-        label, said = None, set()
+        said = set()
         for k, v in attrs:
             if k in ("class", "id", "role", "itemprop", "aria-label") and v:
                 said.update(x.lower() for x in _WORDS.findall(v))
-            elif k == "data-weft-label" and re.fullmatch("[0-9]{1,9}", v or ""):  # as laid out for training
-                label = int(v)
-        node = Node(tag, tuple(int(bool(said & c)) for c in _CLUE), self.at, label)
+        node = Node(tag, tuple(int(bool(said & c)) for c in _CLUE), self.at)
+        self.begun(node, attrs)
         self.at.children.append(node)
         self.at.items.append(node)
         self.nodes.append(node)
         self.at = node
 
+    def begun(self, node: Node, attrs: list) -> None:
+        """For pages that say more of their elements."""
+
     def _up(self, node: Node) -> None:
         self.at, self.anchor = node, 0
 
@@ -218,12 +220,19 @@ class _Tree:
             self.at.linked += n
 
 
-def parse(html: str | None) -> list[Node]:
+class _Labelled(_Tree):
+    """A page laid out for training, which says of each element whether it is main text."""
+
+    def begun(self, node: Node, attrs: list) -> None:
+        node.label = int(dict(attrs)["data-label"])
+
+
+def parse(html: str | None, kind: type[_Tree] = _Tree) -> list[Node]:
     """The nodes of a page in document order; the first is the root."""
     page = _Events()
     page.feed(html or "")
     page.close()
-    tree = _Tree()
+    tree = kind()
     tree.read(page.events)
     for i, n in enumerate(tree.nodes):
         n.index = i
@@ -394,7 +403,7 @@ def _layout(rng: random.Random, lines: list[str], junk: list[str]) -> str:
             said = " " + said
         elif rng.random() < 0.3:
             said = f' class="{rng.choice(("c1", "row", "col", "box", "wrap", "x7f", "container", "inner"))}"'
-        return f'<{name}{said} data-weft-label="{label}">{inside}</{name}>'
+        return f'<{name}{said} data-label="{label}">{inside}</{name}>'
 
     def links(k: int) -> str:
         return "".join(tag("li", f'<a href="/x">{some(1, 3)}</a>', 0) for _ in range(k))
@@ -458,7 +467,7 @@ def _layout(rng: random.Random, lines: list[str], junk: list[str]) -> str:
     after = [f() for f in (related, comments, side, advert, form, notice, footer, nav) if rng.random() < 0.4]
     rng.shuffle(before)
     rng.shuffle(after)
-    return f'<html data-weft-label="1"><body data-weft-label="1">{"".join(before)}{article}{"".join(after)}</body></html>'
+    return f'<html data-label="1"><body data-label="1">{"".join(before)}{article}{"".join(after)}</body></html>'
 
 
 _PARTS = frozenset(("nav", "aside", "header", "footer", "form"))
@@ -508,7 +517,7 @@ def train(samples: list[str], layouts: int = TRAIN_LAYOUTS, seed: int = 17) -> B
         if rng.random() < 0.3:
             page = [" ".join(x.split()[: rng.randint(1, 12)]) for x in page]
         page = [" ".join(x.split()[: rng.randint(1, 4)]) if rng.random() < 0.2 else x for x in page]
-        nodes = parse(_layout(rng, page, lines))
+        nodes = parse(_layout(rng, page, lines), _Labelled)
         xs.append(features(nodes))
         ys.append([1 if n.label is None else n.label for n in nodes])
         ws.append([1.0 + min(n.own, 400) / 100 for n in nodes])
