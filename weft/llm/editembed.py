@@ -177,17 +177,21 @@ def band_keys(fingerprint: str, bands: int = BANDS, digits: int = BAND_DIGITS) -
     return out
 
 
+@lru_cache(maxsize=1024)
+def _common(m: int, n: int, bands: int, digits: int) -> np.ndarray:
+    """(bands, digits) places of all bands that fingerprints of ``m`` and of ``n`` stretches both have; short stretches' places are repeated."""
+    each = [_picks(k, bands, digits) for k in range(max(0, m - 3, n - 3), min(m, n))]
+    return np.concatenate([np.pad(p, ((0, 0), (0, digits - p.shape[1])), "edge") for p in each] or [np.zeros((0, digits), np.int64)])
+
+
 def share_band(a: str, b: str, bands: int = BANDS, digits: int = BAND_DIGITS) -> bool:
     """Whether two fingerprints have a band in common, and so are candidates."""
     if a == b:
         return True
-    x, y = (np.frombuffer(f.encode(), np.uint8) for f in (a, b))
     m, n = _n_stretches(a), _n_stretches(b)
-    for k in range(max(0, m - 3, n - 3), min(m, n)):
-        p, q = x[_picks(k, bands, digits)], y[_picks(k, bands, digits)]
-        if ((p == q).all(axis=1) & ((p != 48).any(axis=1) | (m == n == 1))).any():
-            return True
-    return False
+    places = _common(m, n, bands, digits)
+    p, q = (np.frombuffer(f.encode(), np.uint8)[places] for f in (a, b))
+    return bool(((p == q).all(axis=1) & ((p != 48).any(axis=1) | (m == n == 1))).any())
 
 
 def near_documents(docs: DataFrame, text: str = "text", least: float = 0.8, queries: Column | None = None) -> DataFrame:
