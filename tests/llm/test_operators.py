@@ -261,6 +261,8 @@ def test_token_counts_equal_the_library(docs, rows, empty):
     small = Tokenizer(models.Unigram([("<unk>", 0.0), ("a", -1.0), ("b", -1.0), ("ab", -2.0), ("abc", -3.0), ("c", -1.0), ("▁", -1.0)], 0))
     for t in ("abc", "abcabc", "cab", "bca"):
         assert ties.count(t) == len(small.encode("▁" + t).ids)
+    long = "abcab" * 200_000  # a part of a million characters
+    assert ties.count(long) == 1 + 400_000
     assert viterbi.token_counts(empty).count() == 0
 
 

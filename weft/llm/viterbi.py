@@ -23,6 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weft.llm._batches import small_batches
 from weft.llm._tokens import tokenizer_path
 from weft.session import table
 
@@ -43,33 +44,37 @@ class UnigramCounter:
             if piece:
                 self.automaton.add_word(piece, (len(piece), float(score)))
         self.automaton.make_automaton()
+        self.longest = max(len(piece) for piece, _ in pieces)
         self.unknown = min(score for _, score in pieces) - UNKNOWN_PENALTY
         self.single = {p for p, _ in pieces if len(p) == 1}
         self.seen: dict[str, int] = {}
 
     def search(self, part: str) -> int:
-        """Pieces in the best split of ``part``."""
-        n = len(part)
-        none = float("-inf")
-        best, count = [none] * (n + 1), [0] * (n + 1)
+        """Pieces in the best split of ``part``. Only as many places are held as the longest piece has characters, so that a part may be of any length."""
+        none, ring = float("-inf"), self.longest + 1
+        best, count = [none] * ring, [0] * ring
         best[0] = 0.0
-        ends: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-        for end, match in self.automaton.iter(part):
-            ends[end].append(match)
-        for end in range(n):
+        matches = self.automaton.iter(part)  # by their ends
+        match = next(matches, None)
+        for end, character in enumerate(part):
+            here = []
+            while match is not None and match[0] == end:
+                here.append(match[1])
+                match = next(matches, None)
             top, pieces = none, 0
             # longest first: the earliest start stays on a tie
-            for length, score in sorted(ends[end], reverse=True):
-                at = end + 1 - length
+            for length, score in sorted(here, reverse=True):
+                at = (end + 1 - length) % ring
                 total = best[at] + score
                 if total > top:
                     top, pieces = total, count[at] + 1
-            if part[end] not in self.single:
-                total = best[end] + self.unknown
+            if character not in self.single:
+                at = end % ring
+                total = best[at] + self.unknown
                 if total > top:
-                    top, pieces = total, count[end] + len(part[end].encode("utf-8", "surrogatepass"))
-            best[end + 1], count[end + 1] = top, pieces
-        return count[n]
+                    top, pieces = total, count[at] + len(character.encode("utf-8", "surrogatepass"))
+            best[(end + 1) % ring], count[(end + 1) % ring] = top, pieces
+        return count[len(part) % ring]
 
     def count(self, text: str | None) -> int:
         """Tokens of a whole text."""
@@ -112,7 +117,7 @@ def token_counts(docs: DataFrame, text: str = "text", model: str | None = None,
             yield pd.Series([counter.count(t) for t in texts], dtype="int64")
 
     counted.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return docs.select(*keep, F.pandas_udf(counted, "bigint")(text).alias("n_tokens"))
+    return small_batches(docs).select(*keep, F.pandas_udf(counted, "bigint")(text).alias("n_tokens"))
 
 
 def op4_token_counts(spark, sf_dir: str) -> DataFrame:
