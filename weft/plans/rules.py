@@ -327,7 +327,7 @@ def line_counts(spark, sf):
 @query(f"""WITH {U}, v AS (SELECT cs_id, unit_id, pos, pos % 10 = 5 AS whole, pos % 10 = 6 AS split FROM units)
   SELECT cs_id, 'file-unknown' AS rule, unit_id AS item FROM v WHERE pos % 13 = 0 UNION ALL SELECT cs_id, 'file-left-out', 'more' FROM (SELECT DISTINCT cs_id FROM v) x
   UNION ALL SELECT cs_id, 'hunk-left-out', unit_id || 'b' FROM v WHERE pos % 13 <> 0 AND pos % 4 = 1 UNION ALL SELECT cs_id, 'hunk-of-another-file', unit_id || 'a' FROM v WHERE pos % 13 = 0
-  UNION ALL SELECT cs_id, 'hunk-in-two-units', unit_id || 'a' FROM v WHERE pos % 7 = 0 UNION ALL SELECT cs_id, 'hunk-of-another-file', unit_id || 'a' FROM v WHERE pos % 7 = 0 AND unit_id <> (SELECT max(unit_id) FROM v w WHERE w.cs_id = v.cs_id) AND false
+  UNION ALL SELECT cs_id, 'hunk-in-two-units', unit_id || 'a' FROM v WHERE pos % 7 = 0
   UNION ALL SELECT cs_id, 'atomic-file-split', unit_id FROM v WHERE split AND pos % 13 <> 0 UNION ALL SELECT cs_id, 'atomic-unit-incomplete', unit_id || 'b' FROM v WHERE whole AND pos % 13 <> 0 AND pos % 4 = 1
   UNION ALL SELECT cs_id, 'atomic-file-in-units', unit_id FROM v WHERE (whole OR split) AND pos % 7 = 0 AND pos % 13 <> 0""")
 def hunk_violations(spark, sf):
