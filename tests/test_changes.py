@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 from dataclasses import replace
 
 import numpy as np
@@ -192,6 +193,52 @@ def test_plans_keep_what_must_hold(spark):
                 assert kind != "before" or at[a] <= at[b]
 
 
+def test_cuts_cost_what_their_definition_says(spark):
+    rng = random.Random(8)
+    rows, pairs, given = [], [], {}
+    for cs in range(6):
+        n = rng.randint(1, 6)
+        own = [(b, rng.randint(0, 30), rng.randint(0, 30), *[rng.sample(names, rng.randint(0, 3)) for names in ("abcd", "pqr", "xyz")], [f"u{b}"]) for b in range(n)]
+        ends = [(a, b, float(rng.randint(-50, 50)), float(rng.randint(0, 9))) for a in range(n) for b in range(a, n) if rng.random() < 0.5]
+        rows += [(cs, 0, *r) for r in own]
+        pairs += [(cs, 0, *e) for e in ends]
+        given[cs] = (own, ends)
+    blocks = spark.createDataFrame(rows, "cs_id long, mode int, block int, lines long, review long, files array<string>, packages array<string>, areas array<string>, units array<string>")
+    seen = planner.seen_before(blocks)
+    shared = spark.createDataFrame(pairs, "cs_id long, mode int, a int, b int, inside double, fixed double")
+    limits = planner.Limits(20, 2, 60, 4, 20)
+
+    last, want_seen = {}, Counter()
+    for cs, (own, _) in given.items():
+        for r in own:
+            for kind in range(3):
+                for name in r[3 + kind]:
+                    want_seen[cs, kind, r[0], last.get((cs, kind, name))] += 1
+                    last[cs, kind, name] = r[0]
+    assert {(r.cs_id, r.kind, r.block, r.prev): r.n for r in seen.collect()} == want_seen
+
+    def cost_of(own, ends, s, e):
+        part = own[s:e]
+        names = [len({x for r in part for x in r[i]}) for i in (3, 4, 5)]
+        if sum(r[1] for r in part) > limits.hard_lines or names[0] > limits.hard_files:
+            return np.inf
+        size, spread = sum(r[2] for r in part) / 20, names[0] / 2
+        fit = 8 + 35 * max(0, size - 1) ** 2 + 10 * max(0, 0.25 - size) + 12 * max(0, spread - 1) ** 2 + 18 * max(0, names[1] - 1) + 24 * max(0, names[2] - 1)
+        return fit + sum(x for a, b, x, _ in ends if s <= a and b < e)
+
+    want = {}
+    for cs, (own, ends) in given.items():
+        n = len(own)
+        for k in range(1 << (n - 1)):
+            cut = [0, *[i + 1 for i in range(n - 1) if k >> i & 1], n]
+            total = sum(cost_of(own, ends, s, e) for s, e in zip(cut[:-1], cut[1:], strict=True)) + sum(x[3] for x in ends)
+            if np.isfinite(total):
+                want[cs, len(cut) - 1] = min(want.get((cs, len(cut) - 1), np.inf), round(total, 6))
+    got = planner.cut_plans(blocks, seen, shared, limits).collect()
+    assert {(r.cs_id, r.n_groups): round(r.cost, 6) for r in got} == want
+    assert all(sum(r.groups, []) == [f"u{b}" for b in range(len(given[r.cs_id][0]))] for r in got)
+
+
 def test_plans_of_very_many_components(spark):
     n = 805
     us, es = frames(spark, {1: ({f"u{i:04}": {"added": 0, "file": "one"} for i in range(n)}, [])})
