@@ -309,7 +309,7 @@ def line_delta(spark, sf):
 def blob_ids(spark, sf):
     """Ids and kinds of the documents as contents; for the kind, a limit of 400 bytes stands for the real one and Z for the NUL that these texts don't have."""
     d = table(spark, sf, "documents")
-    content = F.encode(F.regexp_replace("text", "Z", "\\u0000"), "UTF-8")
+    content = F.encode(F.replace("text", F.lit("Z"), F.lit("\0")), "UTF-8")
     return d.select("doc_id", identity.blob_oid(F.col("text")).alias("oid"), hunks.text_kind(content, 400).alias("kind"))
 
 

@@ -206,7 +206,7 @@ def applied_hunks(spark, sf):
 
 
 @query("""WITH r AS (SELECT l_partkey AS part, l_orderkey AS a, l_linenumber AS b, 9 * l_linenumber + l_orderkey % 50 AS s, CAST(l_quantity AS BIGINT) % 9 AS n FROM lineitem)
-  SELECT part, a, b FROM (SELECT *, lag(s + n) OVER (PARTITION BY part ORDER BY s, a * 10 + b) AS e FROM r) x WHERE s < e""")
+  SELECT part, a, b FROM (SELECT *, lag(s + n) OVER (PARTITION BY part ORDER BY s, a * 10 + b, n) AS e FROM r) x WHERE s < e""")
 def hunk_overlaps(spark, sf):
     """Ranges of each part that begin before the one above them ends."""
     r = table(spark, sf, "lineitem").select(
