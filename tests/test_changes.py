@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weft.functions import identity, paths
-from weft.operators import components, edgerules, groups, hunks, planner
+from weft.operators import components, edgerules, groups, hunks, planner, schemas
 from weft.operators.components import connected_components
 
 FILE = ["a.ts", "a.ts", "18795c5e1efa801e5ffaca6873b020d84b0b1d19", "4b44f31f4e1794bd43530f9d5fca03585b4a1f8b", "100644", "100644"]
@@ -260,3 +260,28 @@ def test_symbol_rules(spark):
 def test_penalties(spark):
     row = spark.range(1).select(*[groups.penalty(F.lit(k), F.lit(w), F.lit(t)) for k, w, t in (("must_with", 100, False), ("unknown", 10, False), ("before", 95, False), ("affinity", 200, True), ("affinity", 50, False))]).first()
     assert [round(x, 6) for x in row] == [0.0, 40.0, 9.5, 80.0, 20.0]
+
+
+def test_schema_faults(spark):
+    rule = {
+        "type": "object", "required": ["a", "b"], "additionalProperties": False, "$defs": {"n": {"type": ["number", "null"]}},
+        "properties": {
+            "a": {"type": "integer", "minimum": 1}, "b": {"$ref": "#/$defs/n"}, "v": {"const": 1}, "m": {"type": "object", "additionalProperties": {"enum": [1, "x", True]}},
+            "t": {"type": "array", "uniqueItems": True, "maxItems": 3, "items": {"type": ["string", "null"], "minLength": 2, "pattern": "^[a-z]+$"}},
+        },
+    }
+    cases = [
+        ('{"a":1,"b":null}', set()), ('{"a":1.0,"b":2.5,"t":["ab",null],"m":{"k":1,"l":"x","m":true}}', set()), ("{}", {("a", "required"), ("b", "required")}),
+        ('{"a":1,"b":1,"t":["ab","ab","ABC","a"]}', {("t", "maxItems"), ("t[1]", "uniqueItems"), ("t[2]", "pattern"), ("t[3]", "minLength")}),
+        ('{"a":"1","b":"x","z z":1,"q":2}', {("a", "type"), ("b", "type"), ('["z z"]', "additionalProperties"), ("q", "additionalProperties")}),
+        ('{"a":0,"b":1,"m":{"n":"1","o":null},"v":"1"}', {("a", "minimum"), ('m["n"]', "enum"), ('m["o"]', "enum"), ("v", "const")}),
+        ('{"a":9007199254740993,"b":1,"t":["ab\\n"]}', {("a", "type"), ("t[0]", "pattern")}), ('{"a":null,"b":1}', {("a", "type")}),
+        ("[1]", {("$", "type")}), ("null", {("$", "type")}), ('{"a":1,"a":2}', {("$", "json")}), (None, {("$", "json")}), ("", {("$", "json")}), ("nope", {("$", "json")}),
+    ]
+    rows = spark.createDataFrame([(i, text) for i, (text, _) in enumerate(cases)], "i int, record string")
+    got = {i: set() for i in range(len(cases))}
+    for r in schemas.schema_faults(rows, "record", rule).collect():
+        got[r["i"]].add((r["path"], r["reason"]))
+    assert got == {i: faults for i, (_, faults) in enumerate(cases)}
+    with pytest.raises(ValueError):
+        schemas.schema_faults(rows, "record", {"$ref": "#/$defs/x", "$defs": {"x": {"$ref": "#/$defs/x"}}})

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.functions import identity, paths
-from weft.operators import changes, checks, edgerules, groups, hunks, reports, snapshots, trees, validation, verification
+from weft.operators import changes, checks, edgerules, groups, hunks, reports, schemas, snapshots, trees, validation, verification
 from weft.plans.queries import E, M, U, _sliced, query
 from weft.session import materialize, table
 from weft.sources import adapters, config
@@ -457,3 +457,30 @@ def manifests_above(spark, sf):
     q = _placed(spark, sf)
     up = q.select("cs_id", "path", F.explode(F.transform(paths.ancestors(F.col("path")), lambda f: snapshots.in_folder(f, "package.json"))).alias("m"))
     return up.groupBy("cs_id", "path").agg(F.array_join(F.array_sort(F.collect_set("m")), "|").alias("manifests"))
+
+
+#: Lengths, values and members of the documents' records.
+RECORD = {
+    "type": "object", "required": ["id", "body"], "additionalProperties": False, "properties": {
+        "id": {"type": "integer", "minimum": 3}, "size": {"$ref": "#/$defs/size"}, "lang": {"enum": ["de", "en"]}, "body": {"type": "string", "maxLength": 300, "pattern": "[a-z]$"},
+        "tags": {"type": "array", "uniqueItems": True, "minItems": 2, "items": {"type": "string", "minLength": 3}}, "by": {"type": "object", "additionalProperties": {"const": "web"}},
+    }, "$defs": {"size": {"type": ["integer", "null"], "maximum": 900}},
+}
+
+
+@query("""WITH d AS (SELECT *, doc_id % 7 = 0 AS worded, length(regexp_replace(text, '[\\x{10000}-\\x{10FFFF}]', '--', 'g')) AS units FROM documents)
+  SELECT doc_id, 'id' AS path, 'required' AS reason FROM d WHERE doc_id % 5 = 0 UNION ALL SELECT doc_id, 'id', 'minimum' FROM d WHERE doc_id % 5 <> 0 AND doc_id < 3
+  UNION ALL SELECT doc_id, 'size', 'type' FROM d WHERE worded UNION ALL SELECT doc_id, 'size', 'maximum' FROM d WHERE NOT worded AND n_chars > 900
+  UNION ALL SELECT doc_id, 'lang', 'enum' FROM d WHERE lang NOT IN ('de', 'en') UNION ALL SELECT doc_id, 'body', 'maxLength' FROM d WHERE units > 300
+  UNION ALL SELECT doc_id, 'body', 'pattern' FROM d WHERE NOT regexp_matches(text, '[a-z]\\z') UNION ALL SELECT doc_id, 'tags', 'minItems' FROM d WHERE worded
+  UNION ALL SELECT doc_id, 'tags[1]', 'uniqueItems' FROM d WHERE NOT worded AND lang = source UNION ALL SELECT doc_id, 'tags[0]', 'minLength' FROM d WHERE length(lang) < 3
+  UNION ALL SELECT doc_id, 'tags[1]', 'minLength' FROM d WHERE NOT worded AND length(source) < 3 UNION ALL SELECT doc_id, 'by["source"]', 'const' FROM d WHERE source <> 'web'
+  UNION ALL SELECT doc_id, 'note', 'additionalProperties' FROM d WHERE doc_id % 11 = 0""")
+def schema_faults(spark, sf):
+    """Faults of the documents as JSON records, whose members follow from their ids: some without an id, some with a note, some with their size as a word and one tag."""
+    worded = _mod("doc_id", 7) == 0
+    shared = [F.when(_mod("doc_id", 5) != 0, F.col("doc_id")).alias("id"), "lang", F.col("text").alias("body"), F.struct("source").alias("by"), F.when(_mod("doc_id", 11) == 0, "").alias("note")]
+    record = lambda size, *tags: F.to_json(F.struct(*shared, size.alias("size"), F.array(*tags).alias("tags")))
+    size = F.col("n_chars")
+    rows = table(spark, sf, "documents").select("doc_id", F.when(worded, record(size.cast("string"), "lang")).otherwise(record(size, "lang", "source")).alias("record"))
+    return schemas.schema_faults(rows, "record", RECORD)
