@@ -135,3 +135,27 @@ def test_report_texts(spark):
     assert [reports.markdown_code(t) for t in ("a", "`a", "a``b", " a ", "  ")] == ["`a`", "`` `a ``", "```a``b```", "`  a  `", "`  `"]
     df = spark.createDataFrame(pd.DataFrame({"t": ["a*b", None]}), "t string")
     assert rows(df.select(reports.escaped(F.col("t")))) == [("a\\*b",), (None,)]
+
+
+def test_markdown_report(spark):
+    plan = "cs_id int, status string, base_oid string, head_oid string, tree_oid string, mode string, n_files int, n_units int, n_edges int, verified string, level string, covered int, total int, commands int, commands_run boolean, reviewability double, cohesion double, integrity double, confidence string"
+    rows = [(1, "single-change", "b0", "h0", "t0", "deep", 2, 2, 1, "not-run", "reconstructed", 0, 1, 0, False, 66.67, 100.0, 100.0, "medium"), (2, "odd_one", "b`", "h", "t", "deep", 0, 0, 0, "failed", "syntax", 0, 1, 2, False, 5.0, 0.5, 0.0, "low")]
+    plans = spark.createDataFrame(rows, plan)
+    groups = spark.createDataFrame([(1, 1, "slice_1", "Aggiungi a*b", 3, 0, ["c.ts", "t_s.ts"], None, ["why"]), (2, 1, "g", None, 1, 1, None, ["x", "y"], None)], "cs_id int, grp int, group_id string, title string, added int, deleted int, files array<string>, depends_on array<string>, reasons array<string>")
+    results = spark.createDataFrame([(2, 1, i, "g", name, status, text) for i, (name, status, text) in enumerate([("reconstruction", "passed", None), ("dependencies", "passed", ""), ("syntax", "failed", "a|b"), ("semantic", "skipped", None)])], "cs_id int, grp int, pos int, group_id string, name string, status string, message string")
+    others = spark.createDataFrame([(1, 2, "c2", 2, 25.5), (1, 1, "c1", 1, 16.75)], "cs_id int, rank int, candidate_id string, n_groups int, cost double")
+    warnings = spark.createDataFrame([(2, 1, "second"), (2, 0, "- first")], "cs_id int, pos int, message string")
+    got = {r["cs_id"]: r["report"].split("\n") for r in reports.markdown_report(plans, groups, results, others, warnings).collect()}
+    one, two = got[1], got[2]
+    assert one[:8] == ["# Plan", "", "**Modifica singola**", "", "Base: `b0`  ", "Head: `h0`", "", "## Fatti osservati"]
+    at = one.index("### 1. Aggiungi a\\*b")
+    assert one[at + 1 : at + 11] == ["", "ID: `slice_1` · 2 file · +3/−0", "", "Dipendenze: nessuna", "", "- c.ts", "- t\\_s.ts", "", "- why", ""]
+    assert reports.WORDS["no_checks"] in one and "- `c1`: 1 gruppi, costo 16.75." == one[one.index(reports.WORDS["others"]) + 2]
+    assert not any(x.startswith("- Prefissi") for x in one) and one[-2:] == [reports.WORDS["no_proof"], ""]
+    assert "**odd\\_one**" in two and "Base: `` b` ``  " in two and "Dipendenze: `x`, `y`" in two and not any(x.startswith("### ") for x in two)
+    assert "| g | syntax | failed | a\\|b |" in two and "| Coesione strutturale | 0.5/100 |" in two
+    assert two[two.index("## Limiti e incertezze") + 2 :][:2] == ["- \\- first", "- second"]
+    summary = [x for x in two if x.startswith(("- Prefissi", "- Controlli", "- Esiti", "- La semantica"))]
+    assert summary == ["- Prefissi con tutti i controlli richiesti superati: 0/1", "- Controlli di progetto: 2 configurati (comandi non eseguiti)", "- Esiti dei controlli (tutti i prefissi): passed 2 · failed 1 · skipped 1 · timeout 0 · unavailable 0", "- " + reports.WORDS["optional"]]
+    empty = [x.where("cs_id < 0") for x in (plans, groups, results, others, warnings)]
+    assert reports.markdown_report(*empty).count() == 0 and reports.markdown_report(plans, *empty[1:]).where("report IS NULL").count() == 0

@@ -22,7 +22,7 @@ def test_base_queries_agree_with_their_sql(spark):
     c.sql("SET TimeZone = 'UTC'")
     for t in os.listdir(SF):
         c.sql(f"CREATE VIEW {t[:-8]} AS SELECT * FROM '{SF}/{t}'")
-    for name in ("group_report", "plan_metrics", "hard_components", "line_delta", "nearest_owner", "repaired_groups", "plan_violations", "implementation_tests", "tree_after", "field_changes", "group_titles", "group_markdown", "verification_status", "plan_confidence", "terminal_report", "import_targets", "place_edges", "incident_edges", *of_rules):
+    for name in ("group_report", "plan_metrics", "hard_components", "line_delta", "nearest_owner", "repaired_groups", "plan_violations", "implementation_tests", "tree_after", "field_changes", "group_titles", "group_markdown", "verification_status", "plan_confidence", "terminal_report", "markdown_reports", "import_targets", "place_edges", "incident_edges", *of_rules):
         assert _rows(base.QUERIES[name](spark, SF).toPandas()) == _rows(c.sql(base.ORACLES[name]).df()), name
 
 

@@ -187,3 +187,57 @@ def import_targets(spark, sf):
     links = _symbols(spark, sf).where("symbol LIKE '/%'").join(adapters.paths(spark, sf), "page_id")
     found = links.select("page_id", F.concat(F.lit(".."), "symbol").alias("module"), paths.import_targets(F.col("path"), F.concat(F.lit(".."), "symbol")).alias("t"))
     return found.select("page_id", "module", F.get("t", F.lit(0)).alias("target"), F.size("t").alias("n"))
+
+
+W_ = reports.WORDS
+
+
+@query(f"""WITH {E}, {M}, {TOTALS}, {EG}, {TITLES}, {CONFIDENCE}, {METRICS},
+  need AS (SELECT DISTINCT cs_id, dst_grp AS grp, src_grp AS g FROM eg WHERE kind = 'before' AND src_grp < dst_grp),
+  md AS (SELECT cs_id, grp, string_agg('`slice-' || g || '`', ', ' ORDER BY g) AS needs FROM need GROUP BY cs_id, grp),
+  mf AS (SELECT cs_id, grp, string_agg('- ' || file || chr(10), '' ORDER BY file) AS files FROM (SELECT DISTINCT cs_id, grp, file FROM units JOIN members USING (cs_id, unit_id)) x GROUP BY cs_id, grp),
+  mg AS (SELECT t.cs_id, string_agg('### ' || t.grp || '. ' || title || chr(10) || chr(10) || 'ID: `slice-' || t.grp || '` · ' || t.files || ' file · +' || added || '/−' || deleted || chr(10) || chr(10) || 'Dipendenze: '
+  || coalesce(needs, 'nessuna') || chr(10) || chr(10) || mf.files || chr(10) || '- ' || packages || ' package, ' || areas || ' aree' || chr(10) || chr(10), '' ORDER BY t.grp) AS body, count(*) AS n, sum(n_units) AS n_units
+  FROM totals t JOIN titles a ON a.cs_id = t.cs_id AND a.grp = t.grp JOIN mf ON mf.cs_id = t.cs_id AND mf.grp = t.grp LEFT JOIN md ON md.cs_id = t.cs_id AND md.grp = t.grp GROUP BY t.cs_id),
+  mk AS (SELECT cs_id, string_agg('| slice-' || grp || ' | reconstruction | passed |  |' || chr(10) || '| slice-' || grp || ' | semantic | ' || CASE WHEN all_tests THEN 'skipped | no types' ELSE 'passed | ' END || ' |' || chr(10), '' ORDER BY grp) AS checks,
+  count(*) FILTER (WHERE all_tests) AS skipped, count(*) AS total FROM totals WHERE cs_id % 4 <> 0 GROUP BY cs_id),
+  mc AS (SELECT cs_id, string_agg('- `candidate-' || grp || '`: ' || files || ' gruppi, costo ' || n_units || '.25.' || chr(10), '' ORDER BY grp) AS others FROM totals WHERE grp <= 2 GROUP BY cs_id),
+  mw AS (SELECT cs_id, string_agg('- file ' || file || ': generated' || chr(10), '' ORDER BY file) AS limits FROM (SELECT DISTINCT cs_id, file FROM units WHERE is_generated) x GROUP BY cs_id),
+  me AS (SELECT cs_id, count(*) AS n_edges FROM edges GROUP BY cs_id), mn AS (SELECT cs_id, count(DISTINCT file) AS n_files FROM units GROUP BY cs_id)
+  SELECT mg.cs_id, '# Plan' || chr(10) || chr(10) || '**' || CASE WHEN mg.n > 1 THEN 'Suddivisione da verificare' ELSE 'Modifica singola' END || '**' || chr(10) || chr(10) || 'Base: `' || mg.cs_id || '`  ' || chr(10) || 'Head: `' || (mg.cs_id + 1) || '`'
+  || chr(10) || chr(10) || '{W_["facts"]}' || chr(10) || chr(10) || '- ' || n_files || ' file, ' || mg.n_units || ' unità, ' || coalesce(n_edges, 0) || ' relazioni.' || chr(10) || '- Ricostruzione finale identica al tree head: `' || (2 * mg.cs_id) || '`.'
+  || chr(10) || '- Analisi: deep.' || chr(10) || chr(10) || '{W_["groups"]}' || chr(10) || chr(10) || mg.body || '{W_["checks"]}' || chr(10) || chr(10) || CASE WHEN mk.cs_id IS NULL THEN 'Stato: **not-run** · livello: **reconstructed**' || chr(10) || chr(10)
+  ELSE 'Stato: **passed** · livello: **semantic**' || chr(10) || chr(10) || '- {W_["passed_prefixes"]}' || total || '/' || total || chr(10) || '- {W_["own_checks"]}' || CASE mg.cs_id % 3 WHEN 0 THEN 'non configurati' WHEN 1 THEN '1 configurati (comandi eseguiti)'
+  ELSE '2 configurati (comandi non eseguiti)' END || chr(10) || '- {W_["outcomes"]}passed ' || (2 * total - skipped) || ' · failed 0 · skipped ' || skipped || ' · timeout 0 · unavailable 0' || chr(10) || chr(10) END
+  || '{W_["check_head"]}' || chr(10) || '|---|---|---|---|' || chr(10) || coalesce(checks, '{W_["no_checks"]}' || chr(10)) || chr(10) || '{W_["marks"]}' || chr(10) || chr(10) || '{W_["mark_head"]}' || chr(10) || '|---|---|' || chr(10)
+  || '| Revisionabilità | ' || {SHOWN.format('reviewability')} || '/100 |' || chr(10) || '| Coesione strutturale | ' || {SHOWN.format('cohesion')} || '/100 |' || chr(10) || '| Integrità dipendenze | ' || {SHOWN.format('integrity')} || '/100 |' || chr(10)
+  || '| Confidenza dei confini | ' || confidence || ' |' || chr(10) || chr(10) || '{W_["heuristic"]}' || chr(10) || chr(10) || '{W_["others"]}' || chr(10) || chr(10) || coalesce(others, '') || chr(10) || '{W_["limits"]}' || chr(10) || chr(10)
+  || coalesce(limits, '') || chr(10) || '{W_["no_proof"]}' || chr(10) AS report
+  FROM mg JOIN conf ON conf.cs_id = mg.cs_id JOIN metrics ON metrics.cs_id = mg.cs_id JOIN mn ON mn.cs_id = mg.cs_id LEFT JOIN me ON me.cs_id = mg.cs_id LEFT JOIN mk ON mk.cs_id = mg.cs_id LEFT JOIN mc ON mc.cs_id = mg.cs_id LEFT JOIN mw ON mw.cs_id = mg.cs_id""")
+def markdown_reports(spark, sf):
+    """The whole report of each change-set's plan; checks, candidates and warnings follow from the groups' totals."""
+    u = adapters.units(spark, sf)
+    e, m = adapters.edges(spark, u), _sliced(u)
+    totals = groups.group_totals(u, m)
+    slice_id = lambda c: F.concat(F.lit("slice-"), c.cast("string"))
+    files = u.join(m, ["cs_id", "unit_id"]).groupBy("cs_id", "grp").agg(F.transform(F.array_sort(F.collect_set("file")), lambda x: x.cast("string")).alias("names"))
+    needs = groups.group_dependencies(e, m).select("cs_id", "grp", F.transform(F.split("depends_on", ","), slice_id).alias("depends_on"))
+    g = totals.join(groups.titles(titled(u), m), ["cs_id", "grp"]).join(files, ["cs_id", "grp"]).join(needs, ["cs_id", "grp"], "left").select(
+        "cs_id", "grp", slice_id(F.col("grp")).alias("group_id"), "title", "added", "deleted", F.col("names").alias("files"), F.coalesce("depends_on", F.array().cast("array<string>")).alias("depends_on"),
+        F.array(F.format_string("%d package, %d aree", "packages", "areas")).alias("reasons"),
+    )
+    one = lambda name, status, message: F.struct(F.lit(name).alias("name"), status.alias("status"), message.alias("message"))
+    checks = F.array(one("reconstruction", F.lit("passed"), F.lit(None).cast("string")), one("semantic", F.when(F.col("all_tests"), "skipped").otherwise("passed"), F.when(F.col("all_tests"), "no types")))
+    results = totals.where("cs_id % 4 <> 0").select("cs_id", "grp", slice_id(F.col("grp")).alias("group_id"), F.posexplode(checks).alias("pos", "c")).select("cs_id", "grp", "group_id", "pos", "c.*")
+    others = totals.where("grp <= 2").select("cs_id", F.col("grp").alias("rank"), F.concat(F.lit("candidate-"), F.col("grp").cast("string")).alias("candidate_id"), F.col("files").alias("n_groups"), (F.col("n_units") + 0.25).alias("cost"))
+    warnings = u.where("is_generated").select("cs_id", "file").distinct().select("cs_id", F.col("file").alias("pos"), F.format_string("file %d: generated", "file").alias("message"))
+    run = F.col("cs_id") % 4 != 0
+    plans = totals.groupBy("cs_id").agg(F.count(F.lit(1)).alias("n"), F.sum("n_units").alias("n_units"))
+    plans = plans.join(u.groupBy("cs_id").agg(F.count_distinct("file").alias("n_files")), "cs_id").join(e.groupBy("cs_id").agg(F.count(F.lit(1)).alias("n_edges")), "cs_id", "left")
+    plans = plans.join(groups.confidence(e, m), "cs_id").join(groups.metrics(u, e, m), "cs_id").select(
+        "cs_id", F.when(F.col("n") > 1, "split-unverified").otherwise("single-change").alias("status"), F.col("cs_id").cast("string").alias("base_oid"), (F.col("cs_id") + 1).cast("string").alias("head_oid"),
+        (F.col("cs_id") * 2).cast("string").alias("tree_oid"), F.lit("deep").alias("mode"), "n_files", "n_units", F.coalesce("n_edges", F.lit(0)).alias("n_edges"), F.when(run, "passed").otherwise("not-run").alias("verified"),
+        F.when(run, "semantic").otherwise("reconstructed").alias("level"), F.col("n").alias("covered"), F.col("n").alias("total"), (F.col("cs_id") % 3).alias("commands"), (F.col("cs_id") % 3 == 1).alias("commands_run"),
+        "reviewability", "cohesion", "integrity", "confidence",
+    )
+    return reports.markdown_report(plans, g, results, others, warnings)
