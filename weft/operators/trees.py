@@ -5,10 +5,18 @@ Changes: cs_id, file_id, old_path (null: added), new_path (null: deleted), new_o
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weft.functions.identity import blob_oid
+from weft.operators.hunks import apply_all
+
 _ENTRY = ["cs_id", "path", "oid", "mode"]
+# Modes of files, executables, links and modules, and the forms of an object's id.
+MODES = ("100644", "100755", "120000", "160000")
+OID = "^([0-9a-f]{40}|[0-9a-f]{64})\\z"
 
 
 def reconstruct(base: DataFrame, changes: DataFrame, selected: DataFrame | None = None) -> DataFrame:
@@ -24,3 +32,38 @@ def difference(left: DataFrame, right: DataFrame) -> DataFrame:
     """Entries of one manifest only, with repeats: side 'left' or 'right'. Empty for equal trees."""
     a, b = left.select(*_ENTRY), right.select(*_ENTRY)
     return a.exceptAll(b).withColumn("side", F.lit("left")).unionByName(b.exceptAll(a).withColumn("side", F.lit("right")))
+
+
+def selection_faults(files: DataFrame, hunks: DataFrame, units: DataFrame, unit_hunks: DataFrame, selected: DataFrame) -> DataFrame:
+    """(cs_id, rule, item) for what keeps the ``selected`` (cs_id, unit_id) units from being made into a tree; none for a sound selection.
+
+    files: cs_id, file_id, is_atomic, new_path, new_oid, new_mode. hunks: cs_id, file_id, hunk_id. units: cs_id, unit_id, file_id. unit_hunks: cs_id, unit_id, hunk_id.
+    """
+    unit, file, hunk = ["cs_id", "unit_id"], ["cs_id", "file_id"], ["cs_id", "file_id", "hunk_id"]
+    found = lambda rows, rule, item: rows.select("cs_id", F.lit(rule).alias("rule"), F.col(item).cast("string").alias("item"))
+    twice = lambda rows, key: rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    chosen = units.join(selected.select(*unit).distinct(), unit, "left_semi")
+    held = chosen.select(*unit, "file_id").join(unit_hunks.select(*unit, "hunk_id"), unit).select(*hunk)
+    touched = files.join(chosen.select(*file).distinct(), file, "left_semi")
+    own = hunks.select(*hunk).distinct().withColumn("_held", F.lit(True))
+    known = held.distinct().join(own, hunk, "left")
+    count = touched.select(*file, "is_atomic").join(known.groupBy(*file).agg(F.count("_held").alias("_chosen")), file, "left").join(own.groupBy(*file).agg(F.count(F.lit(1)).alias("_all")), file, "left")
+    some = F.coalesce("_chosen", F.lit(0))
+    sound = F.coalesce(F.col("new_mode").isin(*MODES) & F.col("new_oid").rlike(OID), F.lit(False))
+    return reduce(DataFrame.unionByName, [
+        found(twice(selected, unit), "unit-selected-twice", "unit_id"),
+        found(selected.select(*unit).distinct().join(units, unit, "left_anti"), "unit-unknown", "unit_id"),
+        found(chosen.join(files, file, "left_anti"), "file-unknown", "unit_id"),
+        found(twice(held, hunk), "hunk-selected-twice", "hunk_id"),
+        found(known.where("_held IS NULL").join(touched, file, "left_semi"), "hunk-unknown", "hunk_id"),
+        found(count.where(some == 0), "file-without-hunks", "file_id"),
+        found(count.where(F.col("is_atomic") & (some > 0) & (some < F.col("_all"))), "atomic-file-in-part", "file_id"),
+        found(touched.where(F.col("new_path").isNotNull() & ~sound), "entry-invalid", "file_id"),
+    ])
+
+
+def rebuilt(files: DataFrame) -> DataFrame:
+    """Add ``oid``, the id of each file's ``base`` with its chosen ``hunks`` applied, and ``fault``: what ``apply_all`` finds, or that all hunks (``n_hunks``) don't give ``new_oid``."""
+    rows = apply_all(files).withColumn("oid", blob_oid(F.col("head")))
+    whole = F.coalesce((F.size("hunks") == F.col("n_hunks")) & ~F.col("oid").eqNullSafe(F.col("new_oid")) & F.col("head").isNotNull(), F.lit(False))
+    return rows.withColumn("fault", F.coalesce("fault", F.when(whole, "all hunks don't give the new content"))).drop("head")

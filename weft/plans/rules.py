@@ -5,6 +5,8 @@ No given table holds source text; a unit's numbers stand for what it declares, n
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -484,3 +486,39 @@ def schema_faults(spark, sf):
     size = F.col("n_chars")
     rows = table(spark, sf, "documents").select("doc_id", F.when(worded, record(size.cast("string"), "lang")).otherwise(record(size, "lang", "source")).alias("record"))
     return schemas.schema_faults(rows, "record", RECORD)
+
+
+@query(f"""WITH {U}, v AS (SELECT cs_id, unit_id AS f, pos % 3 <> 0 OR pos % 7 = 0 AS s, pos % 11 = 0 AS t, pos % 13 <> 0 AS known, pos % 19 <> 0 AS full_, pos % 4 <> 1 AS b, pos % 17 = 0 AS c, pos FROM units),
+  w AS (SELECT *, s AND full_ OR t AS has, s AND full_ AND b AS complete FROM v)
+  SELECT cs_id, 'unit-selected-twice' AS rule, f AS item FROM w WHERE pos % 3 <> 0 AND pos % 7 = 0 UNION ALL SELECT DISTINCT cs_id, 'unit-unknown', 'ghost' FROM w
+  UNION ALL SELECT cs_id, 'file-unknown', f FROM w WHERE s AND NOT known UNION ALL SELECT cs_id, 'file-unknown', f || 't' FROM w WHERE t AND NOT known
+  UNION ALL SELECT cs_id, 'hunk-selected-twice', f || 'a' FROM w WHERE s AND t AND full_ UNION ALL SELECT cs_id, 'hunk-unknown', f || 'c' FROM w WHERE s AND full_ AND c AND known
+  UNION ALL SELECT cs_id, 'file-without-hunks', f FROM w WHERE s AND known AND NOT has UNION ALL SELECT cs_id, 'atomic-file-in-part', f FROM w WHERE known AND pos % 10 IN (5, 6) AND has AND NOT complete
+  UNION ALL SELECT cs_id, 'entry-invalid', f FROM w WHERE (s OR t) AND known AND pos % 23 = 0""")
+def selection_faults(spark, sf):
+    """Faults planted in a selection: a file for each unit with the hunks a and b; units selected twice, without a file, without hunks, with a twin that holds a, or with a hunk that isn't there."""
+    u = adapters.units(spark, sf).select("cs_id", "unit_id", "pos", F.col("unit_id").alias("file_id"))
+    known, hunk = u.where(_mod("pos", 13) != 0), lambda c: F.concat("file_id", F.lit(c)).alias("hunk_id")
+    files = known.select("cs_id", "file_id", _mod("pos", 10).isin(5, 6).alias("is_atomic"), F.col("file_id").alias("new_path"), F.sha1("file_id").alias("new_oid"), F.when(_mod("pos", 23) == 0, "100600").otherwise("100644").alias("new_mode"))
+    hunks_ = u.select("cs_id", "file_id", F.explode(F.array(hunk("a"), hunk("b"))).alias("hunk_id"))
+    twins = u.where(_mod("pos", 11) == 0).withColumn("unit_id", F.concat("unit_id", F.lit("t")))
+    own = F.array_compact(F.array(hunk("a"), F.when(_mod("pos", 4) != 1, hunk("b")), F.when(_mod("pos", 17) == 0, hunk("c"))))
+    held = u.where(_mod("pos", 19) != 0).select("cs_id", "unit_id", F.explode(own).alias("hunk_id")).unionByName(twins.select("cs_id", "unit_id", hunk("a")))
+    chosen = [u.where(_mod("pos", 3) != 0), u.where(_mod("pos", 7) == 0), twins, u.select("cs_id", F.lit("ghost").alias("unit_id")).distinct()]
+    selected = reduce(DataFrame.unionByName, [c.select("cs_id", "unit_id") for c in chosen])
+    return trees.selection_faults(files, hunks_, u.drop("pos").unionByName(twins.drop("pos")), held, selected)
+
+
+@query("""WITH d AS (SELECT doc_id, replace(text, chr(10), ' ') AS t FROM documents), x AS (SELECT doc_id, encode('x' || chr(10) || t || CASE WHEN doc_id % 3 = 0 THEN '' ELSE chr(10) END) AS new FROM d WHERE t <> '')
+  SELECT doc_id, CASE WHEN doc_id % 5 <> 0 THEN sha1(encode('blob ' || octet_length(new) || chr(0)) || new) END AS oid,
+  CASE WHEN doc_id % 5 = 0 THEN 'hunk overlaps another or lies outside the file' WHEN doc_id % 7 = 0 AND doc_id % 2 = 0 THEN 'all hunks don''t give the new content' END AS fault FROM x""")
+def rebuilt_files(spark, sf):
+    """Each document as one line below a new line, added by its hunk; some claim another content, some lie outside the file, some claim more hunks."""
+    d = table(spark, sf, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit(" ")).alias("t")).where("t <> ''")
+    base = F.concat("t", F.when(_mod("doc_id", 3) == 0, "").otherwise("\n"))
+    number = lambda c, name: c.cast("bigint").alias(name)
+    at = F.when(_mod("doc_id", 5) == 0, 9).otherwise(0)
+    hunk = F.struct(number(at, "old_start"), number(F.lit(0), "old_count"), number(at + 1, "new_start"), number(F.lit(1), "new_count"), F.array(F.lit("+x")).alias("lines"))
+    claim = F.when(_mod("doc_id", 7) == 0, F.sha1("t")).otherwise(identity.blob_oid(F.concat(F.lit("x\n"), base)))
+    rows = d.select("doc_id", base.alias("base"), F.array(hunk).alias("hunks"), (_mod("doc_id", 2) + 1).alias("n_hunks"), claim.alias("new_oid"))
+    return trees.rebuilt(rows).select("doc_id", "oid", "fault")
