@@ -159,3 +159,15 @@ def test_markdown_report(spark):
     assert summary == ["- Prefissi con tutti i controlli richiesti superati: 0/1", "- Controlli di progetto: 2 configurati (comandi non eseguiti)", "- Esiti dei controlli (tutti i prefissi): passed 2 · failed 1 · skipped 1 · timeout 0 · unavailable 0", "- " + reports.WORDS["optional"]]
     empty = [x.where("cs_id < 0") for x in (plans, groups, results, others, warnings)]
     assert reports.markdown_report(*empty).count() == 0 and reports.markdown_report(plans, *empty[1:]).where("report IS NULL").count() == 0
+
+
+def test_rebuilt_and_selection_of_nothing(spark):
+    hunk = "array<struct<old_start:bigint,old_count:bigint,new_start:bigint,new_count:bigint,lines:array<string>>>"
+    rows = [(1, "a\n", [(0, 0, 1, 1, ["+x"])], 1, "0"), (2, "a\n", [(0, 0, 1, 1, ["+x"])], 2, "0"), (3, None, [], 0, "0"), (4, "", [], 0, "e69de29bb2d1d6434b8b29ae775ad8c2e48c5391")]
+    got = {r["id"]: (r["oid"], r["fault"]) for r in trees.rebuilt(spark.createDataFrame(rows, f"id int, base string, hunks {hunk}, n_hunks int, new_oid string")).collect()}
+    assert got[1][0] == got[2][0] and got[1][1] == "all hunks don't give the new content" and got[2][1] is None
+    assert got[3] == (None, None) and got[4] == ("e69de29bb2d1d6434b8b29ae775ad8c2e48c5391", None)
+    empty = lambda ddl: spark.createDataFrame([], ddl)
+    files, hunks_ = empty("cs_id int, file_id string, is_atomic boolean, new_path string, new_oid string, new_mode string"), empty("cs_id int, file_id string, hunk_id string")
+    found = trees.selection_faults(files, hunks_, empty("cs_id int, unit_id string, file_id string"), empty("cs_id int, unit_id string, hunk_id string"), spark.createDataFrame([(1, "u"), (1, None)], "cs_id int, unit_id string"))
+    assert sorted((r["rule"], r["item"] or "") for r in found.collect()) == [("unit-unknown", ""), ("unit-unknown", "u")]
