@@ -7,6 +7,7 @@ from weft.llm.linededup import op3_line_dedup
 from weft.llm.lmscore import op1_lm_scores
 from weft.llm.mixing import OP10_SQL, op10_mix_sources
 from weft.llm.packing import op7_packing
+from weft.llm.repair import OP11_SQL, op11_repair_conversations
 from weft.llm.repetition import op9_quality_rules
 from weft.llm.simhash import op2_simhash_near_dedup
 from weft.llm.viterbi import op4_token_counts
@@ -16,7 +17,8 @@ QUERIES = {
     for f in (
         op1_lm_scores, op2_simhash_near_dedup, op3_line_dedup, op4_token_counts, op5_token_store,
         op6_main_text, op7_packing, op8_edit_fingerprints, op9_quality_rules, op10_mix_sources,
+        op11_repair_conversations,
     )
 }
 
-ORACLES = {"op10_mix_sources": OP10_SQL}
+ORACLES = {"op10_mix_sources": OP10_SQL, "op11_repair_conversations": OP11_SQL}
