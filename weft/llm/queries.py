@@ -1,5 +1,6 @@
 """The operators' queries and the SQL that says the same, by name."""
 
+from weft.llm.bytebpe import op13_bpe_round_trip
 from weft.llm.editembed import op8_edit_fingerprints
 from weft.llm.htmlmain import op6_main_text
 from weft.llm.idstore import op5_token_store
@@ -18,7 +19,7 @@ QUERIES = {
     for f in (
         op1_lm_scores, op2_simhash_near_dedup, op3_line_dedup, op4_token_counts, op5_token_store,
         op6_main_text, op7_packing, op8_edit_fingerprints, op9_quality_rules, op10_mix_sources,
-        op11_repair_conversations, op12_lexical_search,
+        op11_repair_conversations, op12_lexical_search, op13_bpe_round_trip,
     )
 }
 
