@@ -2,9 +2,9 @@
 
 1. Texts are split into words, block by block (some million words of consecutive documents). A block's row has its distinct words once, the
    sequence of their numbers, and how many words each document has. Blocks are written once, dealt into buckets by their id.
-2. The distinct words of all blocks are the word table; the tokenizers library encodes each once.
-3. The blocks' words are joined with that table, and each block's ids (number, ids) with the block, which is where its bucket is: sequences, most of
-   the data, are never shuffled. Behind the join, ids are laid out by position.
+2. The distinct words of all blocks are dealt and sorted by word: that is the word table, in which the tokenizers library encodes each word once.
+3. Each word's ids go back to its blocks, many words a row, and are joined with them where their bucket is: sequences, most of the data, are never
+   shuffled. Behind the join, ids are laid out by position.
 4. Decoding takes the pieces of ids from the tokenizer's id-to-piece table, which has a row an id of the vocabulary and is sent to the workers.
 
 Words are told apart by 64-bit hashes with their lengths inside a block, by their bytes in the joins. Added tokens of the file are words of their
@@ -31,7 +31,7 @@ from weft.llm._batches import small_batches
 from weft.llm._tokens import tokenizer_path
 from weft.session import shared_path, table
 
-BLOCK_WORDS, BLOCK_DISTINCT, PART = 4_000_000, 400_000, 1 << 20
+BLOCK_WORDS, BLOCK_DISTINCT, PART, FLUSH = 8_000_000, 600_000, 1 << 20, 400_000
 
 
 @lru_cache(maxsize=1)
@@ -135,17 +135,45 @@ def _blocks(docs: DataFrame, path: str, doc_id: str, text: str) -> DataFrame:
     return blocks
 
 
-def word_table(words: DataFrame, path: str, word: str = "word") -> DataFrame:
-    """word (its UTF-8 bytes) and ids (little-endian uint32) of each distinct word."""
+def _encoded(words: DataFrame, path: str) -> DataFrame:
+    """Words (block, number, word), dealt and sorted by word, so that all places of a word meet: it is encoded once, and its ids go back to its blocks.
+
+    Gives block, numbers, sizes and ids (little-endian uint32 each), many words of a block a row.
+    """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _splitter(path).tokenizer
+        tokenizer, last, held = _splitter(path).tokenizer, (None, None), []
+
+        def flushed() -> pa.RecordBatch:
+            block, number, sizes, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(block, kind="stable")
+            edges = np.flatnonzero(np.concatenate([[True], np.diff(block[order]) != 0, [True]]))
+            starts, rows = np.cumsum(sizes) - sizes, []
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                own = order[a:b]
+                rows.append((int(block[own[0]]), number[own].astype("<u4").tobytes(), sizes[own].astype("<u4").tobytes(), _taken(ids, starts, sizes, own).tobytes()))
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), *[pa.binary()] * 3))], ["block", "numbers", "sizes", "ids"])
+
+        waiting = 0
         for batch in batches:
-            found = tokenizer.encode_batch_fast([w.decode() for w in batch.column("word").to_pylist()], add_special_tokens=False)
-            own = [np.array(e.ids, "<u4").tobytes() for e in found]
-            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(own, pa.binary())], ["word", "ids"])
-
-    return words.select(F.col(word).alias("word")).distinct().mapInArrow(encode, "word binary, ids binary")
+            word = batch.column("word").dictionary_encode()
+            every = word.dictionary.to_pylist()
+            new = [w for w in every if w != last[0]]
+            found = dict(zip(new, (np.array(e.ids, "<u4") for e in tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)), strict=True))
+            own = [found[w] if w != last[0] else last[1] for w in every]
+            last = (every[-1], own[-1]) if every else last
+            sizes, which = np.array([len(x) for x in own], np.int64), word.indices.to_numpy()
+            flat = np.concatenate([np.zeros(0, "<u4"), *own])
+            held.append((batch.column("block").to_numpy(), batch.column("number").to_numpy(), sizes[which], _taken(flat, np.cumsum(sizes) - sizes, sizes, which)))
+            waiting += batch.num_rows
+            if waiting >= FLUSH:
+                yield flushed()
+                held, waiting = [], 0
+        if held:
+            yield flushed()
+
+    dealt = words.repartition("word").sortWithinPartitions("word")
+    return dealt.mapInArrow(encode, "block bigint, numbers binary, sizes binary, ids binary")
 
 
 def _flat(values: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
@@ -177,7 +205,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, doc_id: str = "do
     blocks = _blocks(docs, path, doc_id, text)
     kind = blocks.schema["ids"].dataType.elementType.simpleString()
     words = blocks.select("block", F.posexplode("words").alias("number", "word"))
-    known = words.join(word_table(words, path), "word").groupBy("block").agg(F.collect_list(F.struct("number", F.col("ids").alias("of"))).alias("known"))
+    known = _encoded(words, path).groupBy("block").agg(F.collect_list(F.struct("numbers", "sizes", F.col("ids").alias("of"))).alias("known"))
     joined = blocks.drop("words").join(known, "block", "left")
 
     def lay_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,12 +213,12 @@ def encode_documents(docs: DataFrame, path: str | None = None, doc_id: str = "do
             out = batch.schema.field("ids").type.value_type
             for i in range(batch.num_rows):
                 own = batch.column("known").slice(i, 1).flatten()
-                pool, sizes = _flat(own.field("of")) if len(own) else (np.zeros(0, "<u4"), np.zeros(0, np.int32))
-                number = own.field("number").to_numpy() if len(own) else np.zeros(0, np.int32)
+                number, sizes, pool = (_flat(own.field(n))[0] if len(own) else np.zeros(0, "<u4") for n in ("numbers", "sizes", "of"))
+                sizes = sizes.astype(np.int64)
+                starts = np.cumsum(sizes) - sizes
                 place = np.empty(len(number), np.int64)
                 place[number] = np.arange(len(number))
-                starts = np.cumsum(sizes) - sizes
-                sequence = place[_unpacked(batch.column("sequence")[i].as_py())] if len(own) else np.zeros(0, np.int64)
+                sequence = place[_unpacked(batch.column("sequence")[i].as_py())]
                 ids, counts = batch.column("ids")[i].values, batch.column("counts")[i].values.to_numpy()
                 upto = np.concatenate([[0], np.cumsum(counts)])
                 for a, b in _ranges(counts, PART // 2):
