@@ -41,16 +41,17 @@ def _splitter(path: str) -> _bytes.Splitter:
 
 
 def _packed(numbers: np.ndarray) -> bytes:
-    """Numbers as four planes of bytes, compressed: the high planes are nearly empty."""
+    """Numbers as four planes of bytes, of which the high ones are nearly empty; compressed where there are more than a few."""
     import zstandard
 
-    return zstandard.compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+    planes = np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+    return b"\0" + planes if len(planes) < 256 else b"\1" + zstandard.compress(planes, 1)
 
 
 def _unpacked(packed: bytes) -> np.ndarray:
     import zstandard
 
-    planes = np.frombuffer(zstandard.decompress(packed), np.uint8).reshape(4, -1)
+    planes = np.frombuffer(zstandard.decompress(packed[1:]) if packed[0] else packed[1:], np.uint8).reshape(4, -1)
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
@@ -138,7 +139,7 @@ def _blocks(docs: DataFrame, path: str, doc_id: str, text: str) -> DataFrame:
 def _encoded(words: DataFrame, path: str) -> DataFrame:
     """Words (block, number, word), dealt and sorted by word, so that all places of a word meet: it is encoded once, and its ids go back to its blocks.
 
-    Gives block, numbers, sizes and ids (little-endian uint32 each), many words of a block a row.
+    Gives block, numbers, sizes and ids (packed), many words of a block a row.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,7 +152,7 @@ def _encoded(words: DataFrame, path: str) -> DataFrame:
             starts, rows = np.cumsum(sizes) - sizes, []
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 own = order[a:b]
-                rows.append((int(block[own[0]]), number[own].astype("<u4").tobytes(), sizes[own].astype("<u4").tobytes(), _taken(ids, starts, sizes, own).tobytes()))
+                rows.append((int(block[own[0]]), *map(_packed, (number[own], sizes[own], _taken(ids, starts, sizes, own)))))
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), *[pa.binary()] * 3))], ["block", "numbers", "sizes", "ids"])
 
         waiting = 0
@@ -213,7 +214,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, doc_id: str = "do
             out = batch.schema.field("ids").type.value_type
             for i in range(batch.num_rows):
                 own = batch.column("known").slice(i, 1).flatten()
-                number, sizes, pool = (_flat(own.field(n))[0] if len(own) else np.zeros(0, "<u4") for n in ("numbers", "sizes", "of"))
+                number, sizes, pool = (np.concatenate([np.zeros(0, "<u4"), *map(_unpacked, own.field(n).to_pylist())]) if len(own) else np.zeros(0, "<u4") for n in ("numbers", "sizes", "of"))
                 sizes = sizes.astype(np.int64)
                 starts = np.cumsum(sizes) - sizes
                 place = np.empty(len(number), np.int64)
