@@ -31,7 +31,7 @@ from weft.llm._batches import small_batches
 from weft.llm._tokens import tokenizer_path
 from weft.session import shared_path, table
 
-BLOCK_WORDS, BLOCK_DISTINCT, PART, FLUSH = 8_000_000, 600_000, 1 << 20, 400_000
+BLOCK_WORDS, BLOCK_DISTINCT, PART, FLUSH = 6_000_000, 450_000, 1 << 20, 400_000
 
 
 @lru_cache(maxsize=1)
@@ -48,10 +48,17 @@ def _packed(numbers: np.ndarray) -> bytes:
     return b"\0" + planes if len(planes) < 256 else b"\1" + zstandard.compress(planes, 1)
 
 
-def _unpacked(packed: bytes) -> np.ndarray:
+def _planes(packed: bytes) -> np.ndarray:
     import zstandard
 
-    planes = np.frombuffer(zstandard.decompress(packed[1:]) if packed[0] else packed[1:], np.uint8).reshape(4, -1)
+    return np.frombuffer(zstandard.decompress(packed[1:]) if packed[0] else packed[1:], np.uint8).reshape(4, -1)
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    return _joined(_planes(packed))
+
+
+def _joined(planes: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
@@ -217,13 +224,13 @@ def encode_documents(docs: DataFrame, path: str | None = None, doc_id: str = "do
                 number, sizes, pool = (np.concatenate([np.zeros(0, "<u4"), *map(_unpacked, own.field(n).to_pylist())]) if len(own) else np.zeros(0, "<u4") for n in ("numbers", "sizes", "of"))
                 sizes = sizes.astype(np.int64)
                 starts = np.cumsum(sizes) - sizes
-                place = np.empty(len(number), np.int64)
-                place[number] = np.arange(len(number))
-                sequence = place[_unpacked(batch.column("sequence")[i].as_py())]
+                place = np.empty(len(number), np.int32)
+                place[number] = np.arange(len(number), dtype=np.int32)
+                sequence = _planes(batch.column("sequence")[i].as_py())
                 ids, counts = batch.column("ids")[i].values, batch.column("counts")[i].values.to_numpy()
                 upto = np.concatenate([[0], np.cumsum(counts)])
-                for a, b in _ranges(counts, PART // 2):
-                    which = sequence[upto[a] : upto[b]]
+                for a, b in _ranges(counts, PART // 4):
+                    which = place[_joined(sequence[:, upto[a] : upto[b]])]
                     flat = _taken(pool, starts, sizes, which).tobytes()
                     ends = 4 * np.concatenate([[0], np.cumsum(sizes[which])])[upto[a : b + 1] - upto[a]]
                     cells = [flat[x:y] for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
