@@ -3,8 +3,8 @@
 Each source has a mean repetition rate: its target share of all rows over its actual share. A document's
 count of copies is the Poisson distribution of that rate inverted at a number in [0, 1) hashed from seed, doc_id and
 text, so it depends on nothing else and comes out the same in any run. Rows are exploded by their counts, and
-a second hash gives each copy its place: the output is dealt by it and sorted in each part, a global shuffle. Equal rows
-share their place; where they are many, Spark splits their part.
+a second hash gives each copy its place: the output is dealt by it and sorted in each part, a global shuffle. Wholly equal rows
+share their place and are dealt by the part they come from, too, so that however many they are no task gets them all.
 
 Counts per source are one pre-aggregated grouping. The table of rates has one row per source: it is
 broadcast only if its row count, which is checked, is at most ``BROADCAST_SOURCES``; else it is joined by source. A row's number is drawn once.
@@ -86,8 +86,9 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, seed: str = "mix",
         return bound(count, lambda n: F.transform(F.when(n > 0, F.sequence(F.lit(1), n)), lambda i: F.struct(i.alias("copy"), place(i).alias("key"))))
 
     copies = joined.select(*at.values(), F.explode(F.when(F.col("rate") > 0, bound(own, drawn))).alias("_x"))
-    # hinted, so that Spark may split a part that many equal rows share
-    dealt = copies.select(*at.values(), F.col("_x.copy").alias("copy"), F.col("_x.key").alias("shuffle_key")).hint("rebalance", "shuffle_key").sortWithinPartitions("shuffle_key")
+    # an exchange in any session; equal rows, which share their place, are dealt apart by the part they come from
+    placed = copies.select(*at.values(), F.col("_x.copy").alias("copy"), F.col("_x.key").alias("shuffle_key"), F.spark_partition_id().alias("_from"))
+    dealt = placed.repartition("shuffle_key", "_from").sortWithinPartitions("shuffle_key").drop("_from")
     return dealt.toDF(*docs.columns, *free_names(["copy", "shuffle_key"], docs.columns))
 
 

@@ -84,17 +84,19 @@ def repetition(text: str | None, lengths: tuple[int, ...] = tuple(COVERAGE_LIMIT
             else:
                 seen.add(line)
     covered, repeat_words = [0] * len(lengths), 0
-    if n > 5:
+    if n > min(5, *lengths):
         number: dict[bytes, int] = {}
         ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, n)
         if len(number) < n:
-            fives = _inside(_same_as_another(ids, 5), 5, n)
+            fives = _inside(_same_as_another(ids, 5), 5, n) if n > 5 else np.zeros(n, bool)
             repeat_words = int(fives.sum())
-            if repeat_words:
-                chars = np.fromiter((len(w.decode("utf-8", "surrogatepass")) for w in words), np.int64, n)
-                for i, k in enumerate(lengths):
-                    inside = fives if k == 5 else _inside(_same_as_another(ids, k), k, n) if n > k else np.zeros(n, bool)
-                    covered[i] = int(chars[inside].sum())
+            chars = None
+            for i, k in enumerate(lengths):
+                if n > k and (repeat_words or k < 5):  # what repeats in more than five words repeats in five
+                    inside = fives if k == 5 else _inside(_same_as_another(ids, k), k, n)
+                    if inside.any():
+                        chars = np.fromiter((len(w.decode("utf-8", "surrogatepass")) for w in words), np.int64, n) if chars is None else chars
+                        covered[i] = int(chars[inside].sum())
     return (n, word_chars, n_symbols, dup_lines, repeat_words, dup_chars, *covered)
 
 
