@@ -6,9 +6,12 @@ subtree (text, links, tags, punctuation). Boosted trees give each node a probabi
 consistent labelling: below a node that is left out everything is left out, and of all such labellings the one with the
 greatest weighted log-likelihood is taken, in one pass up and one down the tree.
 
-The trees are trained here, by numpy, on pages whose nodes have known labels: text of a bounded sample of pages (``TRAIN_PAGES`` rows, the
-least by a hash of page_id, a documented bound) is laid out in many page designs with and without telling tags and attributes; the
-sampled pages that mark their article (or main) element themselves are trained on as they are, too.
+The trees are trained here, by numpy, on pages whose nodes have known labels: text of a bounded sample of pages (``TRAIN_PAGES`` rows of at
+most ``TRAIN_CHARS`` characters, the least by a hash of page_id, documented bounds) is laid out in many page designs with and without telling tags and
+attributes, half of them with little or nothing around a short article; the sampled pages that mark their article (or main) element themselves
+are trained on as they are, too.
+
+Text that a page hides (``hidden``, ``display: none``) is read like any other: style sheets aren't worked out.
 
 Text of kept nodes: character references decoded, white space inside a block made one space and trimmed, blocks in page order joined by a line feed.
 
@@ -28,9 +31,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weft.llm._batches import small_batches
 from weft.session import table
 
-TRAIN_PAGES, TRAIN_LAYOUTS, TREES, DEPTH, RATE = 120, 400, 60, 4, 0.25
+TRAIN_PAGES, TRAIN_CHARS, TRAIN_LAYOUTS, PAGE_WEIGHT, TREES, DEPTH, RATE, MAX_DEPTH = 120, 500_000, 700, 60, 70, 4, 0.25, 32
 _SKIP = frozenset(("script", "style", "noscript", "template", "head", "iframe", "svg", "object", "textarea", "select", "option", "button", "canvas", "audio", "video", "dialog"))
 #: What a head may hold; any other start tag, and text, ends it, as </head> may be left out.
 _IN_HEAD = _SKIP - {"head"} | {"base", "basefont", "bgsound", "link", "meta", "noframes"}
@@ -262,7 +266,7 @@ def features(nodes: list[Node]) -> np.ndarray:
     above = np.zeros((n, clues.shape[1] + len(_GROUPS)))
     mine = np.concatenate([clues, group], axis=1)
     for i in range(1, n):
-        depth[i] = depth[parent[i]] + 1
+        depth[i] = min(depth[parent[i]] + 1, MAX_DEPTH)
         above[i] = np.maximum(above[parent[i]], mine[parent[i]])
     place = np.zeros((n, 6))
     for x in nodes:
@@ -342,7 +346,11 @@ class Boosted:
 
 def decode(nodes: list[Node], odds: np.ndarray) -> None:
     """Set ``kept``: the most likely labelling in which nothing is kept below a node that isn't."""
-    weight = [1.0 + min(n.own, 400) / 100 for n in nodes]
+    run = [0] * len(nodes)  # wrappers around one another count as little more than one, however many there are
+    for i, n in enumerate(nodes[1:], 1):
+        if not n.own and not n.parent.own and len(n.parent.children) == 1:
+            run[i] = run[n.parent.index] + 1
+    weight = [1.0 / (1 + r) ** 2 + min(n.own, 400) / 100 for n, r in zip(nodes, run, strict=True)]
     keep = [w * -float(np.logaddexp(0, -o)) for w, o in zip(weight, odds, strict=True)]
     drop = [w * -float(np.logaddexp(0, o)) for w, o in zip(weight, odds, strict=True)]
     for i in range(len(nodes) - 1, 0, -1):  # children come after their parents
@@ -383,9 +391,9 @@ def blocks(nodes: list[Node]) -> list[str]:
     return out
 
 
-def _layout(rng: random.Random, lines: list[str], junk: list[str]) -> str:
-    """One page with labelled nodes: an article of ``lines`` in the midst of other parts made of ``junk``."""
-    plain = rng.random() < 0.25  # no telling tags or attributes
+def _layout(rng: random.Random, lines: list[str], junk: list[str], sparse: bool = False) -> str:
+    """One page with labelled nodes: an article of ``lines`` in the midst of other parts made of ``junk``; ``sparse``: with few or none around it, and seldom marked."""
+    plain = not sparse and rng.random() < 0.25  # no telling tags or attributes
 
     def some(lo: int, hi: int) -> str:
         words = rng.choice(junk).split() or ["x"]
@@ -454,6 +462,23 @@ def _layout(rng: random.Random, lines: list[str], junk: list[str]) -> str:
         return tag("table", tag("tr", "".join(tag("td", " ".join(words[i : i + 5]), 1) for i in range(0, len(words), 5)), 1), 1)
 
     inside = [body_line(x) for x in lines]
+    if sparse:
+        if rng.random() < 0.5:  # as most short pages are: paragraphs only
+            inside = [tag("p", x, 1) for x in lines]
+        if rng.random() < 0.3:
+            inside.insert(0, tag(rng.choice(("h1", "h2")), some(2, 10), 1))
+        if rng.random() < 0.3:
+            inside.append(rng.choice((lambda: tag("pre", some(1, 9), 1), lambda: tag("figure", tag("figcaption", some(1, 6), 1), 1), lambda: tag("figure", "", 1), lambda: tag("h3", some(1, 4), 1)))())
+        article = "".join(inside)
+        if rng.random() < 0.8:
+            article = tag(rng.choice(("article", "main", "div", "div", "div", "section")), article, 1, rng.choice(("", "", "article content post entry story main")))
+        for _ in range(rng.choice((0, 0, 1, 2))):
+            article = tag("div", article, 1, rng.choice(("", "content main wrap page")))
+        before = [f() for f in (header, nav) if rng.random() < 0.4]
+        after = [f() for f in (footer,) if rng.random() < 0.5]
+        if rng.random() < 0.25:
+            rng.choice((before, after)).append(rng.choice((advert, notice, form, side, related, comments))())
+        return f'<html data-label="1"><body data-label="1">{"".join(before)}{article}{"".join(after)}</body></html>'
     if rng.random() < 0.3:
         inside.insert(rng.randrange(len(inside) + 1), rng.choice((advert, related, form))())
     if rng.random() < 0.7:
@@ -496,6 +521,12 @@ def _below(node: Node | None, head: Node) -> bool:
     return node is head
 
 
+def _weights(nodes: list[Node]) -> np.ndarray:
+    """Of a page's nodes, by their text; a short page weighs less than a long one only by the root of its size."""
+    own = np.array([1.0 + min(n.own, 400) / 100 for n in nodes])
+    return own * np.sqrt(PAGE_WEIGHT / own.sum())
+
+
 def train(samples: list[str], layouts: int = TRAIN_LAYOUTS, seed: int = 17) -> Boosted:
     """Fit the trees on ``layouts`` pages made of the visible text of ``samples``."""
     lines = []
@@ -510,17 +541,18 @@ def train(samples: list[str], layouts: int = TRAIN_LAYOUTS, seed: int = 17) -> B
         if label is not None:
             xs.append(features(nodes))
             ys.append(label)
-            ws.append([1.0 + min(n.own, 400) / 100 for n in nodes])
-    for _ in range(layouts):
-        k = rng.choice((1, 2, 3, 5, 8, 12))
+            ws.append(_weights(nodes))
+    for i in range(layouts):
+        sparse = i % 2 == 1
+        k = rng.choice((1, 1, 2, 2, 3, 4, 8) if sparse else (1, 2, 3, 5, 8, 12))
         page = [rng.choice(lines) for _ in range(k)]
         if rng.random() < 0.3:
             page = [" ".join(x.split()[: rng.randint(1, 12)]) for x in page]
         page = [" ".join(x.split()[: rng.randint(1, 4)]) if rng.random() < 0.2 else x for x in page]
-        nodes = parse(_layout(rng, page, lines), _Labelled)
+        nodes = parse(_layout(rng, page, lines, sparse), _Labelled)
         xs.append(features(nodes))
         ys.append([1 if n.label is None else n.label for n in nodes])
-        ws.append([1.0 + min(n.own, 400) / 100 for n in nodes])
+        ws.append(_weights(nodes))
     return Boosted().fit(np.concatenate(xs), np.concatenate(ys).astype(float), np.concatenate(ws))
 
 
@@ -541,7 +573,7 @@ def extract_main_text(pages: DataFrame, html: str = "html", keep: list[str] | No
     """``keep`` (page_id, url), text and n_chars of each row; trains on at most ``train_pages`` rows if no ``model`` is given."""
     keep = ["page_id", "url"] if keep is None else keep
     if model is None:
-        sample = pages.where(F.col(html).isNotNull()).select(F.xxhash64("page_id").alias("h"), html).orderBy("h", html).limit(train_pages)
+        sample = pages.where(F.length(html) <= TRAIN_CHARS).select(F.xxhash64("page_id").alias("h"), html).orderBy("h", html).limit(train_pages)
         model = train([r[html] for r in sample.collect()])
     shared = pages.sparkSession.sparkContext.broadcast(model)  # fixed number of trees of fixed depth
 
@@ -552,7 +584,7 @@ def extract_main_text(pages: DataFrame, html: str = "html", keep: list[str] | No
 
     extracted.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
     text = F.pandas_udf(extracted, "string")(html)
-    return pages.select(*keep, text.alias("text")).withColumn("n_chars", F.length("text").cast("bigint"))
+    return small_batches(pages).select(*keep, text.alias("text")).withColumn("n_chars", F.length("text").cast("bigint"))
 
 
 def op6_main_text(spark, sf_dir: str) -> DataFrame:
