@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.functions import paths
@@ -165,21 +166,6 @@ def plan_confidence(spark, sf):
 SHOWN = "regexp_replace(regexp_replace(CAST(CAST({} AS DECIMAL(7, 2)) AS VARCHAR), '0+$', ''), '[.]$', '')"
 
 
-@query(f"""WITH {E}, {M}, {TOTALS}, {EG}, {TITLES}, {CONFIDENCE}, {METRICS},
-  d AS (SELECT cs_id, grp, string_agg(CAST(g AS VARCHAR), ',' ORDER BY g) AS needs FROM (SELECT DISTINCT cs_id, dst_grp AS grp, src_grp AS g FROM eg WHERE kind = 'before' AND src_grp < dst_grp) x GROUP BY cs_id, grp),
-  l AS (SELECT t.cs_id, string_agg(t.grp || '. ' || title || chr(10) || '   ' || files || ' file · +' || added || '/-' || deleted || ' · dipendenze: ' || coalesce(needs, 'nessuna'), chr(10) || chr(10) ORDER BY t.grp) AS body,
-  CAST(sum(n_units) AS BIGINT) AS u, count(*) AS n FROM totals t JOIN titles a ON a.cs_id = t.cs_id AND a.grp = t.grp LEFT JOIN d ON d.cs_id = t.cs_id AND d.grp = t.grp GROUP BY t.cs_id)
-  SELECT l.cs_id, 'Plan · ' || CASE WHEN n > 1 THEN 'Suddivisione da verificare' ELSE 'Modifica singola' END || chr(10) || u || ' unità · ' || n || ' gruppi' || chr(10) || chr(10) || body || chr(10) || chr(10)
-  || 'Revisionabilità: ' || {SHOWN.format('reviewability')} || '/100 · coesione: ' || {SHOWN.format('cohesion')} || '/100 · integrità dipendenze: ' || {SHOWN.format('integrity')} || '/100 · confidenza confini: ' || confidence || chr(10) AS report
-  FROM l JOIN conf ON conf.cs_id = l.cs_id JOIN metrics ON metrics.cs_id = l.cs_id""")
-def terminal_report(spark, sf):
-    u = adapters.units(spark, sf)
-    e, m = adapters.edges(spark, u), _sliced(u)
-    status = m.groupBy("cs_id").agg(F.when(F.count_distinct("grp") > 1, "split-unverified").otherwise("single-change").alias("status"))
-    plans = status.join(groups.confidence(e, m), "cs_id").join(groups.metrics(u, e, m), "cs_id")
-    return reports.terminal_text(plans, groups.group_totals(u, m), groups.titles(titled(u), m), groups.group_dependencies(e, m))
-
-
 @query(f"""WITH {P}, {SYMBOLS}, t AS (SELECT page_id, symbol, CASE WHEN path LIKE '%/%' THEN regexp_replace(path, '[^/]*/[^/]*$', '') || substr(symbol, 2) END AS target
   FROM paths JOIN symbols USING (page_id) WHERE symbol LIKE '/%') SELECT page_id, '..' || symbol AS module, target, CAST(CASE WHEN target IS NULL THEN 0 ELSE 14 END AS INTEGER) AS n FROM t""")
 def import_targets(spark, sf):
@@ -215,7 +201,12 @@ W_ = reports.WORDS
   || coalesce(limits, '') || chr(10) || '{W_["no_proof"]}' || chr(10) AS report
   FROM mg JOIN conf ON conf.cs_id = mg.cs_id JOIN metrics ON metrics.cs_id = mg.cs_id JOIN mn ON mn.cs_id = mg.cs_id LEFT JOIN me ON me.cs_id = mg.cs_id LEFT JOIN mk ON mk.cs_id = mg.cs_id LEFT JOIN mc ON mc.cs_id = mg.cs_id LEFT JOIN mw ON mw.cs_id = mg.cs_id""")
 def markdown_reports(spark, sf):
-    """The whole report of each change-set's plan; checks, candidates and warnings follow from the groups' totals."""
+    """The whole report of each change-set's plan."""
+    return reports.markdown_report(*_reported(spark, sf))
+
+
+def _reported(spark, sf: str) -> tuple[DataFrame, ...]:
+    """Plans, groups, results, candidates and warnings; the last three follow from the groups' totals."""
     u = adapters.units(spark, sf)
     e, m = adapters.edges(spark, u), _sliced(u)
     totals = groups.group_totals(u, m)
@@ -240,4 +231,27 @@ def markdown_reports(spark, sf):
         F.when(run, "semantic").otherwise("reconstructed").alias("level"), F.col("n").alias("covered"), F.col("n").alias("total"), (F.col("cs_id") % 3).alias("commands"), (F.col("cs_id") % 3 == 1).alias("commands_run"),
         "reviewability", "cohesion", "integrity", "confidence",
     )
-    return reports.markdown_report(plans, g, results, others, warnings)
+    return plans, g, results, others, warnings
+
+
+@query(f"""WITH {E}, {M}, {TOTALS}, {EG}, {TITLES}, {CONFIDENCE}, {METRICS},
+  need AS (SELECT DISTINCT cs_id, dst_grp AS grp, src_grp AS g FROM eg WHERE kind = 'before' AND src_grp < dst_grp),
+  td AS (SELECT cs_id, grp, string_agg('slice-' || g, ', ' ORDER BY g) AS needs FROM need GROUP BY cs_id, grp),
+  tg AS (SELECT t.cs_id, string_agg(t.grp || '. ' || title || ' [slice-' || t.grp || ']' || chr(10) || '   ' || t.files || ' file · +' || added || '/-' || deleted || ' · dipendenze: ' || coalesce(needs, 'nessuna') || chr(10)
+    || '   ' || packages || ' package, ' || areas || ' aree' || chr(10) || CASE WHEN t.grp % 2 = 1 THEN '   second' || chr(10) || '   third\\u202e' || chr(10) ELSE '' END || chr(10), '' ORDER BY t.grp) AS body, count(*) AS n, sum(n_units) AS n_units
+    FROM totals t JOIN titles a ON a.cs_id = t.cs_id AND a.grp = t.grp LEFT JOIN td ON td.cs_id = t.cs_id AND td.grp = t.grp GROUP BY t.cs_id),
+  tk AS (SELECT cs_id, count(*) FILTER (WHERE all_tests) AS skipped, count(*) AS total FROM totals WHERE cs_id % 4 <> 0 GROUP BY cs_id),
+  tw AS (SELECT cs_id, string_agg('- file ' || file || ': generated' || chr(10), '' ORDER BY file) AS limits FROM (SELECT DISTINCT cs_id, file FROM units WHERE is_generated) x GROUP BY cs_id),
+  tn AS (SELECT cs_id, count(DISTINCT file) AS n_files FROM units GROUP BY cs_id)
+  SELECT tg.cs_id, 'Plan · ' || CASE WHEN tg.n > 1 THEN 'Suddivisione da verificare' ELSE 'Modifica singola' END || chr(10) || n_files || ' file · ' || tg.n_units || ' unità · ' || tg.n || ' gruppi' || chr(10)
+  || 'Ricostruzione finale: esatta (' || left((2 * tg.cs_id)::VARCHAR, 12) || ')' || chr(10) || CASE WHEN tk.cs_id IS NULL THEN 'Verifica: not-run · livello reconstructed' || chr(10)
+  ELSE 'Verifica: passed · livello semantic' || chr(10) || '{W_["passed_prefixes"]}' || total || '/' || total || chr(10) || '{W_["own_checks"]}' || CASE tg.cs_id % 3 WHEN 0 THEN 'non configurati' WHEN 1 THEN '1 configurati (comandi eseguiti)'
+  ELSE '2 configurati (comandi non eseguiti)' END || chr(10) || '{W_["outcomes"]}passed ' || (2 * total - skipped) || ' · failed 0 · skipped ' || skipped || ' · timeout 0 · unavailable 0' || chr(10) END || chr(10) || tg.body
+  || 'Coesione: ' || {SHOWN.format('cohesion')} || '/100 · integrità dipendenze: ' || {SHOWN.format('integrity')} || '/100 · confidenza confini: ' || confidence || chr(10)
+  || coalesce(chr(10) || 'Limiti e incertezze:' || chr(10) || limits, '') || CASE WHEN tk.cs_id IS NULL THEN chr(10) || 'Build e test non eseguiti. Usa verify; --run-checks abilita i comandi configurati.' || chr(10) ELSE '' END AS report
+  FROM tg JOIN conf ON conf.cs_id = tg.cs_id JOIN metrics ON metrics.cs_id = tg.cs_id JOIN tn ON tn.cs_id = tg.cs_id LEFT JOIN tk ON tk.cs_id = tg.cs_id LEFT JOIN tw ON tw.cs_id = tg.cs_id""")
+def terminal_report(spark, sf):
+    """The terminal report of each change-set's plan; odd groups have four reasons, of which three are shown."""
+    plans, g, results, _, warnings = _reported(spark, sf)
+    more = F.when(F.col("grp") % 2 == 1, F.array(F.lit("second"), F.lit("third\u202e"), F.lit("fourth"))).otherwise(F.array().cast("array<string>"))
+    return reports.terminal_report(plans, g.withColumn("reasons", F.concat("reasons", more)), results, warnings)
