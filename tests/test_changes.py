@@ -100,6 +100,41 @@ def test_strong_components(spark):
     assert components.strong_components(spark.createDataFrame([(1, 2), (2, 3)], "src long, dst long")).count() == 0
 
 
+def components_of(edges):
+    after = {}
+    for a, b in edges:
+        after.setdefault(a, set()).add(b)
+    reach = {n: reachable(after, n) for e in edges for n in e}
+    return {n: min(m for m in r if n in reach[m]) for n, r in reach.items() if any(m != n and n in reach[m] for m in r)}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_strong_components_with_runs_rings_and_branches(spark, seed):
+    rng = random.Random(seed)
+    edges = [(rng.randrange(25), rng.randrange(25)) for _ in range(rng.choice((18, 28, 45)))]
+    for k in range(4):  # runs between two nodes, one node, nowhere; rings
+        run = [100 * (k + 1) + i for i in range(rng.randint(1, 9))]
+        ends = rng.choice([(rng.randrange(25), rng.randrange(25)), (7, 7), (None, rng.randrange(25)), (run[-1], run[0])])
+        path = [ends[0], *run, ends[1]]
+        edges += [(a, b) for a, b in zip(path, path[1:]) if a is not None and a != b]
+    want = components_of(edges)
+    got = dict(map(tuple, components.strong_components(spark.createDataFrame(edges, "src long, dst long")).collect()))
+    assert got == want
+
+
+def test_a_very_long_path_and_a_very_long_ring_take_few_rounds(spark, monkeypatch):
+    rounds = []
+    kept = components._kept
+    monkeypatch.setattr(components, "_kept", lambda df: rounds.append(1) or kept(df))
+    n = 100_000
+    path = spark.range(n).select(((F.col("id") * 7919) % n).alias("src"), (((F.col("id") + 1) * 7919) % n).alias("dst")).where(f"src <> {(n - 1) * 7919 % n}")
+    assert components.strong_components(path).count() == 0 and len(rounds) < 40
+    rounds.clear()
+    ring = spark.range(n).select((F.col("id") + 5).alias("src"), ((F.col("id") + 1) % n + 5).alias("dst"))
+    got = components.strong_components(ring.unionByName(spark.createDataFrame([(3, 9), (9, 1)], "src long, dst long")))
+    assert got.groupBy("component").count().collect() == [(5, n)] and len(rounds) < 60
+
+
 def test_order_kernel():
     same = dict.fromkeys("abcd", 0)
     assert planner.topological(list("abcd"), {"a": {"d"}, "b": {"d"}}, same) == list("abcd")
