@@ -7,7 +7,7 @@ consistent labelling: below a node that is left out everything is left out, and
 greatest weighted log-likelihood is taken, in one pass up and one down the tree.
 
 The trees are trained here, by numpy, on pages whose nodes have known labels: text of a bounded sample of pages (``TRAIN_PAGES`` rows of at
-most ``TRAIN_CHARS`` characters, the least by a hash of page_id, documented bounds) is laid out in many page designs with and without telling tags and
+most ``TRAIN_CHARS`` characters, the least by a hash of page_id and text, documented bounds) is laid out in many page designs with and without telling tags and
 attributes, half of them with little or nothing around a short article; the sampled pages that mark their article (or main) element themselves
 are trained on as they are, too.
 
@@ -573,8 +573,10 @@ def extract_main_text(pages: DataFrame, html: str = "html", keep: list[str] | No
     """``keep`` (page_id, url), text and n_chars of each row; trains on at most ``train_pages`` rows if no ``model`` is given."""
     keep = ["page_id", "url"] if keep is None else keep
     if model is None:
-        sample = pages.where(F.length(html) <= TRAIN_CHARS).select(F.xxhash64("page_id").alias("h"), html).orderBy("h", html).limit(train_pages)
-        model = train([r[html] for r in sample.collect()])
+        fit = pages.where(F.length(html) <= TRAIN_CHARS).select(F.xxhash64("page_id", html).alias("h"), F.col(html).alias("html"))
+        least = [r["h"] for r in fit.select("h").distinct().orderBy("h").limit(train_pages).collect()]  # numbers first, so that tasks send no pages that aren't taken
+        sample = fit.where(F.col("h") <= (max(least) if least else 0)).groupBy("h").agg(F.min("html").alias("html")).orderBy("h")
+        model = train([r["html"] for r in sample.collect()])
     shared = pages.sparkSession.sparkContext.broadcast(model)  # fixed number of trees of fixed depth
 
     def extracted(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
