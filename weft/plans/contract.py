@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from weft.functions import paths
-from weft.operators import edgerules, groups, hunks, reports, trees, validation, verification
+from weft.operators import edgerules, groups, hunks, repairs, reports, trees, validation, verification
 from weft.plans.queries import EG, E, M, METRICS, P, SYMBOLS, TITLES, TOTALS, U, _sliced, _symbols, query, titled
 from weft.session import table
 from weft.sources import adapters
@@ -255,3 +256,34 @@ def terminal_report(spark, sf):
     plans, g, results, _, warnings = _reported(spark, sf)
     more = F.when(F.col("grp") % 2 == 1, F.array(F.lit("second"), F.lit("third\u202e"), F.lit("fourth"))).otherwise(F.array().cast("array<string>"))
     return reports.terminal_report(plans, g.withColumn("reasons", F.concat("reasons", more)), results, warnings)
+
+
+@query(f"""WITH RECURSIVE {E}, {M}, {TOTALS}, {EG}, {TITLES},
+  cum AS (SELECT cs_id, grp, sum(added) OVER (PARTITION BY cs_id ORDER BY grp)::BIGINT AS c FROM totals),
+  rounds AS (SELECT cs_id, list({{'e': grp, 'c': c}} ORDER BY grp) AS b, 0 AS k FROM cum GROUP BY cs_id
+    UNION ALL SELECT cs_id, list_filter(b, lambda x: x.e <> b[f].e), k + 1 FROM (SELECT *, list_filter(range(1, len(b)), lambda i: (b[i].c + len(b)) % 3 = 0)[1] AS f FROM rounds) WHERE f IS NOT NULL),
+  ends AS (SELECT cs_id, k, unnest(b).e AS last, generate_subscripts(b, 1) AS grp FROM rounds QUALIFY k = max(k) OVER (PARTITION BY cs_id)),
+  spans AS (SELECT *, coalesce(lag(last) OVER (PARTITION BY cs_id ORDER BY grp), 0) + 1 AS first FROM ends),
+  parts AS (SELECT s.cs_id, s.grp, s.k, t.grp AS own, n_units, added, deleted, title FROM spans s JOIN totals t ON t.cs_id = s.cs_id AND t.grp BETWEEN first AND last JOIN titles a ON a.cs_id = t.cs_id AND a.grp = t.grp),
+  need AS (SELECT d.cs_id, d.grp, count(DISTINCT s.grp) AS needs FROM (SELECT DISTINCT cs_id, dst_grp, src_grp FROM eg WHERE kind = 'before' AND src_grp < dst_grp) x
+    JOIN parts d ON d.cs_id = x.cs_id AND d.own = x.dst_grp JOIN parts s ON s.cs_id = x.cs_id AND s.own = x.src_grp WHERE d.grp <> s.grp GROUP BY d.cs_id, d.grp)
+  SELECT p.cs_id, p.grp::BIGINT AS grp, string_agg(title, ' + ' ORDER BY own) AS title, sum(n_units)::BIGINT AS n_units, sum(added)::BIGINT AS added, sum(deleted)::BIGINT AS deleted, k::INT AS repairs,
+  coalesce(max(needs), 0)::INT AS needs, (count(*) - 1)::INT AS reasons FROM parts p LEFT JOIN need n ON n.cs_id = p.cs_id AND n.grp = p.grp GROUP BY p.cs_id, p.grp, k""")
+def settled_plans(spark, sf):
+    """Groups of each plan when no prefix but the last fails any more. Whether one fails depends on its lines and on how many groups the plan has, so merges make other prefixes fail."""
+    u = adapters.units(spark, sf)
+    e, m = adapters.edges(spark, u), _sliced(u)
+    own = u.join(m, ["cs_id", "unit_id"]).groupBy("cs_id", "grp").agg(F.array_sort(F.collect_list("unit_id")).alias("unit_ids"), F.transform(F.array_sort(F.collect_set("file")), lambda x: x.cast("string")).alias("files"))
+    slice_id = lambda c: F.concat(F.lit("slice-"), c.cast("string"))
+    needs = groups.group_dependencies(e, m).select("cs_id", "grp", F.transform(F.split("depends_on", ","), slice_id).alias("depends_on"))
+    none = F.array().cast("array<string>")
+    g = groups.group_totals(u, m).select("cs_id", "grp", "added", "deleted").join(groups.titles(titled(u), m), ["cs_id", "grp"]).join(own, ["cs_id", "grp"]).join(needs, ["cs_id", "grp"], "left")
+    g = g.withColumns({"group_id": slice_id(F.col("grp")), "depends_on": F.coalesce("depends_on", none), "reasons": none})
+
+    def check(live):
+        so_far = F.sum("added").over(W.partitionBy("cs_id").orderBy("grp"))
+        n = F.count(F.lit(1)).over(W.partitionBy("cs_id"))
+        return live.select("cs_id", "grp", ((so_far + n) % 3 == 0).alias("bad")).where("bad").select("cs_id", "grp")
+
+    found = repairs.repaired(g, check)
+    return found.select("cs_id", F.col("grp").cast("bigint").alias("grp"), "title", F.size("unit_ids").cast("bigint").alias("n_units"), "added", "deleted", "repairs", F.size("depends_on").alias("needs"), F.size("reasons").alias("reasons"))
