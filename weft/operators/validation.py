@@ -53,8 +53,8 @@ def order_rules(edges: DataFrame, membership: DataFrame) -> list[DataFrame]:
     ]
 
 
-def claim_rules(units: DataFrame, edges: DataFrame, membership: DataFrame, totals: DataFrame, needs: DataFrame) -> list[DataFrame]:
-    """What a plan says of its groups, ``totals`` (cs_id, grp, added, deleted, files) and ``needs`` (cs_id, grp, needs), against the same derived anew."""
+def claim_rules(units: DataFrame, edges: DataFrame, membership: DataFrame, totals: DataFrame, needs: DataFrame, hard_lines: int = HARD_LINES, hard_files: int = HARD_FILES) -> list[DataFrame]:
+    """What a plan says of its groups, ``totals`` (cs_id, grp, added, deleted, files) and ``needs`` (cs_id, grp, needs), against the same derived anew, and against the hard limits."""
     real = group_totals(units, membership)
     both = totals.select(*_GROUP, *[F.col(c).alias(f"_{c}") for c in ("added", "deleted", "files")]).join(real, _GROUP, "full")
     same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("added", "deleted", "files")])
@@ -62,7 +62,7 @@ def claim_rules(units: DataFrame, edges: DataFrame, membership: DataFrame, total
     real_needs = e.select("cs_id", F.col("dst_grp").alias("grp"), F.col("src_grp").alias("needs")).distinct()
     key, item = [*_GROUP, "needs"], F.concat_ws("<", "needs", "grp")
     return [
-        _found(real.where((F.col("added") + F.col("deleted") > HARD_LINES) | (F.col("files") > HARD_FILES)), "group-too-large", "grp"),
+        _found(real.where((F.col("added") + F.col("deleted") > hard_lines) | (F.col("files") > hard_files)), "group-too-large", "grp"),
         _found(both.where(~same), "totals-differ", "grp"),
         _found(real_needs.join(needs, key, "left_anti"), "dependency-missing", item),
         _found(needs.distinct().join(real_needs, key, "left_anti"), "dependency-unfounded", item),

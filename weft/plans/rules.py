@@ -522,3 +522,26 @@ def rebuilt_files(spark, sf):
     claim = F.when(_mod("doc_id", 7) == 0, F.sha1("t")).otherwise(identity.blob_oid(F.concat(F.lit("x\n"), base)))
     rows = d.select("doc_id", base.alias("base"), F.array(hunk).alias("hunks"), (_mod("doc_id", 2) + 1).alias("n_hunks"), claim.alias("new_oid"))
     return trees.rebuilt(rows).select("doc_id", "oid", "fault")
+
+
+@query(f"""WITH {U}, {adapters.RANKED}, {FILES}, also AS (SELECT DISTINCT cs_id, least(p, c) AS lo, greatest(p, c) AS hi FROM pairs),
+  near AS (SELECT a.cs_id, a.unit_id AS src, b.unit_id AS dst, CASE WHEN a.file = b.file THEN 20 WHEN a.area = b.area THEN 30 WHEN a.package = b.package THEN 5 END AS weight,
+    CASE WHEN a.file = b.file THEN 'same-module' WHEN a.area = b.area THEN 'configured-area' ELSE 'same-package' END AS evidence
+    FROM ranked a JOIN ranked b ON a.cs_id = b.cs_id AND a.unit_id < b.unit_id LEFT JOIN also ON also.cs_id = a.cs_id AND lo = a.unit_id AND hi = b.unit_id
+    WHERE a.n <= 8 OR a.file = b.file OR (a.area = b.area AND abs(a.in_area - b.in_area) = 1) OR (a.package = b.package AND abs(a.in_package - b.in_package) = 1) OR lo IS NOT NULL)
+  SELECT cs_id, src, dst, 'affinity' AS kind, weight, evidence FROM near WHERE weight IS NOT NULL""")
+def sparse_place_edges(spark, sf):
+    """Affinities of places where change-sets of more than 8 units pair neighbours only, and units that name or import one another."""
+    return edgerules.place_rules(adapters.units(spark, sf), 8, edgerules.reference_pairs(*_file_facts(spark, sf)))
+
+
+@query(f"""WITH {E}, {M}, f AS (SELECT e.cs_id, a.grp AS s, b.grp AS d, kind = 'must_with' OR weight IN (20, 5) AND CAST(split_part(src, ':', 2) AS INT) % 2 = 0 AND kind = 'affinity' AS hard, kind
+    FROM edges e JOIN members a ON a.cs_id = e.cs_id AND a.unit_id = e.src JOIN members b ON b.cs_id = e.cs_id AND b.unit_id = e.dst)
+  SELECT cs_id, count(*) FILTER (WHERE hard AND s <> d) AS hard_cuts, count(*) FILTER (WHERE kind = 'before' AND s > d) AS inversions FROM f GROUP BY cs_id""")
+def flagged_violations(spark, sf):
+    """Broken constraints where edges of unknown kind may say that their ends belong together; without the flag, or with a null, they don't."""
+    u = adapters.units(spark, sf)
+    unknown = (F.col("kind") == "affinity") & F.col("weight").isin(20, 5)
+    even = F.substring_index("src", ":", -1).cast("int") % 2 == 0
+    e = adapters.edges(spark, u).withColumns({"kind": F.when(unknown, "unknown").otherwise(F.col("kind")), "requires_together": F.when(even, True).when(F.length("dst") % 2 == 0, False)})
+    return groups.violations(e, u.select("cs_id", "unit_id", (F.pmod(F.col("pos") - 1, F.lit(5)) + 1).alias("grp")))
