@@ -129,3 +129,15 @@ def candidate_rules(units: DataFrame, edges: DataFrame, claimed: DataFrame, repa
         _found(both.where("_claim IS NULL"), "candidate-missing", item), _found(both.where("_real IS NULL"), "candidate-unfounded", item),
         _found(both.where("_claim IS NOT NULL AND _real IS NOT NULL AND NOT _claim <=> _real"), "candidate-differs", item),
     ])
+
+
+def metric_rules(claimed: DataFrame, derived: DataFrame) -> DataFrame:
+    """(cs_id, rule, item): plans whose metrics (reviewability, cohesion, integrity) differ from those derived anew, and those that claim more confidence than what is derived, or
+    one that isn't known. A plan that claims nothing has its fields null."""
+    levels = F.array(*map(F.lit, ("low", "medium", "high")))
+    fields = ["reviewability", "cohesion", "integrity", "confidence"]
+    both = derived.select("cs_id", F.struct(*fields).alias("_b")).join(claimed.select("cs_id", F.struct(*fields).alias("_a")), "cs_id", "left")
+    level = lambda side: F.coalesce(F.array_position(levels, F.col(f"{side}.confidence")), F.lit(0))
+    differs = [F.when(~F.col(f"_a.{c}").eqNullSafe(F.col(f"_b.{c}")), F.lit(f"{c}-differs")) for c in fields[:3]]
+    beyond = F.when((level("_a") == 0) | (level("_a") > level("_b")), F.lit("confidence-above-evidence"))
+    return both.select("cs_id", F.explode(F.array_compact(F.array(*differs, beyond))).alias("rule"), F.col("cs_id").cast("string").alias("item"))

@@ -287,3 +287,22 @@ def settled_plans(spark, sf):
 
     found = repairs.repaired(g, check)
     return found.select("cs_id", F.col("grp").cast("bigint").alias("grp"), "title", F.size("unit_ids").cast("bigint").alias("n_units"), "added", "deleted", "repairs", F.size("depends_on").alias("needs"), F.size("reasons").alias("reasons"))
+
+
+@query(f"""WITH {E}, {M}, {TOTALS}, {EG}, {TITLES}, {CONFIDENCE}, {METRICS},
+  c AS (SELECT m.cs_id, m.reviewability, m.cohesion, m.integrity, confidence, cs % 11 = 0 AS silent, reviewability + CASE WHEN cs % 5 = 0 THEN 0.01 ELSE 0 END AS r, CASE WHEN cs % 7 <> 0 THEN cohesion END AS h,
+    CASE cs % 4 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' WHEN 2 THEN 'low' ELSE 'certain' END AS k FROM (SELECT *, cs_id AS cs FROM metrics) m JOIN conf ON conf.cs_id = m.cs_id),
+  v AS (SELECT *, list_position(['low', 'medium', 'high'], k) AS a, list_position(['low', 'medium', 'high'], confidence) AS b FROM c)
+  SELECT cs_id, unnest(list_filter([CASE WHEN silent OR r IS DISTINCT FROM reviewability THEN 'reviewability-differs' END, CASE WHEN silent OR h IS DISTINCT FROM cohesion THEN 'cohesion-differs' END,
+    CASE WHEN silent THEN 'integrity-differs' END, CASE WHEN silent OR coalesce(a, 0) = 0 OR a > b THEN 'confidence-above-evidence' END], lambda x: x IS NOT NULL)) AS rule, cs_id::VARCHAR AS item FROM v""")
+def metric_violations(spark, sf):
+    """Claimed metrics and confidence that what is derived doesn't bear out; every eleventh plan claims nothing."""
+    u = adapters.units(spark, sf)
+    e, m = adapters.edges(spark, u), _sliced(u)
+    derived = groups.metrics(u, e, m).join(groups.confidence(e, m), "cs_id")
+    n = F.col("cs_id")
+    claims = derived.where(n % 11 != 0).select(
+        "cs_id", (F.col("reviewability") + F.when(n % 5 == 0, 0.01).otherwise(0.0)).alias("reviewability"), F.when(n % 7 != 0, F.col("cohesion")).alias("cohesion"), "integrity",
+        F.element_at(F.array(*map(F.lit, ("high", "medium", "low", "certain"))), (n % 4 + 1).cast("int")).alias("confidence"),
+    )
+    return validation.metric_rules(claims, derived)
