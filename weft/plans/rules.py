@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from weft.functions import identity, paths
 from weft.operators import changes, checks, edgerules, groups, hunks, reports, schemas, snapshots, trees, validation, verification
 from weft.plans.queries import E, M, U, _sliced, query
-from weft.session import materialize, table
-from weft.sources import adapters, config
+from weft.session import materialize, shared_path, table
+from weft.sources import adapters, config, diffs
 
 
 def _mod(c: str, n: int, plus: int = 0):
@@ -250,8 +250,8 @@ DIFF = """g AS (SELECT cs_id, pos, 'f' || lpad(CAST(pos AS VARCHAR), 6, '0') AS
   CASE WHEN s IN ('R', 'C') THEN '90' END AS score, CASE WHEN bin THEN 0 ELSE added END AS added, CASE WHEN bin THEN 0 ELSE deleted END AS deleted, bin, pos FROM g)"""
 
 
-def _diffs(spark, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Each change-set's units as the two texts of a diff, and their facts."""
+def _records(spark, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Units, and each of them (cs_id, pos, raw, counts) as records of the two forms of a diff."""
     u = adapters.units(spark, sf)
     p, k, zero = F.concat(F.lit("f"), F.lpad(F.col("pos").cast("string"), 6, "0")), _mod("pos", 5), F.lit("0" * 40)
     status = F.element_at(F.array(*map(F.lit, "ADRMC")), (k + 1).cast("int"))
@@ -262,8 +262,14 @@ def _diffs(spark, sf: str) -> tuple[DataFrame, DataFrame]:
     raw = F.concat(head, nul, p, nul, F.when(moved, F.concat(new, nul)).otherwise(""))
     number = lambda c: F.when(binary, "-").otherwise(F.col(c).cast("string"))
     counts = F.concat(F.concat_ws("\t", number("added"), number("deleted"), F.when(moved, "").otherwise(p)), nul, F.when(moved, F.concat(p, nul, new, nul)).otherwise(""))
-    text = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", c.alias("x")))), lambda r: r["x"]), "")
-    return u, u.groupBy("cs_id").agg(text(raw).alias("raw"), text(counts).alias("counts"))
+    return u, u.select("cs_id", "pos", raw.alias("raw"), counts.alias("counts"))
+
+
+def _diffs(spark, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Each change-set's units as the two texts of a diff, and their facts."""
+    u, records = _records(spark, sf)
+    text = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.col(c).alias("x")))), lambda r: r["x"]), "").alias(c)
+    return u, records.groupBy("cs_id").agg(text("raw"), text("counts"))
 
 
 @query(f"WITH {U}, {DIFF} SELECT cs_id, old_path, new_path, old_mode, new_mode, old_oid, new_oid, status, score, added, deleted FROM c")
@@ -272,6 +278,19 @@ def raw_changes(spark, sf):
     return changes.raw_changes(_diffs(spark, sf)[1]).withColumn("score", F.col("score").cast("string"))
 
 
+@query(f"""WITH {U}, {DIFF} SELECT CAST(cs_id % 16 AS VARCHAR) AS cs_id, replace(old_path, 'f', cs_id || '/f') AS old_path, replace(new_path, 'f', cs_id || '/f') AS new_path,
+  old_mode, new_mode, old_oid, new_oid, status, score, added, deleted, true AS safe FROM c""")
+def changes_of_files(spark, sf):
+    """Changes read from files, sixteen change-sets with the paths of all; the writer puts the last NUL behind each record."""
+    own = F.concat(F.lit("$1$2"), F.col("cs_id").cast("string"), F.lit("/f"))
+    inside = lambda c: F.regexp_replace(c, F.lit("([\t\\x00])(n/)?f"), own)
+    records = _records(spark, sf)[1].select(_mod("cs_id", 16).alias("cs_id"), inside("raw").alias("raw"), inside("counts").alias("counts"))
+    folders = {form: shared_path(spark, f"diff-{form}") for form in ("raw", "counts")}
+    for form, folder in folders.items():
+        records.select("cs_id", F.expr(f"left({form}, length({form}) - 1)")).write.partitionBy("cs_id").option("lineSep", "\0").text(folder)
+    return diffs.read_changes(spark, **folders).withColumn("score", F.col("score").cast("string"))
+
+
 @query(f"""WITH {U}, {DIFF} SELECT cs_id, old_path, new_path, CASE WHEN status = 'A' THEN 0 WHEN pos % 10 = 3 THEN -1 ELSE pos END AS old_size, CASE WHEN status = 'D' THEN 0 ELSE 2 * pos END AS new_size,
   status <> 'A' AND pos % 10 = 3 AS missing FROM c""")
 def change_objects(spark, sf):
