@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.functions import identity, paths
-from weft.operators import changes, checks, edgerules, groups, hunks, reports, schemas, snapshots, trees, validation, verification
+from weft.operators import changes, checks, edgerules, groups, hunks, jsonsize, reports, schemas, snapshots, trees, validation, verification
 from weft.plans.queries import E, M, U, _sliced, query
 from weft.session import materialize, shared_path, table
 from weft.sources import adapters, config, diffs
@@ -564,3 +564,18 @@ def flagged_violations(spark, sf):
     even = F.substring_index("src", ":", -1).cast("int") % 2 == 0
     e = adapters.edges(spark, u).withColumns({"kind": F.when(unknown, "unknown").otherwise(F.col("kind")), "requires_together": F.when(even, True).when(F.length("dst") % 2 == 0, False)})
     return groups.violations(e, u.select("cs_id", "unit_id", (F.pmod(F.col("pos") - 1, F.lit(5)) + 1).alias("grp")))
+
+
+@query("""WITH d AS (SELECT doc_id, doc_id % 70 + 1 AS k, doc_id % 13 = 0 AS broken, replace(CAST(doc_id / 4 AS VARCHAR) || '|', '.0|', '|') AS rate, to_json(coalesce(text, ''))::VARCHAR AS body FROM documents),
+  x AS (SELECT doc_id, k, broken, '{' || chr(10) || '  "id": ' || doc_id || ',' || chr(10) || '  "body": ' || body || ',' || chr(10) || '  "rate": ' || replace(rate, '|', '') || ',' || chr(10) || '  "deep": '
+    || array_to_string(list_transform(range(1, k), lambda j: '[' || chr(10) || repeat('  ', j::INT + 1)), '') || '[]' || array_to_string(list_transform(range(1, k), lambda j: chr(10) || repeat('  ', (k - j)::INT) || ']'), '') || chr(10) || '}' || chr(10) AS written FROM d)
+  SELECT doc_id, CASE WHEN broken THEN -1 ELSE k::INT END AS depth, CASE WHEN broken THEN -1 ELSE strlen(written)::BIGINT END AS bytes,
+    CASE WHEN broken THEN 'json' WHEN k > 64 THEN 'depth' WHEN strlen(written) > 20000 THEN 'size' END AS refused FROM x""")
+def record_sizes(spark, sf):
+    """Sizes and depths of documents as JSON records, held without blanks and with slashes escaped: lists in lists, too deep in some; every thirteenth is broken."""
+    k = (_mod("doc_id", 70) + 1).cast("int")
+    body = F.replace(F.expr("substring(b, 2, length(b) - 2)"), F.lit("/"), F.lit("\\/"))
+    record = F.concat(F.lit('{"id":'), F.col("doc_id").cast("string"), F.lit(',"body":'), body, F.lit(',"rate":'), (F.col("doc_id") / 4).cast("string"), F.lit(',"deep":'), F.repeat(F.lit("["), k), F.repeat(F.lit("]"), k), F.when(_mod("doc_id", 13) != 0, "}").otherwise(""))
+    rows = table(spark, sf, "documents").select("doc_id", F.to_json(F.array(F.coalesce("text", F.lit("")))).alias("b"))
+    found = jsonsize.json_sizes(rows.select("doc_id", record.alias("record")), "record", max_bytes=20000)
+    return found.select("doc_id", F.coalesce("depth", F.lit(-1)).alias("depth"), F.coalesce("bytes", F.lit(-1).cast("bigint")).alias("bytes"), "refused")
