@@ -320,3 +320,16 @@ def test_schema_faults(spark):
     assert got == {i: faults for i, (_, faults) in enumerate(cases)}
     with pytest.raises(ValueError):
         schemas.schema_faults(rows, "record", {"$ref": "#/$defs/x", "$defs": {"x": {"$ref": "#/$defs/x"}}})
+    with pytest.raises(ValueError, match="no schema is given"):
+        schemas.schema_faults(rows, "record", {"$ref": "other.json#/a"})
+    with pytest.raises(ValueError, match="itself"):
+        schemas.schema_faults(rows, "record", {"$ref": "a.json"}, {"a.json": {"$ref": "b.json"}, "b.json": {"$ref": "a.json#"}})
+
+
+def test_schema_that_refers_to_another(spark):
+    settings = {"$defs": {"name": {"type": "string", "maxLength": 3}}, "type": "object", "properties": {"areas": {"items": {"$ref": "#/$defs/name"}}}, "additionalProperties": False}
+    plan = {"$defs": {"name": {"type": "integer"}}, "properties": {"config": {"$ref": "settings.json"}, "title": {"$ref": "settings.json#/$defs/name"}, "count": {"$ref": "#/$defs/name"}}}
+    texts = ['{"config": {"areas": ["a", "long", 5], "x": 1}, "title": "long", "count": "a"}', '{"config": {"areas": []}, "title": "abc", "count": 1}', '{"config": 7}']
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, record string")
+    got = sorted((r.id, r.path, r.reason) for r in schemas.schema_faults(rows, "record", plan, {"settings.json": settings}).collect())
+    assert got == [(0, "config.areas[1]", "maxLength"), (0, "config.areas[2]", "type"), (0, "config.x", "additionalProperties"), (0, "count", "type"), (0, "title", "maxLength"), (2, "config", "type")]

@@ -1,7 +1,7 @@
 """JSON texts against a JSON schema, in column functions only: every fault as a row, none for a valid text.
 
 Keywords: type, const, enum, minimum, maximum, minLength, maxLength, pattern, minItems, maxItems, uniqueItems, items, required, properties,
-additionalProperties, and $ref to a place of the same schema, which may not lead back to itself. Lengths count UTF-16 units.
+additionalProperties, and $ref to a place of the same schema or of another given one, which may not lead back to itself. Lengths count UTF-16 units.
 """
 
 from __future__ import annotations
@@ -51,16 +51,26 @@ def _pattern(text: str) -> str:
     return re.sub(r"\\.|\[(?:\\.|[^\]])*\]|\$", lambda m: r"\z" if m[0] == "$" else m[0], text)
 
 
-def _resolved(rule: dict, root: dict, seen: tuple = ()) -> list[dict]:
-    """A rule and all that it refers to."""
-    if "$ref" not in rule:
-        return [rule]
-    if rule["$ref"] in seen:
-        raise ValueError(f"schema refers to itself: {rule['$ref']}")
-    target = root
-    for part in rule["$ref"].removeprefix("#").strip("/").split("/"):
-        target = target[part.replace("~1", "/").replace("~0", "~")]
-    return [rule, *_resolved(target, root, (*seen, rule["$ref"]))]
+class _Schemas:
+    """The schema that references without a name mean, and the others by name."""
+
+    def __init__(self, own: dict, others: dict[str, dict]):
+        self.own, self.others = own, others
+
+    def resolved(self, rule: dict, seen: tuple = ()) -> list[tuple[dict, _Schemas]]:
+        """A rule and all that it refers to, each with the schemas that its own references mean."""
+        if "$ref" not in rule:
+            return [(rule, self)]
+        name, _, place = rule["$ref"].partition("#")
+        if name and name not in self.others:
+            raise ValueError(f"no schema is given for {rule['$ref']}")
+        root = _Schemas(self.others[name], self.others) if name else self
+        if (id(root.own), place) in seen:
+            raise ValueError(f"schema refers to itself: {rule['$ref']}")
+        target = root.own
+        for part in place.strip("/").split("/") if place.strip("/") else []:
+            target = target[part.replace("~1", "/").replace("~0", "~")]
+        return [(rule, self), *root.resolved(target, (*seen, (id(root.own), place)))]
 
 
 def _equals(value: Column, kind: Column, fixed) -> Column:
@@ -95,7 +105,7 @@ def _scalars(value: Column, kind: Column, rule: dict, at: Column) -> list[Column
     return out + [_found((kind == of) & test(rule[name]), at, name) for name, (of, test) in tests.items() if name in rule]
 
 
-def _items(items: Column, rule: dict, at: Column, root: dict) -> list[Column]:
+def _items(items: Column, rule: dict, at: Column, root: _Schemas) -> list[Column]:
     place = lambda i: F.concat(at, F.lit("["), i.cast("string"), F.lit("]"))
     out = []
     if "minItems" in rule:
@@ -110,7 +120,7 @@ def _items(items: Column, rule: dict, at: Column, root: dict) -> list[Column]:
     return out
 
 
-def _members(members: Column, rule: dict, at: Column, root: dict) -> list[Column]:
+def _members(members: Column, rule: dict, at: Column, root: _Schemas) -> list[Column]:
     known = rule.get("properties", {})
     out = [_found(F.try_element_at(members, F.lit(k)).isNull(), _member(at, F.lit(k)), "required") for k in rule.get("required", [])]
     for key, own in known.items():
@@ -129,26 +139,27 @@ def _all(parts, value: Column, **of) -> Column:
     return F.concat(F.array().cast(_NONE), *parts(value, **of))
 
 
-def _faults(value: Column, rule: dict, at: Column, root: dict) -> Column:
+def _faults(value: Column, rule: dict, at: Column, root: _Schemas) -> Column:
     def of_kind(kind: Column) -> Column:
         out = [F.array().cast(_NONE)]
-        for own in _resolved(rule, root):
+        for own, of_own in root.resolved(rule):
             out += _scalars(value, kind, own, at)
             if {"items", "minItems", "maxItems", "uniqueItems"} & own.keys():
                 items = F.when(kind == "array", F.try_variant_get(value, "$", "array<variant>"))
-                out.append(_where_there(items, partial(_all, _items, rule=own, at=at, root=root)))
+                out.append(_where_there(items, partial(_all, _items, rule=own, at=at, root=of_own)))
             if {"properties", "required", "additionalProperties"} & own.keys():
                 members = F.when(kind == "object", F.try_variant_get(value, "$", "map<string,variant>"))
-                out.append(_where_there(members, partial(_all, _members, rule=own, at=at, root=root)))
+                out.append(_where_there(members, partial(_all, _members, rule=own, at=at, root=of_own)))
         return F.concat(*out)
 
     return _let(_kind(value), of_kind)
 
 
-def schema_faults(rows: DataFrame, text: str, schema: dict) -> DataFrame:
-    """(all other columns, path, reason: the keyword that is violated) for every fault of a row's JSON ``text``. A null or broken text, or one that repeats a key, has the one reason 'json'."""
+def schema_faults(rows: DataFrame, text: str, schema: dict, others: dict[str, dict] | None = None) -> DataFrame:
+    """(all other columns, path, reason: the keyword that is violated) for every fault of a row's JSON ``text``. A null or broken text, or one that repeats a key, has the one reason 'json'.
+    ``others``: schemas that a $ref names before its #; their own references without a name are to places of themselves."""
     key = [c for c in rows.columns if c != text]
     value = rows.select(*key, F.try_parse_json(text).alias("_value"))
     broken = F.array(F.struct(F.lit("$").alias("path"), F.lit("json").alias("reason")))
-    found = F.when(F.col("_value").isNull(), broken).otherwise(_faults(F.col("_value"), schema, F.lit(""), schema))
+    found = F.when(F.col("_value").isNull(), broken).otherwise(_faults(F.col("_value"), schema, F.lit(""), _Schemas(schema, others or {})))
     return value.select(*key, F.explode(found).alias("_x")).select(*key, "_x.path", "_x.reason")

@@ -14,7 +14,7 @@ from weft.functions import identity, paths
 from weft.operators import changes, checks, edgerules, groups, hunks, jsonsize, reports, schemas, snapshots, trees, validation, verification
 from weft.plans.queries import E, M, U, _sliced, query
 from weft.session import materialize, shared_path, table
-from weft.sources import adapters, config, diffs
+from weft.sources import adapters, config, diffs, objects
 
 
 def _mod(c: str, n: int, plus: int = 0):
@@ -579,3 +579,13 @@ def record_sizes(spark, sf):
     rows = table(spark, sf, "documents").select("doc_id", F.to_json(F.array(F.coalesce("text", F.lit("")))).alias("b"))
     found = jsonsize.json_sizes(rows.select("doc_id", record.alias("record")), "record", max_bytes=20000)
     return found.select("doc_id", F.coalesce("depth", F.lit(-1)).alias("depth"), F.coalesce("bytes", F.lit(-1).cast("bigint")).alias("bytes"), "refused")
+
+
+@query("""SELECT sha1(concat('blob ', strlen(x), chr(0), x)) AS oid, 'blob' AS type, strlen(x)::BIGINT AS size FROM (SELECT DISTINCT coalesce(text, '') AS x FROM documents) t""")
+def stored_objects(spark, sf):
+    """Documents' texts as objects in files, added in two parts that share some, read back and checked against their ids."""
+    folder = shared_path(spark, "objects")
+    blobs = table(spark, sf, "documents").select("doc_id", F.lit("blob").alias("type"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
+    for part in (_mod("doc_id", 3) != 0, _mod("doc_id", 3) != 1):
+        objects.write_objects(blobs.where(part), folder)
+    return objects.read_objects(spark, folder).select("oid", "type", F.octet_length("content").cast("bigint").alias("size"))
