@@ -171,3 +171,45 @@ def test_rebuilt_and_selection_of_nothing(spark):
     files, hunks_ = empty("cs_id int, file_id string, is_atomic boolean, new_path string, new_oid string, new_mode string"), empty("cs_id int, file_id string, hunk_id string")
     found = trees.selection_faults(files, hunks_, empty("cs_id int, unit_id string, file_id string"), empty("cs_id int, unit_id string, hunk_id string"), spark.createDataFrame([(1, "u"), (1, None)], "cs_id int, unit_id string"))
     assert sorted((r["rule"], r["item"] or "") for r in found.collect()) == [("unit-unknown", ""), ("unit-unknown", "u")]
+
+
+def test_edges_and_their_groups_stay_where_their_change_set_is(spark):
+    """Pairs by brute force in small and large change-sets, with nulls and repeated places; no row is dealt out again for edges, their groups and their sums."""
+    import random
+    from itertools import combinations
+
+    from weft.operators import groups
+    from weft.session import bucketed, ship_package
+    from weft.sources import adapters
+
+    ship_package(spark)
+    rng, rows = random.Random(5), []
+    for cs, n in ((1, 1), (2, 40), (3, 200), (4, 230)):
+        rows += [(cs, f"{rng.randrange(60):012d}:{i}", rng.randrange(40), rng.choice([None, *range(9)]), rng.choice([None, *"abcdefg"]), i) for i in range(n)]
+    u = bucketed(spark.createDataFrame(rows, "cs_id bigint, unit_id string, file bigint, package bigint, area string, pos bigint"), "units", "cs_id")
+    m = u.select("cs_id", "unit_id", (F.col("pos") % 5).alias("grp"))
+    want = set()
+    for cs in (1, 2, 3, 4):
+        own = sorted(r for r in rows if r[0] == cs)
+        beside = set()
+        for place in (3, 4):
+            for at in {r[place] for r in own} - {None}:
+                of = sorted((r for r in own if r[place] == at), key=lambda r: (r[2], r[1]))
+                beside |= {tuple(sorted((a[1], b[1]))) for a, b in zip(of, of[1:], strict=False)}
+        for a, b in combinations(own, 2):
+            weight = 20 if a[2] == b[2] else 30 if a[4] and a[4] == b[4] else 5 if a[3] is not None and a[3] == b[3] else None
+            if weight and (len(own) <= 200 or weight == 20 or (a[1], b[1]) in beside):
+                want.add((cs, a[1], b[1], "affinity", weight))
+        for i, b in enumerate(own):
+            want |= {(cs, a[1], b[1], "before", 95) for a in own[max(i - 1, 0) : i] if a[1][:12] == b[1][:12]}
+            want |= {(cs, a[1], b[1], "must_with", 100) for a in [a for a in own[:i] if a[2] == b[2]][-1:]}
+    found = adapters.edges(spark, u)
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for rows in (found, groups.edge_groups(found, m), groups.violations(found, m), groups.metrics(u.selectExpr("*", "1 added", "1 deleted", "false is_test", "false is_generated"), found, m)):
+            plan = rows._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange" not in plan, plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

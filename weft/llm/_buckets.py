@@ -1,19 +1,5 @@
 """Tables written in buckets, so that what comes from elsewhere meets their rows where they are."""
 
-from __future__ import annotations
+from weft.session import bucketed
 
-import uuid
-
-from pyspark.sql import DataFrame
-
-from weft.session import shared_path
-
-
-def bucketed(rows: DataFrame, name: str, key: str) -> DataFrame:
-    """``rows`` written to the shared folder, dealt by ``key``, and read back: joins and groupings by ``key`` don't shuffle them."""
-    spark, table = rows.sparkSession, f"weft_{name}_{uuid.uuid4().hex}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows.write.bucketBy(buckets, key).option("path", shared_path(spark, name)).option("compression", "zstd").saveAsTable(table)
-    found = spark.table(table)
-    spark.sql(f"DROP TABLE {table}")  # the files stay, and the plan above knows them
-    return found
+__all__ = ["bucketed"]
