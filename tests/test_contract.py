@@ -213,3 +213,10 @@ def test_edges_and_their_groups_stay_where_their_change_set_is(spark):
             assert "Exchange" not in plan, plan
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_merged_hunks_of_any_ids(spark):
+    """The unit is a hunk, the least one, also where ids come behind the characters of other names; hunks that meet none stand for themselves."""
+    rows = [(1, "f", "old", "é1", 1, 4), (1, "f", "old", "é2", 4, 5), (1, "f", "new", "é2", 7, 9), (1, "f", "new", "~3", 9, 9), (1, "g", "old", "é4", 1, 4), (1, "g", "new", "é4", 6, 6)]
+    found = hunks.merged_hunks(spark.createDataFrame(rows, "cs_id bigint, file string, side string, hunk_id string, start bigint, end bigint"))
+    assert sorted(tuple(r) for r in found.collect()) == sorted([("é1", "~3"), ("é2", "~3"), ("~3", "~3"), ("é4", "é4")])
