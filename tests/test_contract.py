@@ -220,3 +220,23 @@ def test_merged_hunks_of_any_ids(spark):
     rows = [(1, "f", "old", "é1", 1, 4), (1, "f", "old", "é2", 4, 5), (1, "f", "new", "é2", 7, 9), (1, "f", "new", "~3", 9, 9), (1, "g", "old", "é4", 1, 4), (1, "g", "new", "é4", 6, 6)]
     found = hunks.merged_hunks(spark.createDataFrame(rows, "cs_id bigint, file string, side string, hunk_id string, start bigint, end bigint"))
     assert sorted(tuple(r) for r in found.collect()) == sorted([("é1", "~3"), ("é2", "~3"), ("~3", "~3"), ("é4", "é4")])
+
+
+def test_orders_are_checked_where_their_change_set_is(spark):
+    """Components, arcs and places lie in buckets by change-set, so their joins deal nothing out again."""
+    from weft.operators import planner
+    from weft.session import ship_package
+
+    ship_package(spark)
+    rows = [(cs, f"u{i}", f"f{i % 3}", f"p{i % 2}", "a", 1, 1, False, False) for cs in (1, 2) for i in range(6)]
+    u = planner.kept(spark.createDataFrame(rows, "cs_id bigint, unit_id string, file string, package string, area string, added bigint, deleted bigint, is_test boolean, is_generated boolean"), "units", dealt=False)
+    e = planner.kept(spark.createDataFrame([(1, "u5", "u0", "before", 95), (2, "u1", "u2", "must_with", 100)], "cs_id bigint, src string, dst string, kind string, weight int"), "edges", dealt=False)
+    members = planner.kept(planner.condensed(u, e), "members", dealt=False)
+    components, before = planner.kept(planner.component_rows(u, members), "components"), planner.kept(planner.arcs(e, members), "arcs")
+    faults = planner.order_faults(components, before, planner.kept(planner.placed(planner.orders(components, before)), "places"))
+    assert {(r.cs_id, r.n, r.backward, r.unforced) for r in faults.collect()} == {(1, 6, 0, 0), (2, 5, 0, 0)}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "Exchange" not in faults.select("*")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
