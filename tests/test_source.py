@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weft.operators import analysis, hunks, intervals, source
+from weft.session import SETTINGS
 
 FILES = "cs_id int, side string, path string, content string"
 
@@ -203,3 +204,23 @@ def test_one_file_of_very_many_hunks_and_nodes(spark):
     wrong = found.where(F.col("node_id") != F.when(F.col("hunk_id") % 8 <= 6, F.col("hunk_id")).otherwise(n + F.floor(F.col("hunk_id") / 100)))
     assert (found.count(), wrong.count()) == (n - sum(1 for i in range(n) if i % 8 == 7 and (i % 100) == 99), 0)
     assert time.time() - began < 120
+
+
+def test_tables_of_a_text_stay_where_their_file_is(spark, monkeypatch):
+    """No table of a text is dealt out behind its tokens, and buckets follow the size of the input."""
+    monkeypatch.setattr(source, "BUCKET_CHARS", 2 * len(TEXT))
+    rows = [(i % 2, side, f"{i}.ts", TEXT) for i in range(12) for side in ("old", "new")]
+    conf = SETTINGS | {"spark.sql.autoBroadcastJoinThreshold": "-1"}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        text = source.Source(spark.createDataFrame(rows, FILES))
+        assert text.buckets == 12
+        for found in (text.declarations(), text.shapes(), text.references(), text.uses(), text.bindings(), text.tokens):
+            plan = found._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange" not in plan, plan
+        one = source.Source(spark.createDataFrame(rows[:1], FILES))
+        assert text.references().count() == 24 * one.references().count() > 0
+    finally:
+        for k in conf:
+            spark.conf.unset(k)

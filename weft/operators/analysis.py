@@ -49,7 +49,7 @@ class UnitFacts:
     def __init__(self, hunks: DataFrame, source: Source) -> None:
         self.source = source
         nodes = hunk_nodes(hunks, source).select(*KEY, "unit_id", F.col("start").alias("node"), (F.col("stop") - 1).alias("node_end")).distinct()
-        self.nodes = materialize(nodes, "unit-nodes")
+        self.nodes = source.kept(nodes, "unit_nodes")
         self.tree = source.files.select("cs_id", "side", "path").distinct()
 
     def _inside(self, places: DataFrame) -> DataFrame:
@@ -58,10 +58,10 @@ class UnitFacts:
     def declared(self) -> DataFrame:
         """cs_id, unit_id, symbol, side, signature, shape: declarations within a unit's nodes or around them, on either side; those of one key are one."""
         d = self.source.declarations().select(*KEY, "key", "start", (F.col("stop") - 1).alias("stop"))
-        touched = intervals.nested_either_way(self.nodes, d, KEY, ("node", "node_end"), ("start", "stop")).select("cs_id", "unit_id", "key").distinct()
-        rows = touched.join(self.source.shapes(), ["cs_id", "key"])  # what is touched on one side counts on both
+        touched = intervals.nested_either_way(self.nodes, d, KEY, ("node", "node_end"), ("start", "stop")).select("cs_id", "path", "unit_id", "key").distinct()
+        rows = touched.join(self.source.shapes(), ["cs_id", "path", "key"])  # what is touched on one side counts on both
         every = F.array_sort(F.collect_list(F.struct("at", "signature", "shape")), lambda a, b: a["at"] - b["at"])
-        one = rows.groupBy("cs_id", "unit_id", F.col("key").alias("symbol"), "side").agg(every.alias("_s"))
+        one = rows.groupBy("cs_id", "path", "unit_id", F.col("key").alias("symbol"), "side").agg(every.alias("_s"))
         single = F.size("_s") == 1
         return one.select("cs_id", "unit_id", "symbol", "side", F.array_join(F.transform("_s", lambda s: s["signature"]), "\n").alias("signature"), F.when(single, F.get("_s", F.lit(0))["shape"]).alias("shape"))
 

@@ -27,9 +27,13 @@ from pyspark.sql import functions as F
 
 from weft.operators import facts
 from weft.operators.edgerules import compatible_functions, compatible_objects
-from weft.session import materialize
+from weft.session import bucketed
 
 KEY = ["cs_id", "side", "path"]
+#: What the tables of a text are dealt by: both sides of a file lie together.
+PLACE = ["cs_id", "path"]
+#: Characters of text in a bucket, about 300,000 tokens: what the sorts of a task hold stays the same at any size of the input.
+BUCKET_CHARS = 1 << 20
 TOP = -1
 
 # Words of the language.
@@ -120,24 +124,29 @@ def statements(found: DataFrame) -> DataFrame:
     rows = rows.select("*", F.explode(F.array_compact(level)).alias("_l")).select("*", "_l.level", "_l.mark").drop("_l")
     at_level = W.partitionBy(*KEY, "level").orderBy("at", "mark")
     around = F.last(F.when(F.col("mark"), F.struct("at", "text")), ignorenulls=True).over(at_level.rowsBetween(W.unboundedPreceding, 0))
-    match = F.first(F.when(F.col("closes"), F.col("at")), ignorenulls=True).over(at_level.rowsBetween(1, W.unboundedFollowing))
+    match = F.lead(F.when(F.col("closes"), F.col("at"))).over(at_level)  # all between lies deeper
     rows = rows.withColumns({"_around": F.when(F.col("level") > 0, around), "match": F.when(F.col("opens") & ~F.col("mark"), match)}).where("NOT mark")
     rows = rows.withColumns({"inside": F.coalesce("_around.at", F.lit(TOP)), "around": F.col("_around.text")}).drop("_around", "level", "mark")
 
+    # statements, pieces and bodies of arrows follow from running sums and last places over one order, so that tokens are sorted once for all of them
     beside = W.partitionBy(*KEY, "inside").orderBy("at")
-    rows = rows.withColumns({"prev": F.lag("text").over(beside), "next": F.lead("text").over(beside), "_prev": F.lag(F.struct("line", "stop", "kind")).over(beside), "_semis": F.sum((F.col("text") == ";").cast("int")).over(beside.rowsBetween(W.unboundedPreceding, 0))})
+    to_here, before = beside.rowsBetween(W.unboundedPreceding, 0), beside.rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumns({"prev": F.lag("text").over(beside), "next": F.lead("text").over(beside), "_prev": F.lag(F.struct("line", "stop", "kind")).over(beside)})
     adjoins = F.col("start") == F.col("_prev.stop")  # an angle bracket of types stands next to what it belongs to
     angle = F.when((F.col("text") == "<") & adjoins & (F.col("_prev.kind") == "word"), 1).when((F.col("text") == ">") & adjoins, -1).otherwise(0)
-    rows = rows.withColumn("_angle", F.sum(angle).over(W.partitionBy(*KEY, "inside", "_semis").orderBy("at").rowsBetween(W.unboundedPreceding, 0)))
+    rows = rows.withColumn("_open", F.sum(angle).over(to_here))
+    since = F.last(F.when(F.col("text") == ";", F.col("_open")), ignorenulls=True).over(to_here)  # what is open counts from the last semicolon on
     newline = (F.col("line") > F.col("_prev.line")) & ~(F.col("prev").isin(OPEN_END) & F.col("_prev.kind").isin("punct", "word"))
     begins = F.coalesce((F.col("prev") == ";") | (((F.col("prev") == "}") | newline) & ~F.col("text").isin(GOES_ON)), F.lit(False)) & (F.col("around").isNull() | (F.col("around") == "{"))
-    rows = rows.withColumn("item", F.sum(begins.cast("int")).over(beside.rowsBetween(W.unboundedPreceding, 0)))
-    parts = W.partitionBy(*KEY, "inside", "item").orderBy("at")
+    rows = rows.withColumns({"_angle": F.col("_open") - F.coalesce(since, F.lit(0)), "_begins": begins})
     comma = mark & (F.col("text") == ",") & (F.col("_angle") <= 0)
-    rows = rows.withColumn("piece", F.coalesce(F.sum(comma.cast("int")).over(parts.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    rows = rows.withColumns({"item": F.sum(F.col("_begins").cast("int")).over(to_here), "_commas": F.coalesce(F.sum(comma.cast("int")).over(before), F.lit(0)), "_cut": F.col("_begins") | F.coalesce(F.lag(comma).over(beside), F.lit(False))})
+    of_item = F.last(F.when(F.col("_begins"), F.col("_commas")), ignorenulls=True).over(to_here)
+    of_piece = F.last(F.when(F.col("_cut"), F.col("at")), ignorenulls=True).over(to_here)
     arrow = F.when((F.col("text") == "=>") & F.coalesce(F.col("next") != "{", F.lit(True)), F.col("at"))
-    own = F.last(arrow, ignorenulls=True).over(W.partitionBy(*KEY, "inside", "item", "piece").orderBy("at").rowsBetween(W.unboundedPreceding, -1))
-    return rows.withColumn("scope", F.coalesce(own, "inside")).drop("_prev", "_semis", "_angle")
+    rows = rows.withColumns({"piece": F.col("_commas") - F.coalesce(of_item, F.lit(0)), "_own": F.last(arrow, ignorenulls=True).over(before), "_from": F.coalesce(of_piece, F.lit(TOP))})
+    own = F.when(F.col("_own") >= F.col("_from"), F.col("_own"))
+    return rows.withColumn("scope", F.coalesce(own, "inside")).drop("_prev", "_open", "_angle", "_begins", "_commas", "_cut", "_own", "_from")
 
 
 def _forms(rows: DataFrame, *by: str) -> DataFrame:
@@ -182,20 +191,40 @@ class Source:
     """The tables of some files' texts. Each is written once to the shared folder, as the later ones read it many times."""
 
     def __init__(self, files: DataFrame) -> None:
-        self.files = files.select(*KEY, "content")
-        self.tokens = materialize(statements(tokens(self.files)), "source-tokens")
+        files = files.select(*KEY, "content")
+        chars = files.agg(F.sum(F.length("content"))).first()[0] or 0
+        self.buckets = max(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-chars // BUCKET_CHARS))
+        dealt = files.repartition(self.buckets, *PLACE)
+        self.files = self.kept(dealt, "files")
+        self.tokens = self.kept(statements(self.kept(tokens(dealt), "read")), "tokens")
         items = _forms(self.tokens, "item")
         head = F.first("form").over(W.partitionBy(*KEY, "inside", "item").orderBy("piece").rowsBetween(W.unboundedPreceding, 0))
-        self.pieces = materialize(_forms(self.tokens, "item", "piece").withColumn("head", head).withColumn("parts", _without_end(F.col("parts"))), "source-pieces")
-        self.items = materialize(items.where("around IS NULL OR around = '{'").withColumn("parts", _without_end(F.col("parts"))), "source-items")
-        self.chains = materialize(_chains(self.tokens), "source-chains")
-        self.bodies = materialize(self._bodies(), "source-bodies")
-        self.declared = materialize(self._declared(), "source-declared")
-        self.keyed = materialize(self._keyed(), "source-keyed")
-        self.bound = materialize(self._bound(), "source-bound")
+        self.pieces = self.kept(_forms(self.tokens, "item", "piece").withColumn("head", head).withColumn("parts", _without_end(F.col("parts"))), "pieces")
+        self.items = self.kept(items.where("around IS NULL OR around = '{'").withColumn("parts", _without_end(F.col("parts"))), "items")
+        self.chains = self._chains()
+        self.bodies = self.kept(self._bodies(), "bodies")
+        self.declared = self.kept(self._declared(), "declared")
+        self.keyed = self.kept(self._keyed(), "keyed")
+        self.bound = self.kept(self._bound(), "bound")
+
+    def kept(self, rows: DataFrame, name: str) -> DataFrame:
+        """``rows`` written once, dealt as all tables of these texts are, so that joins of them and windows over them leave rows where they are."""
+        return bucketed(rows, f"source_{name}", PLACE, self.buckets)
 
     # -- brackets
 
+    def _chains(self) -> DataFrame:
+        """(scope, chain): each scope followed by all those around it, innermost first; the top is -1. Each round doubles how far chains reach."""
+        rows = self.tokens
+        arrow = (F.col("text") == "=>") & (F.col("kind") == "punct") & F.coalesce(F.col("next") != "{", F.lit(True))
+        every = rows.where(F.col("opens") | arrow).select(*KEY, F.col("at").alias("scope"), F.array(F.col("at"), "scope").alias("chain"))
+        found = self.kept(every.unionByName(rows.select(*KEY).distinct().select(*KEY, F.lit(TOP).alias("scope"), F.array(F.lit(TOP)).alias("chain"))), "chains")
+        while found.where(F.element_at("chain", -1) != TOP).limit(1).count():
+            upper = found.select(*KEY, F.col("scope").alias("last"), F.col("chain").alias("more"))
+            found = found.withColumn("last", F.element_at("chain", -1)).join(upper, [*KEY, "last"])
+            found = self.kept(found.select(*KEY, "scope", F.concat("chain", F.expr("slice(more, 2, size(more))")).alias("chain")), "chains")
+        return found
+
     def _bodies(self) -> DataFrame:
         """Every ``{`` with the kind of what it holds: block, class, interface, enum, type or object."""
         braces = self.tokens.where("opens AND text = '{'").select(*KEY, "at", "inside", "item", "piece", "prev", "around")
@@ -318,8 +347,8 @@ class Source:
         kept = F.coalesce(text("type_from", "type_to"), F.lit("inferred"))
         other = shape("other", text=F.concat(modifiers, F.lit("|"), F.when(F.col("kind").isin("variable", "property"), F.concat(kept, F.when(F.col("optional"), "?").otherwise("")))
                                              .when(F.col("kind") == "type", text("alias_from", "whole_to")).otherwise(text("whole_from", "whole_to"))))
-        d = materialize(d.select(*KEY, "inside", "at", "key", "name", "kind", "line", "body", "member", F.coalesce("optional", F.lit(False)).alias("optional"), modifiers.alias("modifiers"), generics.alias("generics"),
-                                 F.coalesce(text("heir_from", "heir_to"), F.lit("")).alias("heritage"), F.when(F.col("calls"), function).when(F.col("bare") & (F.col("kind") == "variable"), bare).otherwise(other).alias("own")), "source-shapes")
+        d = self.kept(d.select(*KEY, "inside", "at", "key", "name", "kind", "line", "body", "member", F.coalesce("optional", F.lit(False)).alias("optional"), modifiers.alias("modifiers"), generics.alias("generics"),
+                                 F.coalesce(text("heir_from", "heir_to"), F.lit("")).alias("heritage"), F.when(F.col("calls"), function).when(F.col("bare") & (F.col("kind") == "variable"), bare).otherwise(other).alias("own")), "shapes")
         entry = F.struct("name", F.struct(F.to_json("own").alias("signature"), "optional").alias("value"))
         last = d.where("member").groupBy(*KEY, "inside", "name").agg(F.max_by(entry, "at").alias("entry"))
         held = last.groupBy(*KEY, F.col("inside").alias("body")).agg(F.map_from_entries(F.array_sort(F.collect_list("entry"))).alias("members"))
@@ -413,9 +442,10 @@ class Source:
         rows = rows.where(F.col("kind") == "word").where(~F.coalesce(F.col("prev").isin(".", "?."), F.lit(False)) & ~F.col("text").isin(KEYWORDS) & ~F.col("text").rlike("^[#@]"))
         rows = rows.join(self.bodies.select(*KEY, F.col("at").alias("inside"), "holds"), [*KEY, "inside"], "left")
         named = (F.coalesce("holds", F.lit("block")) != "block") & F.coalesce(F.col("next").isin(":"), F.lit(False)) & (F.col("prev").isNull() | F.col("prev").isin(",", ";"))
-        bound = self.declared.select(*KEY, "at").unionByName(self.bindings().where("at IS NOT NULL").select(*KEY, "at")).distinct()
         imported = self.items.where("form LIKE 'import %' AND form NOT LIKE 'import ( )%'").select(*KEY, "inside", "item").withColumn("import", F.lit(True))
-        rows = rows.join(imported, [*KEY, "inside", "item"], "left").where("import IS NULL").where(~named).join(bound, [*KEY, "at"], "left_anti")
+        rows = rows.join(imported, [*KEY, "inside", "item"], "left").where("import IS NULL").where(~named)
+        for bound in (self.declared, self.bindings().where("at IS NOT NULL")):
+            rows = rows.join(bound.select(*KEY, "at"), [*KEY, "at"], "left_anti")
         listed = self.tokens.where("opens AND text = '{'").select(*KEY, F.col("at").alias("inside"), "item", F.col("inside").alias("_inside")).join(imported.select(*KEY, F.col("inside").alias("_inside"), "item"), [*KEY, "_inside", "item"])
         return rows.join(listed.select(*KEY, "inside"), [*KEY, "inside"], "left_anti").select(*KEY, "at", "start", "line", F.col("text").alias("name"), "scope", "property")
 
@@ -423,9 +453,8 @@ class Source:
         """at, start, line, name and what the innermost scope that binds the name says: key, or module and imported (of a whole module the property named). Names bound nowhere, and parameters, have no row."""
         chain = self.chains.select(*KEY, "scope", F.posexplode("chain").alias("far", "upper"))
         binds = self.bindings().select(*KEY, F.col("scope").alias("upper"), "name", "key", "module", "imported")
-        hits = self.uses().join(chain, [*KEY, "scope"]).join(binds, [*KEY, "upper", "name"])
-        nearest = hits.groupBy(*KEY, "at").agg(F.min("far").alias("far"))
-        found = hits.join(nearest, [*KEY, "at", "far"])
+        hits = self.kept(self.uses(), "uses").join(chain, [*KEY, "scope"]).join(binds, [*KEY, "upper", "name"])
+        found = hits.withColumn("_nearest", F.min("far").over(W.partitionBy(*KEY, "at"))).where("far = _nearest")
         return found.where("key IS NOT NULL OR module IS NOT NULL").select(*KEY, "at", "start", "line", "name", "key", "module", F.when(F.col("imported") == "*", F.coalesce("property", "imported")).otherwise(F.col("imported")).alias("imported")).distinct()
 
 
@@ -439,18 +468,6 @@ def _text(content: Column, start: Column, stop: Column) -> Column:
     return F.trim(F.regexp_replace(F.substring(content, start + 1, stop - start), r"\s+", " "))
 
 
-def _chains(rows: DataFrame) -> DataFrame:
-    """(scope, chain): each scope followed by all those around it, innermost first; the top is -1. Each round doubles how far chains reach."""
-    arrow = (F.col("text") == "=>") & (F.col("kind") == "punct") & F.coalesce(F.col("next") != "{", F.lit(True))
-    every = rows.where(F.col("opens") | arrow).select(*KEY, F.col("at").alias("scope"), F.array(F.col("at"), "scope").alias("chain"))
-    found = materialize(every.unionByName(rows.select(*KEY).distinct().select(*KEY, F.lit(TOP).alias("scope"), F.array(F.lit(TOP)).alias("chain"))), "chains")
-    while found.where(F.element_at("chain", -1) != TOP).limit(1).count():
-        upper = found.select(*KEY, F.col("scope").alias("last"), F.col("chain").alias("more"))
-        found = found.withColumn("last", F.element_at("chain", -1)).join(upper, [*KEY, "last"])
-        found = materialize(found.select(*KEY, "scope", F.concat("chain", F.expr("slice(more, 2, size(more))")).alias("chain")), "chains")
-    return found
-
-
 def compatible_shapes(old: Column, new: Column) -> Column:
     """Whether those who use the old shape can use the new one."""
     functions, objects = ((old["kind"] == k) & (new["kind"] == k) for k in ("function", "object"))

@@ -107,21 +107,21 @@ def _shaped(spark, sf: str) -> DataFrame:
   'K,V extends K' AS generics, 'async,export' AS modifiers, list_aggregate(list_transform(range(len(ps)), lambda i: 'p' || i || CASE WHEN ps[i + 1].optional THEN '?' ELSE '' END), 'string_agg', ',') AS members, 'extends A, B' AS heritage FROM p""")
 def source_shapes(spark, sf):
     """Parameters, result, generics and modifiers of functions, and members and heritage of interfaces, from their text."""
-    shapes = source.Source(_shaped(spark, sf)).shapes().select("path", "side", F.substring_index("key", "#", -1).alias("name"), "shape")
+    shapes = source.Source(_shaped(spark, sf)).shapes().select("cs_id", "path", "side", F.substring_index("key", "#", -1).alias("name"), "shape")
     h, i = (shapes.where(F.col("name") == n) for n in ("h", "I"))
     none = lambda c: F.when(c != "", c)
     parameters = F.array_join(F.transform("shape.parameters", lambda p: F.concat(p["type"], F.when(p["optional"], "?").otherwise(""))), " | ")
     members = F.array_join(F.transform(F.array_sort(F.map_entries("shape.members"), lambda a, b: F.when(a["key"] < b["key"], -1).otherwise(1)), lambda m: F.concat(m["key"], F.when(m["value"]["optional"], "?").otherwise(""))), ",")
-    f = h.select("path", "side", none(parameters).alias("parameters"), "shape.result", "shape.generics", "shape.modifiers")
-    return f.join(i.select("path", "side", none(members).alias("members"), "shape.heritage"), ["path", "side"])
+    f = h.select("cs_id", "path", "side", none(parameters).alias("parameters"), "shape.result", "shape.generics", "shape.modifiers")
+    return f.join(i.select("cs_id", "path", "side", none(members).alias("members"), "shape.heritage"), ["cs_id", "path", "side"]).drop("cs_id")
 
 
 @query(f"""WITH {SHAPED}, b AS (SELECT o.path, o.ps AS a, n.ps AS b, o.r = n.r AS same FROM p o JOIN p n ON o.d = n.d AND o.side = 0 AND n.side = 1)
   SELECT path, same AND len(b) >= len(a) AND len(list_filter(b[len(a) + 1:], lambda x: NOT x.optional)) = 0 AS functions, len(b) >= len(a) AND len(list_filter(b[len(a) + 1:], lambda x: NOT x.optional)) = 0 AS objects FROM b""")
 def source_compatibility(spark, sf):
     """Whether those who use a function or an interface can use its new version, from both texts."""
-    shapes = source.Source(_shaped(spark, sf)).shapes().select("path", "side", F.substring_index("key", "#", -1).alias("name"), "shape").where("name IN ('h', 'I')")
-    old, new = (shapes.where(F.col("side") == s).select("path", "name", F.col("shape").alias(s)) for s in ("old", "new"))
-    fits = old.join(new, ["path", "name"]).withColumn("fits", source.compatible_shapes(F.col("old"), F.col("new")))
+    shapes = source.Source(_shaped(spark, sf)).shapes().select("cs_id", "path", "side", F.substring_index("key", "#", -1).alias("name"), "shape").where("name IN ('h', 'I')")
+    old, new = (shapes.where(F.col("side") == s).select("cs_id", "path", "name", F.col("shape").alias(s)) for s in ("old", "new"))
+    fits = old.join(new, ["cs_id", "path", "name"]).withColumn("fits", source.compatible_shapes(F.col("old"), F.col("new")))
     by = lambda n: F.bool_or(F.when(F.col("name") == n, F.col("fits")))
-    return fits.groupBy("path").agg(by("h").alias("functions"), by("I").alias("objects"))
+    return fits.groupBy("cs_id", "path").agg(by("h").alias("functions"), by("I").alias("objects")).drop("cs_id")
