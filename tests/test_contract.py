@@ -240,3 +240,16 @@ def test_orders_are_checked_where_their_change_set_is(spark):
         assert "Exchange" not in faults.select("*")._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_equal_ranges_take_one_node(spark):
+    """Ranges that many hunks share are joined once; hunks with several ranges, without a last line or in no node are as before."""
+    from weft.operators import hunks
+
+    h = [(1, "f", f"h{i}", 5, 6) for i in range(300)] + [(1, "f", "two", 5, 6), (1, "f", "two", 20, 20), (1, "f", "open", 20, None), (1, "f", "out", 90, 91), (1, "g", "h0", 5, 6), (2, "f", "none", None, 3)]
+    n = [(1, "f", f"n{i:03}", 0, 30, i % 3) for i in range(300)] + [(1, "f", "small", 19, 21, 0), (1, "f", "after", 19, 21, None), (1, "g", "whole", 0, 9, 0)]
+    h = spark.createDataFrame(h, "cs_id int, file string, hunk_id string, first int, last int")
+    found = hunks.smallest_containing(h, spark.createDataFrame(n, "cs_id int, file string, node_id string, start int, end int, depth int"))
+    assert {(r.file, r.hunk_id): r.node_id for r in found.collect()} == {("f", f"h{i}"): "n002" for i in range(300)} | {("f", "two"): "small", ("f", "open"): "small", ("g", "h0"): "whole"}
+    joins = [t for t in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Aggregate" in t and "reach" in t]
+    assert joins, "ranges are joined once"
