@@ -253,3 +253,28 @@ def test_equal_ranges_take_one_node(spark):
     assert {(r.file, r.hunk_id): r.node_id for r in found.collect()} == {("f", f"h{i}"): "n002" for i in range(300)} | {("f", "two"): "small", ("f", "open"): "small", ("g", "h0"): "whole"}
     joins = [t for t in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Aggregate" in t and "reach" in t]
     assert joins, "ranges are joined once"
+
+
+def test_selection_faults_reads_its_inputs_once(spark):
+    """Behind the tables that are written once, the rules deal out nothing but the files."""
+    from weft.operators import trees
+    from weft.session import ship_package
+
+    ship_package(spark)
+    rows = lambda values, names: spark.createDataFrame([(1, *v) for v in values], "cs_id int, " + names)
+    files = rows([("f", True, "p", "0" * 40, "100644"), ("g", False, "q", "x", "100644"), ("e", False, None, None, None)], "file_id string, is_atomic boolean, new_path string, new_oid string, new_mode string")
+    hunks = rows([("f", "a"), ("f", "b"), ("g", "c")], "file_id string, hunk_id string")
+    units = rows([("u", "f"), ("v", "g"), ("w", "gone"), ("x", "e"), ("y", "g")], "unit_id string, file_id string")
+    held = rows([("u", "a"), ("v", "c"), ("v", "z"), ("y", "c")], "unit_id string, hunk_id string")
+    chosen = rows([("u",), ("v",), ("v",), ("w",), ("x",), ("y",), ("ghost",), ("ghost",)], "unit_id string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = trees.selection_faults(files, hunks, units, held, chosen)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        got = sorted((r.rule, r.item) for r in found.collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    want = [("unit-selected-twice", "v"), ("unit-selected-twice", "ghost"), ("unit-unknown", "ghost"), ("file-unknown", "w"), ("hunk-selected-twice", "c"), ("hunk-unknown", "z"),
+            ("file-without-hunks", "e"), ("atomic-file-in-part", "f"), ("entry-invalid", "g")]
+    assert got == sorted(want)
+    assert plan.count("Exchange hashpartitioning") <= 2, plan

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from weft.functions.identity import blob_oid
 from weft.operators.hunks import apply_all
+from weft.session import bucketed
 
 _ENTRY = ["cs_id", "path", "oid", "mode"]
 # Modes of files, executables, links and modules, and the forms of an object's id.
@@ -41,23 +42,29 @@ def selection_faults(files: DataFrame, hunks: DataFrame, units: DataFrame, unit_
     """
     unit, file, hunk = ["cs_id", "unit_id"], ["cs_id", "file_id"], ["cs_id", "file_id", "hunk_id"]
     found = lambda rows, rule, item: rows.select("cs_id", F.lit(rule).alias("rule"), F.col(item).cast("string").alias("item"))
-    twice = lambda rows, key: rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    chosen = units.join(selected.select(*unit).distinct(), unit, "left_semi")
-    held = chosen.select(*unit, "file_id").join(unit_hunks.select(*unit, "hunk_id"), unit).select(*hunk)
-    touched = files.join(chosen.select(*file).distinct(), file, "left_semi")
-    own = hunks.select(*hunk).distinct().withColumn("_held", F.lit(True))
-    known = held.distinct().join(own, hunk, "left")
-    count = touched.select(*file, "is_atomic").join(known.groupBy(*file).agg(F.count("_held").alias("_chosen")), file, "left").join(own.groupBy(*file).agg(F.count(F.lit(1)).alias("_all")), file, "left")
+    # what is read several times is written once, dealt by change-set, so that no rule works it out again and no task holds the sorts of all rules
+    kept = lambda rows, name: bucketed(rows, f"selection_{name}", "cs_id")
+    dealt = lambda rows: rows.repartition("cs_id")
+    counted = lambda rows, key: rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
+    picked = kept(counted(dealt(selected.select(*unit)), unit), "picked")
+    units = kept(dealt(units.select(*unit, "file_id")).join(picked, unit, "left").withColumn("_chosen", F.col("_n").isNotNull()).drop("_n"), "units")
+    chosen = units.where("_chosen").drop("_chosen")
+    held = counted(chosen.join(dealt(unit_hunks.select(*unit, "hunk_id")), unit), hunk)
+    own = dealt(hunks.select(*hunk)).distinct().withColumn("_held", F.lit(True))
+    known = kept(held.join(own, hunk, "left"), "known")
+    every = own.groupBy(*file).agg(F.count(F.lit(1)).alias("_all"))
+    touched = dealt(files).join(chosen.select(*file).distinct(), file, "left_semi").join(known.groupBy(*file).agg(F.count("_held").alias("_chosen")), file, "left")
+    touched = kept(touched.join(every, file, "left"), "touched")
     some = F.coalesce("_chosen", F.lit(0))
     sound = F.coalesce(F.col("new_mode").isin(*MODES) & F.col("new_oid").rlike(OID), F.lit(False))
     return reduce(DataFrame.unionByName, [
-        found(twice(selected, unit), "unit-selected-twice", "unit_id"),
-        found(selected.select(*unit).distinct().join(units, unit, "left_anti"), "unit-unknown", "unit_id"),
+        found(picked.where("_n > 1"), "unit-selected-twice", "unit_id"),
+        found(picked.join(units, unit, "left_anti"), "unit-unknown", "unit_id"),
         found(chosen.join(files, file, "left_anti"), "file-unknown", "unit_id"),
-        found(twice(held, hunk), "hunk-selected-twice", "hunk_id"),
+        found(known.where("_n > 1"), "hunk-selected-twice", "hunk_id"),
         found(known.where("_held IS NULL").join(touched, file, "left_semi"), "hunk-unknown", "hunk_id"),
-        found(count.where(some == 0), "file-without-hunks", "file_id"),
-        found(count.where(F.col("is_atomic") & (some > 0) & (some < F.col("_all"))), "atomic-file-in-part", "file_id"),
+        found(touched.where(some == 0), "file-without-hunks", "file_id"),
+        found(touched.where(F.col("is_atomic") & (some > 0) & (some < F.col("_all"))), "atomic-file-in-part", "file_id"),
         found(touched.where(F.col("new_path").isNotNull() & ~sound), "entry-invalid", "file_id"),
     ])
 
