@@ -278,3 +278,45 @@ def test_selection_faults_reads_its_inputs_once(spark):
             ("file-without-hunks", "e"), ("atomic-file-in-part", "f"), ("entry-invalid", "g")]
     assert got == sorted(want)
     assert plan.count("Exchange hashpartitioning") <= 2, plan
+
+
+def test_tables_have_more_parts_where_there_are_more_lines(spark, monkeypatch):
+    """What a task holds doesn't grow with the tables; tables of one query still agree on their parts, and the next query starts anew."""
+    from weft import session
+    from weft.operators import groups
+    from weft.sources import adapters
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for rows, parts in ((150_000, 4), (1000, 8), (600, 12)):
+            monkeypatch.setattr(session, "PART_ROWS", rows)
+            session.ship_package(spark)
+            u = adapters.units(spark, "/root/testdata/sf0.001")
+            found = groups.violations(adapters.kept_edges(spark, u), u.select("cs_id", "unit_id", (F.col("pos") % 5).alias("grp")))
+            assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+            assert found.rdd.getNumPartitions() == parts
+            assert u.count() == u.select("cs_id", "unit_id").distinct().count() > 0
+        session.ship_package(spark)
+        assert session.bucketed(u, "again", "cs_id").groupBy("cs_id").count().rdd.getNumPartitions() == 4
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_manifest_rules_stay_where_their_change_set_is(spark):
+    """Rows that several folders or imports give come once, and none is dealt out again for that."""
+    from weft.session import bucketed, ship_package
+
+    ship_package(spark)
+    u = bucketed(spark.createDataFrame([(1, p, p) for p in ("package.json", "yarn.lock", "a/package.json", "a/yarn.lock", "a/c.ts")], "cs_id int, unit_id string, path string"), "units", "cs_id")
+    two = F.explode(F.array(F.lit("x"), F.lit("x")))
+    deps = u.where("unit_id LIKE '%package.json'").select("cs_id", "unit_id", F.lit("").alias("folder"), two.alias("name"), F.lit("new").alias("side"))
+    imps = u.where("unit_id = 'a/c.ts'").select("cs_id", "unit_id", "path", F.explode(F.array(F.lit("x"), F.lit("x/y"))).alias("module"), F.lit("new").alias("side"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = edgerules.manifest_rules(u, deps, imps)
+        plan, got = found._jdf.queryExecution().executedPlan().toString(), sorted((r.src, r.dst, r.kind) for r in found.collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    locks = [("a/package.json", "a/yarn.lock"), ("a/package.json", "yarn.lock"), ("package.json", "yarn.lock")]
+    assert got == sorted([(a, b, "must_with") for a, b in locks] + [(a, "a/c.ts", "before") for a in ("a/package.json", "package.json")])
+    assert "Exchange" not in plan, plan
