@@ -320,3 +320,51 @@ def test_manifest_rules_stay_where_their_change_set_is(spark):
     locks = [("a/package.json", "a/yarn.lock"), ("a/package.json", "yarn.lock"), ("package.json", "yarn.lock")]
     assert got == sorted([(a, b, "must_with") for a, b in locks] + [(a, "a/c.ts", "before") for a in ("a/package.json", "package.json")])
     assert "Exchange" not in plan, plan
+
+
+def test_related_pairs_of_places_stay_where_their_change_set_is(spark):
+    """Related pairs by brute force, with nulls, repeats and pairs that neighbours give already; only what names or imports is dealt out, as it comes in two tables."""
+    import random
+    from itertools import combinations
+
+    from weft.session import bucketed, ship_package
+
+    ship_package(spark)
+    rng, rows = random.Random(7), []
+    for cs, n in ((1, 8), (2, 9), (3, 60)):
+        rows += [(cs, f"u{i:03}", rng.choice([None, *range(12)]), rng.choice([None, *"pqr"]), rng.choice([None, *"abc"])) for i in range(n)]
+    u = bucketed(spark.createDataFrame(rows, "cs_id bigint, unit_id string, file bigint, package string, area string"), "units", "cs_id")
+    paths = u.select("cs_id", "unit_id", F.when(F.col("file") % 3 != 0, F.col("file").cast("string")).alias("old_path"), F.when(F.col("file") % 3 != 1, (F.col("file") % 7).cast("string")).alias("new_path"))
+    refs = u.select("cs_id", "unit_id", F.concat((F.crc32("unit_id") % 12).cast("string"), F.lit("#f")).alias("symbol"), F.lit("new").alias("side"))
+    mods = u.select("cs_id", "unit_id", (F.crc32("unit_id") % 9).cast("string").alias("path"), F.when(F.crc32("unit_id") % 2 == 0, "new").otherwise("old").alias("side"))
+    named, imported = ({(r.cs_id, r.unit_id): (r[2], r.side) for r in x.collect()} for x in (refs, mods))
+    own = {(r.cs_id, r.unit_id): (r.old_path, r.new_path) for r in paths.collect()}
+    pairs = set()
+    for p, (old, new) in own.items():
+        for c in own:
+            if p != c and p[0] == c[0]:
+                path, side = imported[c]
+                if named[c][0].split("#")[0] in (old, new) or path == (old if side == "old" else new if new is not None else old):
+                    pairs.add((p[0], p[1], c[1]))
+    also = edgerules.reference_pairs(paths, refs, mods)
+    assert sorted(tuple(r) for r in also.collect()) == sorted(pairs)
+    want = set()
+    for cs in (1, 2, 3):
+        of = sorted(r for r in rows if r[0] == cs)
+        beside = set()
+        for place in (3, 4):
+            for at in {r[place] for r in of} - {None}:
+                line = sorted((r for r in of if r[place] == at), key=lambda r: (r[2] is not None, r[2] or 0, r[1]))
+                beside |= {tuple(sorted((a[1], b[1]))) for a, b in zip(line, line[1:], strict=False)}
+        for a, b in combinations(of, 2):
+            weight = 20 if a[2] is not None and a[2] == b[2] else 30 if a[4] and a[4] == b[4] else 5 if a[3] and a[3] == b[3] else None
+            if weight and (len(of) <= 8 or weight == 20 or (a[1], b[1]) in beside or {(cs, a[1], b[1]), (cs, b[1], a[1])} & pairs):
+                want.add((cs, a[1], b[1], weight))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = edgerules.place_rules(u, 8, also)
+        plan, got = found._jdf.queryExecution().executedPlan().toString(), [(r.cs_id, r.src, r.dst, r.weight) for r in found.collect()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(got) == len(set(got)) and set(got) == want
+    assert plan.count("Exchange hashpartitioning") <= 1, plan
