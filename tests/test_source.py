@@ -224,3 +224,21 @@ def test_tables_of_a_text_stay_where_their_file_is(spark, monkeypatch):
     finally:
         for k in conf:
             spark.conf.unset(k)
+
+
+def test_no_table_of_a_text_goes_through_the_driver(spark):
+    """Whatever their files' size says, tables are joined where they lie."""
+    for k, v in SETTINGS.items():
+        spark.conf.set(k, v)
+    try:
+        text = source.Source(spark.createDataFrame([(i % 2, side, f"{i}.ts", TEXT) for i in range(12) for side in ("old", "new")], FILES))
+        h = text.files.select("cs_id", "side", "path", F.lit("u").alias("unit_id"), F.lit("h").alias("hunk_id"), F.lit(3).alias("first"), F.lit(4).alias("last"))
+        of_units = analysis.UnitFacts(h, text)
+        shapes = text.shapes()
+        twice = shapes.join(shapes.select(*source.KEY, "key", F.col("line").alias("again")), [*source.KEY, "key"])
+        for found in (text.declarations(), shapes, twice, text.references(), text.bindings(), text._bodies(), text._declared(), text._keyed(), text._bound(), of_units.declared(), analysis.hunk_nodes(h, text)):
+            plan = found._jdf.queryExecution().executedPlan().toString()
+            assert "Broadcast" not in plan, plan
+    finally:
+        for k in SETTINGS:
+            spark.conf.unset(k)

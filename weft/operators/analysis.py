@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from weft.functions.paths import import_targets
 from weft.operators import edgerules, hunks as hunk_rules, intervals
-from weft.operators.source import KEY, Source, compatible_shapes
+from weft.operators.source import KEY, Source, compatible_shapes, in_place
 from weft.session import materialize
 
 
@@ -31,7 +31,7 @@ def syntax_nodes(source: Source) -> DataFrame:
 def hunk_nodes(hunks: DataFrame, source: Source) -> DataFrame:
     """unit_id, hunk_id and the node (start, stop, node_start and node_end in lines) of each hunk: the smallest by characters around its lines."""
     rows = hunks.where("first <= last").select(*KEY, "unit_id", "hunk_id", "first", "last")
-    found = intervals.stabbed(rows, syntax_nodes(source), KEY, "first", "start_line", "end_line").where("end_line >= last")
+    found = intervals.stabbed(rows, in_place(syntax_nodes(source)), KEY, "first", "start_line", "end_line").where("end_line >= last")
     best = F.min_by(F.struct("start", "stop", "start_line", "end_line"), F.struct(F.col("stop") - F.col("start"), -F.col("depth"), "start"))
     out = found.groupBy(*KEY, "unit_id", "hunk_id").agg(best.alias("n"))
     return out.select(*KEY, "unit_id", "hunk_id", F.col("n.start").alias("start"), F.col("n.stop").alias("stop"), F.col("n.start_line").alias("node_start"), F.col("n.end_line").alias("node_end"))

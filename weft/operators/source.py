@@ -87,6 +87,12 @@ def lexed(text: str) -> Iterator[tuple[str, str, int]]:
         at += len(token)
 
 
+def in_place(rows: DataFrame) -> DataFrame:
+    """``rows``, joined by merging. Their files are small by compression alone (measured: 100 times), so Spark would take whole tables through the driver to send them to all
+    tasks; dealt as they are, rows meet without that. Needed again behind a join or a union, where Spark forgets it."""
+    return rows.hint("merge")
+
+
 def tokens(files: DataFrame) -> DataFrame:
     """A row a token: cs_id, side, path, at (from 0), kind, text, start and stop (characters), line (from 1)."""
     kind = files.schema["cs_id"].dataType.simpleString()
@@ -193,7 +199,9 @@ class Source:
     def __init__(self, files: DataFrame) -> None:
         files = files.select(*KEY, "content")
         chars = files.agg(F.sum(F.length("content"))).first()[0] or 0
-        self.buckets = max(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-chars // BUCKET_CHARS))
+        spark = files.sparkSession
+        least = min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)  # more tasks than that only cost the driver their records
+        self.buckets = max(least, -(-chars // BUCKET_CHARS))
         dealt = files.repartition(self.buckets, *PLACE)
         self.files = self.kept(dealt, "files")
         self.tokens = self.kept(statements(self.kept(tokens(dealt), "read")), "tokens")
@@ -209,7 +217,7 @@ class Source:
 
     def kept(self, rows: DataFrame, name: str) -> DataFrame:
         """``rows`` written once, dealt as all tables of these texts are, so that joins of them and windows over them leave rows where they are."""
-        return bucketed(rows, f"source_{name}", PLACE, self.buckets)
+        return in_place(bucketed(rows, f"source_{name}", PLACE, self.buckets))
 
     # -- brackets
 
@@ -245,9 +253,9 @@ class Source:
         # behind a colon: a type where the next bracket around that is known holds members, else an object
         sure = rows.where("holds IS NOT NULL").select(*KEY, F.col("at").alias("upper"), F.col("holds").alias("upper_holds"))
         chain = self.chains.select(*KEY, F.col("scope").alias("at"), F.posexplode("chain").alias("far", "upper"))
-        near = rows.where("holds IS NULL").select(*KEY, "at").join(chain, [*KEY, "at"]).join(sure, [*KEY, "upper"]).groupBy(*KEY, "at").agg(F.min_by("upper_holds", "far").alias("near"))
+        near = rows.where("holds IS NULL").select(*KEY, "at").join(chain, [*KEY, "at"]).join(in_place(sure), [*KEY, "upper"]).groupBy(*KEY, "at").agg(F.min_by("upper_holds", "far").alias("near"))
         typed = F.when(F.col("near").isin("class", "interface", "type"), "type").otherwise("object")
-        return rows.join(near, [*KEY, "at"], "left").select(*KEY, "at", "inside", F.coalesce("holds", typed).alias("holds"))
+        return rows.join(in_place(near), [*KEY, "at"], "left").select(*KEY, "at", "inside", F.coalesce("holds", typed).alias("holds"))
 
     # -- declarations
 
@@ -292,7 +300,7 @@ class Source:
 
     def _keyed(self) -> DataFrame:
         chain = self.declared.select(*KEY, "at", "scope").join(self.chains, [*KEY, "scope"]).select(*KEY, "at", F.posexplode("chain").alias("far", "upper"))
-        path = chain.join(self._owners(), [*KEY, "upper"]).groupBy(*KEY, "at").agg(F.array_sort(F.collect_list(F.struct((-F.col("far")).alias("far"), "owner"))).alias("owners"))
+        path = chain.join(in_place(self._owners()), [*KEY, "upper"]).groupBy(*KEY, "at").agg(F.array_sort(F.collect_list(F.struct((-F.col("far")).alias("far"), "owner"))).alias("owners"))
         rows = self.declared.join(path, [*KEY, "at"], "left")
         names = F.concat(F.coalesce(F.transform("owners", lambda o: o["owner"]), F.array().cast("array<string>")), F.array("name"))
         first = F.when(F.col("kind") == "variable", F.get("parts", "name_at")).otherwise(F.get("parts", F.lit(0)))
@@ -330,7 +338,7 @@ class Source:
         d = d.withColumns({"heir_from": F.get(parts, heir)["start"], "heir_to": F.get(parts, _last_index(parts, "{") - 1)["stop"], "optional": F.get(parts, name_at + 1)["plain"] == "?", "body": F.when(F.col("kind").isin("class", "interface"), F.get(parts, _last_index(parts, "{"))["at"]).when((F.col("kind") == "type") & (F.get(parts, F.size(parts) - 2)["plain"] == "{") & (_index(parts, "=") + 3 == F.size(parts)), F.get(parts, F.size(parts) - 2)["at"])})
 
         parameters = self.parameters().groupBy(*KEY, "paren").agg(F.array_sort(F.collect_list(F.struct("piece", F.struct("type", "optional", "rest").alias("own")))).alias("_p"))
-        d = d.join(parameters, [*KEY, "paren"], "left").join(self.files, KEY)
+        d = d.join(in_place(parameters), [*KEY, "paren"], "left").join(self.files, KEY)
         text = lambda a, b: _text(F.col("content"), F.col(a), F.col(b))
         modifiers = F.col("modifiers")
         none = F.lit(None)
@@ -356,7 +364,7 @@ class Source:
         is_object = F.col("kind").isin("class", "interface") | ((F.col("kind") == "type") & F.col("body").isNotNull())
         full = shape("object", members=F.coalesce("members", F.create_map().cast(member)), heritage=F.col("heritage"), generics=F.col("generics"), modifiers=modifiers)
         d = d.withColumn("shape", F.when(is_object, full).otherwise(F.col("own")))
-        return d.select(*KEY, "key", "at", "line", "shape", F.to_json("shape").alias("signature"))
+        return in_place(d.select(*KEY, "key", "at", "line", "shape", F.to_json("shape").alias("signature")))
 
     def parameters(self) -> DataFrame:
         """paren, piece, name (null for a pattern), type, optional, rest, at of each piece between round brackets, cut at depth-one commas."""
@@ -447,7 +455,7 @@ class Source:
         for bound in (self.declared, self.bindings().where("at IS NOT NULL")):
             rows = rows.join(bound.select(*KEY, "at"), [*KEY, "at"], "left_anti")
         listed = self.tokens.where("opens AND text = '{'").select(*KEY, F.col("at").alias("inside"), "item", F.col("inside").alias("_inside")).join(imported.select(*KEY, F.col("inside").alias("_inside"), "item"), [*KEY, "_inside", "item"])
-        return rows.join(listed.select(*KEY, "inside"), [*KEY, "inside"], "left_anti").select(*KEY, "at", "start", "line", F.col("text").alias("name"), "scope", "property")
+        return rows.join(in_place(listed.select(*KEY, "inside")), [*KEY, "inside"], "left_anti").select(*KEY, "at", "start", "line", F.col("text").alias("name"), "scope", "property")
 
     def references(self) -> DataFrame:
         """at, start, line, name and what the innermost scope that binds the name says: key, or module and imported (of a whole module the property named). Names bound nowhere, and parameters, have no row."""
