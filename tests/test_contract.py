@@ -368,3 +368,18 @@ def test_related_pairs_of_places_stay_where_their_change_set_is(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert len(got) == len(set(got)) and set(got) == want
     assert plan.count("Exchange hashpartitioning") <= 1, plan
+
+
+def test_hunks_of_empty_documents(spark, tmp_path):
+    """As their SQL says: an empty first line, and nothing for a null text."""
+    import duckdb
+
+    from weft.plans import queries as base, rules  # noqa: F401 (adds its queries)
+
+    texts = ["", None, "\n", "a", "a\n", "a\r\nb"]
+    docs = spark.createDataFrame([(7 * i + k, t, "en") for i, t in enumerate(texts) for k in (0, 1)] + [(None, "", "en")], "doc_id long, text string, lang string")
+    docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted(c.sql(base.ORACLES["applied_hunks"]).fetchall(), key=str)
+    assert rows(base.QUERIES["applied_hunks"](spark, str(tmp_path))) == want and (1, "\nx", None) in want
