@@ -383,3 +383,26 @@ def test_hunks_of_empty_documents(spark, tmp_path):
     c.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     want = sorted(c.sql(base.ORACLES["applied_hunks"]).fetchall(), key=str)
     assert rows(base.QUERIES["applied_hunks"](spark, str(tmp_path))) == want and (1, "\nx", None) in want
+
+
+def test_all_pairs_of_large_change_sets(spark, tmp_path):
+    """Ids, penalties and confidence of edges count every pair of a change-set of any size, as their SQL does."""
+    import duckdb
+
+    from weft.plans import contract, queries as base  # noqa: F401 (adds its queries)
+    from weft.session import ship_package
+
+    lines = [(o, i, (o * 7 + i) % 12, (o + i) % 9, 1.0 + i, "ARN"[i % 3], "FO"[o % 2]) for o in range(1, 120) for i in range(4)]
+    pd.DataFrame(lines, columns=["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus"]).to_parquet(tmp_path / "lineitem.parquet")
+    pd.DataFrame([(o, 1 if o < 112 else 2) for o in range(1, 120)], columns=["o_orderkey", "o_custkey"]).to_parquet(tmp_path / "orders.parquet")
+    pd.DataFrame([(p, f"t{p % 5}") for p in range(12)], columns=["p_partkey", "p_type"]).to_parquet(tmp_path / "part.parquet")
+    c = duckdb.connect()
+    for t in ("lineitem", "orders", "part"):
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    for name in ("edge_ids", "edge_penalties", "plan_confidence"):
+        ship_package(spark)
+        found = base.QUERIES[name](spark, str(tmp_path))
+        want = c.sql(base.ORACLES[name])
+        assert rows(found.select(*want.columns)) == sorted(want.fetchall(), key=str), name
+    n = c.sql(f"WITH {base.WHOLE} SELECT count(*) FILTER (WHERE kind = 'affinity' AND cs_id = 1) FROM edges").fetchall()[0][0]
+    assert n > 5 * c.sql(f"WITH {base.E} SELECT count(*) FILTER (WHERE kind = 'affinity' AND cs_id = 1) FROM edges").fetchall()[0][0] / 4
