@@ -29,6 +29,37 @@ def test_native_ids(spark):
     assert tuple(row) == ("edge_29a954d087504cef", "8cfc2f235869a79f41ae2d66195262729425b88c")
 
 
+def test_ids_of_lists_need_no_python(spark):
+    lists = [["a", "b"], [], [None, "x"], ['"', "\\", '\\"'], ["".join(map(chr, range(160)))], ["é", "\U0001f926", "\u2028"], ["a,b", '"]']]
+    found = spark.createDataFrame([(x,) for x in lists], "x array<string>").select("x", identity.list_id("slice", F.col("x")).alias("id"))
+    assert [r.id for r in found.collect()] == [identity.make_id("slice", x) for x in lists]
+    assert "Python" not in found._jdf.queryExecution().executedPlan().toString().replace("PythonRDD", "").replace("applySchemaToPythonRDD", "")
+    one = spark.range(1).select(planner.plan_id(F.array(F.array(F.lit("cu_6cc26faa25b9d36b"), F.lit("cu_a6e9cb25d697e624"))))).first()[0]
+    assert one == "candidate_0605800ca1cb7efd"
+
+
+def test_cuts_stay_where_their_change_set_is(spark):
+    """No row is dealt out again between the blocks of change-sets and their ranked plans."""
+    from weft.session import ship_package
+
+    ship_package(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        us, es = frames(spark, {cs: ({x: {"added": 10, "package": x} for x in "abc"}, [("a", "b", "before", 9.0), ("b", "c", "affinity", 9.0)]) for cs in range(9)})
+        us, es = planner.kept(us, "units", dealt=False), planner.kept(es, "edges", dealt=False)
+        members = planner.kept(us.select("cs_id", "unit_id", F.col("unit_id").alias("component")), "members")
+        components = planner.kept(planner.component_rows(us, members), "components")
+        places = planner.kept(planner.placed(planner.orders(components, planner.arcs(es, members))), "places")
+        blocks = planner.kept(planner.block_rows(components, places), "blocks")
+        seen = planner.kept(planner.seen_before(blocks), "seen")
+        pairs = planner.block_pairs(us, es, members, places, seen)
+        for rows in (components, pairs, planner.ranked(planner.cut_plans(blocks, seen, pairs))):
+            plan = rows._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange" not in plan, plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_paths(spark):
     rows = ["a.ts", "a/b.ts", "src/a.ts", "src/a/b.ts", "../x", "a//b", "a\\b", "/a", "C:x", ".git/x", ""]
     df = spark.createDataFrame([(r,) for r in rows], "p string")
