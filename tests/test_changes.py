@@ -108,6 +108,13 @@ def test_components_against_union_find(spark):
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
+def test_rounds_of_components_are_written_compressed(spark, monkeypatch):
+    """Not checkpointed, which writes rows as they are in memory."""
+    edges = spark.createDataFrame([(f"n{i:05}", f"n{i + 1:05}") for i in range(200)], "src string, dst string")
+    monkeypatch.setattr(type(edges), "checkpoint", lambda *a, **b: pytest.fail("checkpointed"))
+    assert {tuple(r) for r in connected_components(edges).collect()} == {(f"n{i:05}", "n00000") for i in range(201)}
+
+
 def reachable(after, n):
     seen, todo = {n}, [n]
     while todo:
