@@ -88,8 +88,8 @@ def lexed(text: str) -> Iterator[tuple[str, str, int]]:
 
 
 def in_place(rows: DataFrame) -> DataFrame:
-    """``rows``, joined by merging. Their files are small by compression alone (measured: 100 times), so Spark would take whole tables through the driver to send them to all
-    tasks; dealt as they are, rows meet without that. Needed again behind a join or a union, where Spark forgets it."""
+    """``rows``, joined by merging. Their files are small by compression alone, so Spark would take whole tables through the driver to send them to all tasks (23 MB where the
+    limit was 256 KB); dealt as they are, rows meet without that. Needed again behind a join or a union, where Spark forgets it."""
     return rows.hint("merge")
 
 
